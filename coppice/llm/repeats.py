@@ -10,7 +10,7 @@ occurs elsewhere, too, with equal surroundings. All occurrences of an anchor's k
 group; what can matter of each is its context, the bytes from `length` - k before the anchor to
 `length` after its start.
 
-1. Occurrences with equal contexts are counted (pre-aggregated). If there are two, every window
+1. Occurrences are sorted by k-gram and context. Where two have equal contexts, every window
    with the anchor is repeated; nothing else is needed for them.
 2. For anchors with several different contexts, one occurrence of each context is fetched. The
    group's right contexts are sorted: the part of the corpus's suffix array that starts at the
@@ -18,8 +18,9 @@ group; what can matter of each is its context, the bytes from `length` - k befor
    intervals. In each interval, of common prefix R, the left contexts are tested for diversity:
    occurrences that agree in at least `length` - R bytes to the left are the occurrences of a
    maximal repeat, which reaches from their common left extension to R.
-3. A group of more than `hot` different contexts isn't gathered: all windows with the anchor are
-   hashed, and counted with pre-aggregation; those found twice are repeated.
+3. K-grams with a very large share of all anchors (estimated on a sample of the texts: it only
+   decides the way taken, either is exact) aren't gathered: their contexts and the windows
+   around them are counted by hash, with pre-aggregation before each shuffle.
 
 The union of these spans is exact. Null is empty; texts shorter than `length` are never changed.
 Repeated rows are copies of each other. An empty table gives an empty result. Other columns travel along or are ignored.
@@ -42,8 +43,11 @@ from . import textops as tx
 LENGTH = 400
 #: Bytes of an anchor.
 GRAM = 160
-#: Different contexts of one anchor that are gathered in a task (640 bytes each).
-HOT = 50_000
+#: Occurrences of one anchor from which on they aren't gathered in a task. At most MOST_HOT anchors are treated so, those with most.
+HOT = 100_000
+MOST_HOT = 10_000
+#: One text in so many is read to find them.
+SAMPLE = 16
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -85,12 +89,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return place, hashed[place]
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.xxhash64(doc_id).alias("kid"), F.xxhash64(text).alias("kh"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-
-
 def find_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """kid, kh, pos, a (hash of the k-gram) and c (hash of the context) of every anchor."""
+    """kid, kh, pos, a (hash of the k-gram), c and d (hash of the context) of every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text"):
@@ -101,11 +101,62 @@ def find_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             high = np.minimum(offsets[row + 1], place + length)
             view = memoryview(data)
             digest = xxhash.xxh3_128_digest
-            context = [digest(view[x:y], z) for x, y, z in zip(low.tolist(), high.tolist(), (place - low).tolist(), strict=True)]
+            context = np.frombuffer(b"".join([digest(view[x:y], z) for x, y, z in zip(low.tolist(), high.tolist(), (place - low).tolist(), strict=True)]), np.int64).reshape(-1, 2)
             kid, kh = (part.column(x).to_numpy(zero_copy_only=False)[row] for x in ("kid", "kh"))
-            yield pa.RecordBatch.from_arrays([pa.array(kid), pa.array(kh), pa.array((place - offsets[row]).astype(np.int32)), pa.array(hashed.view(np.int64)), pa.array(context, pa.binary())], names=["kid", "kh", "pos", "a", "c"])
+            columns = [pa.array(x) for x in (kid, kh, (place - offsets[row]).astype(np.int32), hashed.view(np.int64), context[:, 0].copy(), context[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["kid", "kh", "pos", "a", "c", "d"])
+
+    return keyed.select("kid", "kh", "text").mapInArrow(run, "kid long, kh long, pos int, a long, c long, d long")
+
+
+def hot_anchors(keyed: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+    """The k-grams (a) that probably occur hot times or more: MOST_HOT rows at most."""
+    some = find_anchors(keyed.where(F.pmod("kid", F.lit(SAMPLE)) == 0) if hot > SAMPLE else keyed, length, gram)
+    least = hot // SAMPLE if hot > SAMPLE else hot
+    return some.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "a").limit(MOST_HOT).select("a")
+
 
-    return keyed.select("kid", "kh", "text").mapInArrow(run, "kid long, kh long, pos int, a long, c binary")
+def sort_out(found: DataFrame) -> DataFrame:
+    """Of anchors, all of a k-gram in one partition and sorted by k-gram and context: those to use, by kind.
+
+    whole: another occurrence has the same context; else one occurrence of a context for k-grams with several. A whole one may stand for its context, too (both).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("kid", "kh", "pos", "a", "c", "d")
+        rest = None
+
+        def emit(x: dict) -> pa.RecordBatch:
+            same_a = x["a"][1:] == x["a"][:-1]
+            same_c = same_a & (x["c"][1:] == x["c"][:-1]) & (x["d"][1:] == x["d"][:-1])
+            first_a, first_c = np.append(True, ~same_a), np.append(True, ~same_c)
+            whole = np.append(False, same_c) | np.append(same_c, False)
+            group = np.cumsum(first_a) - 1
+            detail = first_c & (np.bincount(group, weights=first_c) > 1)[group]
+            use = whole | detail
+            return pa.RecordBatch.from_arrays([*(pa.array(x[k][use]) for k in names[:4]), pa.array(whole[use]), pa.array(detail[use])], names=[*names[:4], "whole", "detail"])
+
+        for batch in batches:
+            x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            if rest is not None:
+                x = {k: np.concatenate([rest[k], x[k]]) for k in names}
+            if not len(x["a"]):
+                continue
+            end = int(np.searchsorted(x["a"], x["a"][-1]))  # the last k-gram's rows may go on in the next batch
+            rest = {k: v[end:] for k, v in x.items()}
+            if end:
+                yield emit({k: v[:end] for k, v in x.items()})
+        if rest is not None and len(rest["a"]):
+            yield emit(rest)
+
+    return found.repartition("a").sortWithinPartitions("a", "c", "d").mapInArrow(run, "kid long, kh long, pos int, a long, whole boolean, detail boolean")
+
+
+def sort_out_hot(found: DataFrame) -> DataFrame:
+    """The same by counting: for k-grams that are too frequent to be gathered."""
+    same = found.groupBy("a", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("kid", "kh", "pos")).alias("rep"))
+    whole = found.join(tx.settled(same.where("n > 1").select("a", "c", "d")), ["a", "c", "d"]).select("kid", "kh", "pos", "a", F.lit(True).alias("whole"), F.lit(False).alias("detail"))
+    return whole.unionByName(same.select("rep.*", "a", F.lit(False).alias("whole"), F.lit(True).alias("detail")))
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -186,18 +237,18 @@ def repeats(left: list[bytes], right: list[bytes], length: int, gram: int) -> li
     return out
 
 
-def _contexts(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The contexts of rows (kid, kh, text, at: array of (a, pos, hot))."""
+def _contexts(texts: DataFrame, text: str, length: int, gram: int) -> DataFrame:
+    """The contexts of rows (__rp_id, __rp_hash, text, __rp_detail: array of (a, pos, hot))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, "text", 1_000_000):
-            data, offsets = tx.raw(part.column("text"))
+        for part in tx.slices(batches, text, 1_000_000):
+            data, offsets = tx.raw(part.column(text))
             out: list[list] = [[], [], [], [], [], [], []]
-            for r, (kid, kh, at) in enumerate(zip(*(part.column(x).to_pylist() for x in ("kid", "kh", "at")), strict=True)):
-                text = data[offsets[r] : offsets[r + 1]].tobytes()
+            for r, (kid, kh, at) in enumerate(zip(*(part.column(x).to_pylist() for x in ("__rp_id", "__rp_hash", "__rp_detail")), strict=True)):
+                whole = data[offsets[r] : offsets[r + 1]].tobytes()
                 for x in at:
                     p = x["pos"]
-                    for column, value in zip(out, (x["a"], x["hot"], kid, kh, p, text[max(0, p - (length - gram)) : p][::-1], text[p : p + length]), strict=True):
+                    for column, value in zip(out, (x["a"], x["hot"], kid, kh, p, whole[max(0, p - (length - gram)) : p][::-1], whole[p : p + length]), strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["a", "hot", "kid", "kh", "pos", "left", "right"])
@@ -251,21 +302,29 @@ def _spans_of_hot(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return windows.join(twice, "w").select("kid", "kh", "low", (F.col("low") + length).alias("high"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The keyed texts (kid, kh, doc_id, text) and the spans to remove (kid, kh, spans: array of (low, high), not clipped to the text)."""
-    keyed = _keyed(docs, doc_id, text)
-    found = find_anchors(keyed, length, gram)
-    same = found.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("kid", "kh", "pos")).alias("rep"))
-    whole = found.join(same.where("n > 1").select("a", "c"), ["a", "c"]).select("kid", "kh", (F.col("pos") - (length - gram)).alias("low"), (F.col("pos") + length).alias("high"))
-    several = same.groupBy("a").agg(F.count("*").alias("m")).where("m > 1")
-    wanted = same.join(several, "a").select("rep.kid", "rep.kh", F.struct("a", F.col("rep.pos").alias("pos"), (F.col("m") > hot).alias("hot")).alias("x"))
-    wanted = wanted.groupBy("kid", "kh").agg(F.collect_list("x").alias("at"))  # bounded by the text's length
-    # of rows with equal id and text one is enough
-    texts = keyed.select("kid", "kh", "text").join(wanted, ["kid", "kh"])
-    contexts = tx.settled(_contexts(texts, length, gram))
-    cold = contexts.where("not hot").select("a", "kid", "kh", "pos", "left", "right").repartition("a").sortWithinPartitions("a")
-    spans = whole.unionByName(_spans_of_groups(cold, length, gram)).unionByName(_spans_of_hot(contexts.where("hot").select("kid", "kh", "pos", "left", "right"), length, gram))
-    return keyed, spans.groupBy("kid", "kh").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, all columns, with __rp_spans: the spans to remove (array of (low, high), not clipped to the text), or null."""
+    keyed = docs.withColumns({"__rp_id": F.xxhash64(doc_id), "__rp_hash": F.xxhash64(text)})
+    short = keyed.select(F.col("__rp_id").alias("kid"), F.col("__rp_hash").alias("kh"), F.col(text).alias("text"))
+    frequent = tx.settled(hot_anchors(short, length, gram, hot))
+    many = frequent.count()
+    found = find_anchors(short, length, gram)
+    used = sort_out(found.join(F.broadcast(frequent), "a", "left_anti") if many else found).withColumn("hot", F.lit(False))  # MOST_HOT rows at most
+    if many:
+        used = used.unionByName(sort_out_hot(found.join(F.broadcast(frequent), "a", "left_semi")).withColumn("hot", F.lit(True)))
+    # a text's own anchors: bounded by its length
+    per_text = used.groupBy("kid", "kh").agg(F.collect_list(F.when(F.col("whole"), F.col("pos"))).alias("whole"), F.collect_list(F.when(F.col("detail"), F.struct("a", "pos", "hot"))).alias("detail"))
+    per_text = tx.settled(per_text.select(F.col("kid").alias("__rp_id"), F.col("kh").alias("__rp_hash"), "whole", F.col("detail").alias("__rp_detail")))
+    contexts = _contexts(keyed.join(per_text.where(F.size("__rp_detail") > 0).drop("whole"), ["__rp_id", "__rp_hash"]), text, length, gram)
+    cold = contexts.where("not hot") if many else contexts
+    spans = _spans_of_groups(cold.select("a", "kid", "kh", "pos", "left", "right").repartition("a").sortWithinPartitions("a"), length, gram)
+    if many:
+        spans = spans.unionByName(_spans_of_hot(contexts.where("hot").select("kid", "kh", "pos", "left", "right"), length, gram))
+    spans = spans.groupBy(F.col("kid").alias("__rp_id"), F.col("kh").alias("__rp_hash")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    around = F.transform("whole", lambda p: F.struct((p - (length - gram)).alias("low"), (p + length).alias("high")))
+    spans = spans.unionByName(per_text.where(F.size("whole") > 0).select("__rp_id", "__rp_hash", around.alias("spans")))
+    spans = spans.groupBy("__rp_id", "__rp_hash").agg(F.flatten(F.collect_list("spans")).alias("__rp_spans"))
+    return keyed.join(spans, ["__rp_id", "__rp_hash"], "left")
 
 
 def merged(spans, n: int) -> list[tuple[int, int]]:
@@ -292,13 +351,12 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed, spans = repeated_spans(docs, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text"):
             data, offsets = tx.raw(part.column("text"))
             n, removed, count, digest = [], [], [], []
-            for r, some in enumerate(part.column("spans").to_pylist()):
+            for r, some in enumerate(part.column("__rp_spans").to_pylist()):
                 text = data[offsets[r] : offsets[r + 1]].tobytes()
                 runs = merged(some, len(text))
                 n.append(len(text))
@@ -307,15 +365,12 @@ def report(docs: DataFrame, **options) -> DataFrame:
                 digest.append(hashlib.sha256(without(text, runs)).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return keyed.join(spans, ["kid", "kh"], "left").select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    few = docs.select("doc_id", "text")
+    return repeated_spans(few, **options).select("doc_id", "text", "__rp_spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
     """docs with repeated strings taken out of the text (bytes of a character that is cut go, too) and n_chars brought up to date. No row is dropped; null stays null."""
-    _, spans = repeated_spans(docs, doc_id=doc_id, text=text, **options)
-    keyed = docs.withColumns({"__rp_id": F.xxhash64(doc_id), "__rp_hash": F.xxhash64(text)})
-    joined = keyed.join(spans.select(F.col("kid").alias("__rp_id"), F.col("kh").alias("__rp_hash"), F.col("spans").alias("__rp_spans")), ["__rp_id", "__rp_hash"], "left").drop("__rp_id", "__rp_hash")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, text):
             data, offsets = tx.raw(part.column(text))
@@ -329,7 +384,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             columns[text] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    cleaned = joined.select(*docs.columns, "__rp_spans").mapInArrow(run, docs.schema)
+    cleaned = repeated_spans(docs, doc_id=doc_id, text=text, **options).select(*docs.columns, "__rp_spans").mapInArrow(run, docs.schema)
     if n_chars not in docs.columns:
         return cleaned
     return cleaned.withColumn(n_chars, F.when(F.col(n_chars).isNotNull(), F.length(text).cast(docs.schema[n_chars].dataType))).select(*docs.columns)
