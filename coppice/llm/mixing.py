@@ -95,7 +95,7 @@ def mix(docs: DataFrame, block: int = 128, slots_per_shard: int = 8192, seed: in
     rows, total = sizes.count(), goals.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     placed = tx.settled(streams(sizes, goals, rows, block))
     chunks = goals.where("slots > 0").select("sid", "blocks", "slots", "first", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("slots") - 1).cast("long"), F.lit(_CHUNK).cast("long"))).alias("chunk"))
-    chunks = chunks.repartition("sid", "chunk")
+    chunks = chunks.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000), "sid", "chunk")
     slots = chunks.select("sid", "blocks", "first", F.explode(F.sequence("chunk", F.least(F.col("chunk") + _CHUNK, F.col("slots")) - 1)).alias("i"))
     number = permuted(F.col("i") % F.col("blocks"), F.col("blocks"), seed, F.col("sid"), F.floor(F.col("i") / F.col("blocks")))
     output = permuted(F.col("first") + F.col("i"), F.lit(max(1, total)), seed + 2)
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, block: int = 128, slots_per_shard: int = 8192, seed: in
     pieces = placed.where("size > 0").select("sid", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     low = F.greatest(F.col("start"), F.col("block") * block)
     pieces = pieces.select("sid", "start", "block", (low - F.col("start")).alias("from_word"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - low).alias("words"))
-    joined = pieces.join(slots, ["sid", "block"])
+    joined = pieces.join(slots.hint("merge"), ["sid", "block"])  # else the slots are taken for as few as the chunks, and broadcast
     plan = joined.select(F.floor(F.col("output") / slots_per_shard).alias("shard"), (F.col("output") % slots_per_shard).alias("slot"), "sid", "block", "start", "from_word", "words")
     return plan, placed
 
