@@ -197,10 +197,16 @@ def sample(docs: DataFrame, labels: DataFrame, usable, max_docs: int, max_chars:
     order = F.xxhash64("doc_id", F.lit(seed))
     chosen = marks.where("toxic = 1").orderBy(order, "doc_id").limit(half).union(marks.where("toxic = 0").orderBy(order, "doc_id").limit(half))
     chosen = chosen.withColumn("weight", F.when(F.col("toxic") == 1, F.lit(max(share.get(1, 0) / half, 1.0))).otherwise(F.lit(max(share.get(0, 0) / half, 1.0))))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most max_docs ids
-    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)).cast("int")).orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "text").limit(max_docs)
-    upto = F.sum(F.length(F.coalesce("text", F.lit("")))).over(Window.orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("upto", upto).where(F.col("upto") <= max_chars).select("text", "toxic", "fold", "weight")
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    # which texts to read is settled without them: at most max_docs ids are broadcast, and at most max_docs lengths gathered
+    some = keyed.select("doc_id", "text_hash", F.length(F.coalesce("text", F.lit(""))).alias("n")).join(F.broadcast(chosen), "doc_id").distinct()
+    place = (F.xxhash64("doc_id", F.lit(seed + 2)), F.col("doc_id"), F.col("text_hash"))
+    some = some.orderBy(*place).limit(max_docs)
+    upto = F.sum("n").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+    some = tx.settled(some.withColumn("upto", upto).where(F.col("upto") <= max_chars).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "toxic", "weight"))
+    rows = keyed.join(F.broadcast(some), (F.col("doc_id") == F.col("id")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["doc_id", "text_hash"])
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)).cast("int")
+    return rows.select("text", "toxic", fold.alias("fold"), "weight", F.xxhash64("doc_id", F.lit(seed + 2)).alias("place"), "doc_id", "text_hash").coalesce(1).sortWithinPartitions("place", "doc_id", "text_hash").select("text", "toxic", "fold", "weight")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, usable=None, max_docs: int = 12_000, max_chars: int = 40_000_000, seed: int = 5, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
@@ -210,7 +216,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable=None, max_docs: int = 12
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([train(batches)], pa.binary())], names=["model"])
 
-    got = sample(docs, labels, usable, max_docs, max_chars, seed, doc_id, text, toxic).coalesce(1).mapInArrow(run, "model binary").collect()
+    got = sample(docs, labels, usable, max_docs, max_chars, seed, doc_id, text, toxic).mapInArrow(run, "model binary").collect()
     model = spark.sparkContext.broadcast(max((bytes(r["model"]) for r in got), key=len, default=b""))
     kind = docs.schema[doc_id].dataType.simpleString()
 
