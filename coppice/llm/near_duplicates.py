@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs."""
     found = tx.settled(classes(docs, **options))
     least = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    least = tx.settled(least)  # so that the join can split the rows of a large component
     joined = found.join(least.withColumnRenamed("root", "of"), F.col("root") == F.col("of"), "left")
     component = F.coalesce("component_id", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
