@@ -299,7 +299,7 @@ def _spans_of_hot(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     windows = contexts.mapInArrow(run, "kid long, kh long, low int, w binary")
     place = F.struct("kid", "kh", "low")  # one window can stand around several anchors
     twice = windows.groupBy("w").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one != other").select("w")
-    return windows.join(twice, "w").select("kid", "kh", "low", (F.col("low") + length).alias("high"))
+    return windows.join(tx.settled(twice), "w").select("kid", "kh", "low", (F.col("low") + length).alias("high"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
