@@ -68,7 +68,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def streams(sizes: DataFrame, goals: DataFrame, rows: int, block: int) -> DataFrame:
     """sizes with the columns of goals, blocks and slots of its source, and `start`: the words before it in its source's stream."""
-    buckets = max(16, rows // 50_000)
+    buckets = max(256, rows // 50_000)
     own = sizes.join(goals, sizes["source"].eqNullSafe(goals["source"])).drop(goals["source"]).withColumn("bucket", F.pmod("place", F.lit(buckets)))
     sums = own.groupBy("sid", "bucket").agg(F.sum("size").alias("in_bucket"))
     sums = sums.withColumn("before", F.sum("in_bucket").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("in_bucket")).drop("in_bucket")
