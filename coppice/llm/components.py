@@ -20,9 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        least = tx.settled(both.groupBy("u").agg(F.min("v").alias("m")))  # settled: the join can then split a node with many edges
         large = _tidy(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")))
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = tx.settled(large)
+        small = tx.settled(large.groupBy("u").agg(F.min("v").alias("m")))
         hung = large.join(small, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = tx.settled(_tidy(hung.unionByName(small.withColumnRenamed("m", "v"))))
         was, mark = mark, _mark(now)

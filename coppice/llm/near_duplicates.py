@@ -195,11 +195,11 @@ def classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, n_b
     own = signed.where("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n"), F.max("keys").alias("keys"))
     keys = own.select("cid", F.explode("keys").alias("key"))
     centres = keys.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("last")).where("centre != last").select("key", "centre")
-    near = keys.join(centres, "key").where("cid != centre").select(F.col("cid").alias("a"), F.col("centre").alias("b"))
+    near = keys.join(tx.settled(centres), "key").where("cid != centre").select(F.col("cid").alias("a"), F.col("centre").alias("b"))
     groups = components(near)
     candidates = tx.settled(own.drop("keys").join(groups, own["cid"] == groups["node"]).select("cid", "rep", "n", F.col("root").alias("grp")))
     blocks = candidates.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = candidates.join(blocks, "grp").select("cid", "grp", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    wanted = candidates.join(tx.settled(blocks), "grp").select("cid", "grp", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
     texts = some.join(wanted, some["doc_id"].eqNullSafe(wanted["rep_id"]) & (some["text_hash"] == wanted["rep_hash"])).select("cid", "grp", "blocks", "block", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
