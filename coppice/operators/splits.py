@@ -27,13 +27,27 @@ def fractions(n: int) -> list[float]:
 
 
 def threshold_grid(long: DataFrame, size: int | None = None, by: tuple[str, ...] = ("feature",), approximate: bool = False) -> DataFrame:
-    """by, j (0-based) and threshold: distinct quantiles. One row holds size doubles per feature; approximate keeps a sketch in place of all values."""
+    """by, j (0-based) and threshold: distinct quantiles.
+
+    The exact ones are interpolated between neighbours in the order of a group's distinct values, which one
+    task sorts (it can spill): for a feature with very many distinct values, use approximate, which merges
+    sketches of bounded size.
+    """
     if size is None:
         size = grid_size(long.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
-    at = F.array(*map(F.lit, fractions(size)))
-    values = F.percentile_approx("value", at, 10_000) if approximate else F.percentile("value", at)
-    grid = long.groupBy(*by).agg(F.array_sort(F.array_distinct(values)).alias("grid"))
-    return grid.select(*by, F.posexplode("grid").alias("j", "threshold"))
+    at = fractions(size)
+    if approximate:
+        values = long.groupBy(*by).agg(F.percentile_approx("value", F.array(*map(F.lit, at)), 10_000).alias("values"))
+    else:
+        cells = long.groupBy(*by, "value").agg(F.count("*").alias("n"))  # equal values meet before they are sorted
+        every, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("value")
+        ranked = cells.withColumns({"last": F.sum("n").over(upto), "next": F.lead("value").over(upto)}).withColumn("total", F.sum("n").over(every))
+        # a cell covers the positions from last - n up to, but without, last; the one at last is the next cell's
+        place = lambda f: F.lit(f) * (F.col("total") - 1)
+        value = lambda p: F.when(p <= F.col("last") - 1, F.col("value")).otherwise((F.ceil(p) - p) * F.col("value") + (p - F.floor(p)) * F.col("next"))
+        inside = lambda p: (p >= F.col("last") - F.col("n")) & (p < F.col("last"))
+        values = ranked.groupBy(*by).agg(F.array(*(F.max(F.when(inside(place(f)), value(place(f)))) for f in at)).alias("values"))
+    return values.select(*by, F.posexplode(F.array_sort(F.array_distinct("values"))).alias("j", "threshold"))
 
 
 def class_weights(df: DataFrame, label: str = "label", by: tuple[str, ...] = ()) -> DataFrame:
@@ -95,13 +109,13 @@ def best(candidates: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame
 
 def best_splits(long: DataFrame, criterion: str = "entropy", weighted: bool = True, by: tuple[str, ...] = ("feature",), size: int | None = None) -> DataFrame:
     """One row per feature: threshold, n_left, n_right, gain."""
-    grid = threshold_grid(long, size, by)
+    grid = threshold_grid(long, size, by).cache()  # at most 64 rows per group, used twice
     return best(gains(side_counts(long, grid, by), criterion, weighted, by), by)
 
 
 def best_variance_splits(long: DataFrame, size: int | None = None, by: tuple[str, ...] = ("feature",)) -> DataFrame:
     """The same for a numeric label: reduction of the population variance."""
-    grid = threshold_grid(long, size, by)
+    grid = threshold_grid(long, size, by).cache()  # at most 64 rows per group, used twice
     packed = grid.groupBy(*by).agg(F.array_sort(F.collect_list("threshold")).alias("grid"))
     bucket = F.size(F.filter("grid", lambda t: t < F.col("value")))
     y = F.col("label").cast("decimal(18,2)")

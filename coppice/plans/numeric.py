@@ -44,7 +44,7 @@ def _grid_sql(size):
 _BEST = """
 b AS (SELECT *, round(gain, 9) AS g, max(j) OVER (PARTITION BY feature) AS top FROM gains),
 r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY CASE WHEN g > 0 THEN g ELSE 0.0 END DESC, CASE WHEN g > 0 THEN threshold END, abs(j - floor((top + 1) / 2))) AS pos FROM b)
-SELECT feature, threshold, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right, round(greatest(g, 0.0), 8) AS gain FROM r WHERE pos = 1
+SELECT feature, round(threshold, 6) AS threshold, CAST(n_left AS BIGINT) AS n_left, CAST(n_right AS BIGINT) AS n_right, round(greatest(g, 0.0), 8) AS gain FROM r WHERE pos = 1
 """
 
 
@@ -80,7 +80,7 @@ gains AS (SELECT feature, j, threshold, n_left, nn - n_left AS n_right, CASE WHE
 
 
 def _rounded(df):
-    return df.select("feature", "threshold", "n_left", "n_right", F.round("gain", 8).alias("gain"))
+    return df.select("feature", F.round("threshold", 6).alias("threshold"), "n_left", "n_right", F.round("gain", 8).alias("gain"))
 
 
 def _split(criterion):
@@ -252,7 +252,7 @@ def q29(spark, d):
 
 def q49(spark, d):
     df = lines(spark, d).withColumn("node", (F.col("l_linenumber") % 3).cast("int"))
-    return trees.level_splits(df, FEATURES, "is_r", size=32).select("node", "feature", "threshold", "n_left", "n_right", F.round("gain", 8).alias("gain"))
+    return trees.level_splits(df, FEATURES, "is_r", size=32).select("node", "feature", F.round("threshold", 6).alias("threshold"), "n_left", "n_right", F.round("gain", 8).alias("gain"))
 
 
 def _q49_sql():
@@ -312,8 +312,8 @@ QUERIES = {
         "WITH c AS (SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL), p AS (SELECT l_linestatus, n / sum(n) OVER (PARTITION BY l_linestatus) AS p FROM c) SELECT l_linestatus, round(1 - sum(p * p), 9) AS impurity FROM p GROUP BY ALL",
     ),
     "q04_threshold_grid": (
-        lambda s, d: splits.threshold_grid(long(s, d), 64).select("feature", F.col("j").cast("long").alias("j"), "threshold"),
-        f"WITH long AS ({_long_sql()}), grid AS (SELECT feature, unnest(list_sort(list_distinct({_grid_sql(64)}))) AS threshold FROM long GROUP BY feature) SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY threshold) - 1 AS j, threshold FROM grid",
+        lambda s, d: splits.threshold_grid(long(s, d), 64).select("feature", F.col("j").cast("long").alias("j"), F.round("threshold", 6).alias("threshold")),
+        f"WITH long AS ({_long_sql()}), grid AS (SELECT feature, unnest(list_sort(list_distinct({_grid_sql(64)}))) AS threshold FROM long GROUP BY feature) SELECT feature, row_number() OVER (PARTITION BY feature ORDER BY threshold) - 1 AS j, round(threshold, 6) AS threshold FROM grid",
     ),
     "q05_best_split_entropy": _split("entropy"),
     "q06_best_split_gini": _split("gini"),
