@@ -6,13 +6,17 @@ to j + 1; a text's signature holds each register's minimum. The draws of a shing
 correlated, so the estimate varies less than with independent hashes, and drawing stops as soon
 as no register can fall any more. Texts that agree in all registers of a band are candidates.
 
-Texts with equal sets are one class from the start: copies are never paired. Candidate classes
-that a chain of bands connects form a candidate group. Its full sets meet in blocks of bounded
-size, every block with every other one of the group; inside, a breadth-first search with
-removal finds the links (100 * intersection >= percent * union) that connect classes, each
-class being compared only with classes not reached yet. Only a spanning forest of links leaves
-a block, and its components are the result: a group of any size is processed whole, in bounded
-memory, and without writing its pairs.
+Texts with equal sets are one class from the start: copies are never paired. The least class
+of a band key is its centre; all classes that meet a centre in some band form its group. Full
+sets are compared in blocks of bounded size: a breadth-first search with removal finds the links
+(100 * intersection >= percent * union) that connect classes, each class being compared only
+with classes not reached yet, and only a spanning forest of links leaves a block. Two rounds do
+this. In the first, each group is cut into blocks (its centre is in all of them): most groups
+are one block and done. In the second, groups of several blocks whose classes aren't one
+component yet are cut again, every large component into blocks of its own, and each block meets
+every other one but those of its own component, which have nothing to add. The components of
+both rounds' links are the result: a group of any size is processed whole, in bounded memory,
+without writing its pairs, and rows are multiplied only by what is still apart.
 
 Texts with fewer than five words have their whole word sequence as one shingle; null texts and
 texts without words have no set and are linked with nothing. Rows with a null doc_id count like
@@ -28,7 +32,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as tx
@@ -38,7 +42,7 @@ SHINGLE = 5
 PERCENT = 85
 #: 20 bands of 5 registers: a pair of similarity 0.85 is missed with a probability of 8e-6.
 BANDS, ROWS = 20, 5
-#: Bounds of a block of candidate classes.
+#: Bounds of a block of candidate classes (as hashing fills them).
 BLOCK_CLASSES, BLOCK_SHINGLES = 1500, 2_000_000
 
 
@@ -187,32 +191,67 @@ def verify(sets: DataFrame, percent: int) -> DataFrame:
     return sets.mapInArrow(run, "a binary, b binary")
 
 
+def blocks_of(n_classes: F.Column, n_shingles: F.Column) -> F.Column:
+    return F.greatest(F.lit(1), F.ceil(n_classes / BLOCK_CLASSES), F.ceil(n_shingles / BLOCK_SHINGLES)).cast("int")
+
+
+def compare(some: DataFrame, placed: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links inside blocks; placed has cid, rep and places (array of (grp, i, j)). Each text is fetched and shingled once."""
+    wanted = placed.groupBy("cid").agg(F.first("rep").alias("rep"), F.flatten(F.collect_list("places")).alias("places"))
+    wanted = wanted.select("cid", "places", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    texts = some.join(wanted, some["doc_id"].eqNullSafe(wanted["rep_id"]) & (some["text_hash"] == wanted["rep_hash"])).select("cid", "places", "text")
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in tx.slices(batches, "text", 2_000_000):
+            hashes, rows = shingles(part.column("text"), shingle)
+            cuts = np.append(0, np.cumsum(np.bincount(rows, minlength=part.num_rows)))
+            yield pa.RecordBatch.from_arrays([part.column("cid"), part.column("places"), pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["cid", "places", "shingles"])
+
+    sets = texts.mapInArrow(full, "cid binary, places array<struct<grp:binary,i:int,j:int>>, shingles binary")
+    sets = sets.select("cid", "shingles", F.explode("places").alias("at")).select("at.*", "cid", "shingles")
+    return verify(sets.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j"), percent)
+
+
+def still_apart(member: DataFrame, large: DataFrame, found: DataFrame) -> DataFrame:
+    """cid, rep and places for the second round: groups (large) of several blocks that the components found so far don't unite."""
+    held = member.join(large.select("centre"), "centre").join(found, member["cid"] == found["node"], "left")
+    held = tx.settled(held.select("cid", "rep", "n", "centre", F.coalesce("root", "cid").alias("component")))
+    parts = held.groupBy("centre", "component").agg(F.count("*").alias("classes"), F.sum("n").alias("size"))
+    own = F.when((F.col("classes") >= BLOCK_CLASSES) | (F.col("size") >= BLOCK_SHINGLES), F.col("component"))
+    parts = tx.settled(parts.withColumn("home", own))
+    # a group's homes: its large components, and one for all small ones (null)
+    homes = parts.groupBy("centre", "home").agg(blocks_of(F.sum("classes"), F.sum("size")).alias("blocks"), F.count("*").alias("components"))
+    group = Window.partitionBy("centre")
+    before = group.orderBy("home").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    homes = homes.select("centre", "home", "blocks", (F.sum("blocks").over(before) - F.col("blocks")).cast("int").alias("low"), F.sum("blocks").over(group).cast("int").alias("total"), F.sum("components").over(group).alias("apart")).where("apart > 1")
+    homes = homes.withColumnRenamed("centre", "of").withColumnRenamed("home", "own")
+    parts = tx.settled(parts.join(homes, (parts["centre"] == homes["of"]) & parts["home"].eqNullSafe(homes["own"])).select("centre", "component", "home", "blocks", "low", "total"))
+    block = (F.col("low") + F.pmod(F.xxhash64("cid"), F.col("blocks"))).cast("int")
+    rows = held.join(parts, ["centre", "component"]).withColumn("block", block)
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda w: F.col("home").isNull() | (w < F.col("low")) | (w >= F.col("low") + F.col("blocks")))
+    places = F.transform(others, lambda w: F.struct(F.col("centre").alias("grp"), F.least("block", w).alias("i"), F.greatest("block", w).alias("j")))
+    return rows.select("cid", "rep", places.alias("places"))
+
+
 def classes(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, n_bands: int = BANDS, n_rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, cid (the class of equal sets) and root (the class that names its component; null without set)."""
     some = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     signed = tx.settled(sign(some, shingle, n_bands, n_rows))
     # classes of equal sets; of equal rows any may stand for the class
     own = signed.where("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_shingles").alias("n"), F.max("keys").alias("keys"))
-    keys = own.select("cid", F.explode("keys").alias("key"))
+    keys = own.select("cid", "rep", "n", F.explode("keys").alias("key"))
     centres = keys.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("last")).where("centre != last").select("key", "centre")
-    near = keys.join(tx.settled(centres), "key").where("cid != centre").select(F.col("cid").alias("a"), F.col("centre").alias("b"))
-    groups = components(near)
-    candidates = tx.settled(own.drop("keys").join(groups, own["cid"] == groups["node"]).select("cid", "rep", "n", F.col("root").alias("grp")))
-    blocks = candidates.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    wanted = candidates.join(tx.settled(blocks), "grp").select("cid", "grp", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
-    texts = some.join(wanted, some["doc_id"].eqNullSafe(wanted["rep_id"]) & (some["text_hash"] == wanted["rep_hash"])).select("cid", "grp", "blocks", "block", "text")
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tx.slices(batches, "text", 2_000_000):
-            hashes, rows = shingles(part.column("text"), shingle)
-            cuts = np.append(0, np.cumsum(np.bincount(rows, minlength=part.num_rows)))
-            yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("cid", "grp", "blocks", "block")), pa.array([hashes[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["cid", "grp", "blocks", "block", "shingles"])
-
-    sets = texts.mapInArrow(full, "cid binary, grp binary, blocks int, block int, shingles binary")
-    sets = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("grp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "cid", "shingles")
-    links = verify(sets.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j"), percent)
-    found = components(links)
+    member = tx.settled(keys.join(tx.settled(centres), "key").select("cid", "rep", "n", "centre").distinct())
+    groups = tx.settled(member.groupBy("centre").agg(blocks_of(F.count("*"), F.sum("n")).alias("blocks")))
+    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    at = F.when(F.col("cid") == F.col("centre"), all_blocks).otherwise(F.array(F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
+    places = F.transform(at, lambda i: F.struct(F.col("centre").alias("grp"), i.alias("i"), i.alias("j")))
+    first = member.join(groups, "centre").select("cid", "rep", places.alias("places"))
+    found = components(compare(some, first, percent, shingle))
+    large = groups.where("blocks > 1")
+    if large.limit(1).count():
+        second = compare(some, still_apart(member, large, found), percent, shingle)
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
     roots = signed.select("doc_id", "text_hash", "n_shingles", "cid").join(found, signed["cid"] == found["node"], "left")
     return roots.select("doc_id", "text_hash", "n_shingles", "cid", F.coalesce("root", "cid").alias("root"))
 

@@ -485,6 +485,28 @@ def test_near_duplicates(spark, docs, rows, none, size, monkeypatch):
     assert near_duplicates.near_duplicates(none).count() == 0
 
 
+def test_groups_of_many_blocks(spark, monkeypatch):
+    """Families of variants with similarities on both sides of the border; the second round has large and small components to compare."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_CLASSES", 4)
+    reached = []
+    still_apart = near_duplicates.still_apart
+    monkeypatch.setattr(near_duplicates, "still_apart", lambda *x: reached.append(still_apart(*x)) or reached[-1])
+    rng = random.Random(8)
+    family = []
+    for f in range(3):
+        base = [f"v{f}x{rng.randint(0, 500)}" for _ in range(160)]
+        for _ in range(40):
+            variant = list(base)
+            for _ in range(rng.choice([1, 1, 2, 3, 5])):
+                variant[rng.randrange(160)] = f"n{rng.randint(0, 10**6)}"
+            family.append(" ".join(variant))
+    some = [(i, t) for i, t in enumerate(family)]
+    got = near_duplicates.near_duplicates(spark.createDataFrame(some, "doc_id long, text string").repartition(5)).collect()
+    assert Counter(map(tuple, got)) == near_plainly(some, 85)
+    second = reached[0].select("cid", "places").collect()
+    assert second and any(p["i"] != p["j"] for r in second for p in r["places"])
+
+
 def test_one_of_each(spark, docs, rows, none):
     kept = near_duplicates.one_of_each(docs)
     assert kept.columns == docs.columns
