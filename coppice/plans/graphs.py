@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import impurity, smiles, text
-from ..operators import colony, hierarchy, metrics, refinements, rules, splits, trees
-from ..sources.tables import binary_labels, graph_of, hashed, load_dataset, table
+from ..operators import colony, hierarchy, metrics, refinements, rules, sampling, splits, trees
+from ..sources.tables import binary_labels, graph_of, load_dataset, table
 from . import numeric
 
 _TAX = "h(child, parent) AS (SELECT 'R:' || r_regionkey, 'Thing' FROM region UNION ALL SELECT 'N:' || n_nationkey, 'R:' || n_regionkey FROM nation UNION ALL SELECT 'C:' || c_custkey, 'N:' || c_nationkey FROM customer)"
@@ -40,11 +40,11 @@ def parts(spark, d):
 
 def _pairs(spark, d):
     n = table(spark, d, "nation").select(F.concat(F.lit("N:"), "n_nationkey").alias("a"), F.col("n_nationkey").alias("i"))
-    c = table(spark, d, "customer").where("c_custkey <= 40").select(F.concat(F.lit("C:"), "c_custkey").alias("b"), (F.col("c_custkey") % 25).alias("i"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("C:"), "c_custkey").alias("b"), (F.col("c_custkey") % 25).alias("i"))
     return n.join(c, "i").select("a", "b").unionByName(n.select("a", F.col("a").alias("b")))
 
 
-_PAIRS = "pairs AS (SELECT 'N:' || n_nationkey AS a, 'C:' || c_custkey AS b FROM nation JOIN customer ON c_custkey % 25 = n_nationkey WHERE c_custkey <= 40 UNION ALL SELECT 'N:' || n_nationkey, 'N:' || n_nationkey FROM nation)"
+_PAIRS = "pairs AS (SELECT 'N:' || n_nationkey AS a, 'C:' || c_custkey AS b FROM nation JOIN customer ON c_custkey % 25 = n_nationkey UNION ALL SELECT 'N:' || n_nationkey, 'N:' || n_nationkey FROM nation)"
 _LCA = f"{_PAIRS}, l AS (SELECT a, b, ca.ancestor, depth, row_number() OVER (PARTITION BY a, b ORDER BY depth DESC, ca.ancestor) AS pos FROM pairs JOIN c ca ON ca.node = a JOIN c cb ON cb.node = b AND cb.ancestor = ca.ancestor JOIN dep ON dep.node = ca.ancestor), lca AS (SELECT a, b, ancestor AS lca, depth AS lca_depth FROM l WHERE pos = 1)"
 _SIMS = f"{_LCA}, sims AS (SELECT a, b, lca, CASE WHEN a = b THEN 1.0::DOUBLE WHEN da.depth + db.depth = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * lca_depth / (da.depth + db.depth) END AS wu_palmer, CASE WHEN a = b THEN 1.0::DOUBLE WHEN ia.ic + ib.ic = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * il.ic / (ia.ic + ib.ic) END AS lin FROM lca JOIN dep da ON da.node = a JOIN dep db ON db.node = b JOIN ic ia ON ia.node = a JOIN ic ib ON ib.node = b JOIN ic il ON il.node = lca)"
 
@@ -104,16 +104,16 @@ def q43(s, d):
 
 
 def _numbers(s, d):
-    l = table(s, d, "lineitem").where("l_orderkey <= 2000")
+    l = table(s, d, "lineitem")
     return l.select(F.lit("l_discount").alias("property"), F.col("l_discount").alias("value")).unionByName(l.select(F.lit("l_linenumber"), F.col("l_linenumber").cast("double")).toDF("property", "value")).unionByName(l.select(F.lit("l_quantity"), "l_quantity").toDF("property", "value"))
 
 
-_NUMBERS = "x AS (SELECT DISTINCT 'l_discount' AS property, l_discount AS value FROM lineitem WHERE l_orderkey <= 2000 UNION SELECT 'l_linenumber', CAST(l_linenumber AS DOUBLE) FROM lineitem WHERE l_orderkey <= 2000 UNION SELECT 'l_quantity', l_quantity FROM lineitem WHERE l_orderkey <= 2000), n AS (SELECT property, count(*) AS n, max(value) AS top, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM x GROUP BY property)"
+_NUMBERS = "x AS (SELECT DISTINCT 'l_discount' AS property, l_discount AS value FROM lineitem UNION SELECT 'l_linenumber', CAST(l_linenumber AS DOUBLE) FROM lineitem UNION SELECT 'l_quantity', l_quantity FROM lineitem), n AS (SELECT property, count(*) AS n, max(value) AS top, quantile_cont(value, [0.25, 0.5, 0.75]) AS q FROM x GROUP BY property)"
 
 
 def q45(s, d):
     v = _values(s, d)
-    return refinements.qualification_candidates(v, hierarchy.closure(parts(s, d)), ["B:Brand#1", "t:"], 30).select("property", "concept", F.col("rank").cast("long").alias("rank"))
+    return refinements.qualification_candidates(v, hierarchy.closure(parts(s, d)), ["B:Brand#1", "t:"]).select("property", "concept", F.col("rank").cast("long").alias("rank"))
 
 
 DISJOINT = [("N:1", "N:2"), ("N:3", "N:10")]
@@ -121,7 +121,7 @@ DISJOINT = [("N:1", "N:2"), ("N:3", "N:10")]
 
 def q46(s, d):
     names = table(s, d, "nation").select(F.concat(F.lit("N:"), "n_nationkey").alias("concept"))
-    return refinements.conjunction_candidates(names, s.createDataFrame(DISJOINT, "a string, b string"), 12)
+    return refinements.conjunction_candidates(names, s.createDataFrame(DISJOINT, "a string, b string"))
 
 
 PREDICATES = [
@@ -219,8 +219,8 @@ def q60(s, d):
 
 def q62(s, d):
     df = numeric.lines(s, d)
-    even = df.where("l_orderkey % 2 = 0")
-    return colony.pocket(df, even, {"p1": ["l_quantity", "l_discount"], "p2": ["l_tax", "l_extendedprice", "l_quantity"]}).groupBy("p1", "p2").agg(F.count("*").alias("n"))
+    train = sampling.random_split(df, "l_orderkey", 0.25).where("not is_test")
+    return colony.pocket(df, train, {"p1": ["l_quantity", "l_discount"], "p2": ["l_tax", "l_extendedprice", "l_quantity"]}).groupBy("p1", "p2").agg(F.count("*").alias("n"))
 
 
 def q64(s, d):
@@ -238,7 +238,7 @@ def q65(s, d):
 
 
 def q66(s, d):
-    lines = table(s, d, "documents").select(F.regexp_extract("text", r"^([^\n]{0,40})", 1).alias("name"))
+    lines = table(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("name"))
     return refinements.keyword_concepts(lines, {"the": "the ", "caps": "!!", "junk": r"\*\*\*"}, 20).select("topic", "name", F.col("rank").cast("long").alias("rank"))
 
 
@@ -248,9 +248,10 @@ def q67(s, d):
 
 
 def q68(s, d):
-    """Rules of a colony on a hash sample's complement: fitted on training rows, rated on validation rows."""
+    """Rules of a colony: fitted on training rows, rated on the rows of the split's other side."""
     df = numeric.lines(s, d).select("l_orderkey", "is_r", *numeric.FEATURES)
-    train, test = df.where(hashed(F.col("l_orderkey"), F.lit(1)) % 4 != 0), df.where(hashed(F.col("l_orderkey"), F.lit(1)) % 4 == 0)
+    rows = sampling.random_split(df, "l_orderkey", 0.25, seed=1)
+    train, test = rows.where("not is_test"), rows.where("is_test")
     found, _ = colony.colony_fit(train, numeric.FEATURES, "is_r", ants=4, generations=2, steps=2)
     return rules.statistics(test, rules.rule_table(s, found), "is_r")
 
@@ -259,8 +260,9 @@ def q69(s, d):
     """A bagged forest: share of each probability among rows that weren't used to fit it."""
     key = F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long"))
     df = numeric.lines(s, d).withColumn("row_key", key).select("row_key", "is_r", *numeric.FEATURES)
-    forest = trees.fit_forest(df.where(hashed(F.col("row_key"), F.lit(1)) % 4 != 0), "row_key", numeric.FEATURES, "is_r", trees=2, depth=2)
-    out = trees.forest_predict(df.where(hashed(F.col("row_key"), F.lit(1)) % 4 == 0), forest)
+    rows = sampling.random_split(df, "row_key", 0.25, seed=1)
+    forest = trees.fit_forest(rows.where("not is_test"), "row_key", numeric.FEATURES, "is_r", trees=2, depth=2)
+    out = trees.forest_predict(rows.where("is_test"), forest)
     return out.groupBy(F.round("probability", 6).alias("probability")).agg(F.count("*").alias("n"), F.sum("is_r").alias("positives"))
 
 
@@ -312,7 +314,7 @@ QUERIES = {
     "q33_ic": (lambda s, d: hierarchy.information_content(taxonomy(s, d)).select("node", "descendants", F.round(F.col("ic") + 0.0, 9).alias("ic")), f"{_C} SELECT node, descendants, round(ic + 0.0, 9) AS ic FROM ic"),
     "q34_lca": (lambda s, d: hierarchy.pair_lca(_pairs(s, d), *_kit(s, d)[1:3]), f"{_C}, {_LCA} SELECT a, b, lca, CAST(lca_depth AS INTEGER) AS lca_depth FROM lca"),
     "q35_wu_palmer": (lambda s, d: _sims(s, d, "wu_palmer"), f"{_C}, {_SIMS} SELECT a, b, lca, round(wu_palmer, 9) AS wu_palmer FROM sims"),
-    "q36_lin": (lambda s, d: _sims(s, d, "lin"), f"{_C}, {_SIMS} SELECT a, b, lca, round(lin, 9) AS lin FROM sims"),
+    "q36_lin": (lambda s, d: _sims(s, d, "lin"), f"{_C}, {_SIMS} SELECT a, b, lca, round(lin, 9) + 0.0 AS lin FROM sims"),
     "q37_ati": (lambda s, d: numeric._nine(hierarchy.average_information(_set_table(s), hierarchy.taxonomic_information(*_kit(s, d)[2:]))), f"{_C}, {_ATI} SELECT set_id, round(ati, 9) AS ati FROM ati"),
     "q38_set_similarity": (lambda s, d: numeric._nine(hierarchy.set_similarity(_set_table(s), *_kit(s, d)[1:])), f"{_C}, {_SETS}, {_SETSIM} SELECT set_id, round(similarity, 9) AS similarity FROM setsim"),
     "q39_pig_gain": (_score(lambda: impurity.pig(F.col("gain"), F.col("ati"))), _gain_sql("gain * (1 + ln(1 + ati))")),
@@ -321,8 +323,8 @@ QUERIES = {
     "q42_concept_candidates": (lambda s, d: refinements.concept_candidates(taxonomy(s, d), "R:2"), "SELECT 'N:' || n_nationkey AS concept FROM nation WHERE n_regionkey = 2"),
     "q43_cardinality": (q43, "WITH n AS (SELECT count(l_orderkey) AS value FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey) SELECT DISTINCT 'lines' AS property, '>' AS operator, value FROM n WHERE value < (SELECT max(value) FROM n)"),
     "q44_domain": (lambda s, d: refinements.domain_candidates(_numbers(s, d)), f"WITH {_NUMBERS} SELECT DISTINCT property, '<=' AS operator, unnest(q) AS value FROM n WHERE n > 10 UNION ALL SELECT property, '<=', value FROM x JOIN n USING (property) WHERE n <= 10 AND value < top"),
-    "q45_qualification": (q45, f"{_CP}, seen AS (SELECT DISTINCT ancestor AS concept FROM (SELECT DISTINCT 'P:' || l_partkey AS node FROM lineitem) JOIN c USING (node)), r AS (SELECT 'part' AS property, concept, row_number() OVER (ORDER BY (contains(lower(concept), 'b:brand#1') OR contains('b:brand#1', lower(concept)) OR contains(lower(concept), 't:') OR contains('t:', lower(concept))) DESC, concept) AS rank FROM seen) SELECT property, concept, rank FROM r WHERE rank <= 30"),
-    "q46_conjunction": (q46, f"WITH n AS (SELECT concept FROM ({_NAT}) ORDER BY concept LIMIT 12) SELECT a.concept AS a, b.concept AS b FROM n a JOIN n b ON a.concept < b.concept WHERE (a.concept, b.concept) NOT IN (('N:1', 'N:2'), ('N:10', 'N:3'))"),
+    "q45_qualification": (q45, f"{_CP}, seen AS (SELECT DISTINCT ancestor AS concept FROM (SELECT DISTINCT 'P:' || l_partkey AS node FROM lineitem) JOIN c USING (node)), r AS (SELECT 'part' AS property, concept, row_number() OVER (ORDER BY (contains(lower(concept), 'b:brand#1') OR contains('b:brand#1', lower(concept)) OR contains(lower(concept), 't:') OR contains('t:', lower(concept))) DESC, concept) AS rank FROM seen) SELECT property, concept, rank FROM r WHERE rank <= 50"),
+    "q46_conjunction": (q46, f"WITH n AS (SELECT concept FROM ({_NAT}) ORDER BY concept LIMIT 50) SELECT a.concept AS a, b.concept AS b FROM n a JOIN n b ON a.concept < b.concept WHERE (a.concept, b.concept) NOT IN (('N:1', 'N:2'), ('N:10', 'N:3'))"),
     "q47_validity_filter": (lambda s, d: refinements.valid(_evaluated(s, d), _P), f"WITH {_EVAL}, u AS (SELECT count(*) AS n, {', '.join(f'CAST(sum(CAST({p} AS INTEGER)) AS BIGINT) AS {p}' for p in _P)} FROM e), x AS (UNPIVOT u ON {', '.join(_P)} INTO NAME predicate VALUE n_true) SELECT n, predicate, n_true FROM x WHERE n_true > 0 AND n_true < n"),
     "q48_refinement_eval": (lambda s, d: _evaluated(s, d).groupBy(*_P).agg(F.count("*").alias("n"), F.sum("id").alias("key_sum")), f"WITH {_EVAL} SELECT {', '.join(_P)}, count(*) AS n, CAST(sum(id) AS BIGINT) AS key_sum FROM e GROUP BY ALL"),
     "q51_evaporate_deposit": (lambda s, d: _edges_out(colony.deposit(colony.evaporate(_graph(s), 0.02, 1e-6), _found(s).select("path_id", "nodes", F.col("fitness").alias("amount")))), _update_sql("fitness", "TRUE", "greatest(tau * 0.98::DOUBLE, 1e-6)", "0.0", "1e308")),
@@ -336,11 +338,11 @@ QUERIES = {
     "q59_gates_zone": (q59, f"WITH RECURSIVE {_TAX}, b AS (SELECT child AS x, parent AS y FROM h UNION SELECT parent, child FROM h), z(start, node, dist) AS (SELECT n, n, 0 FROM (VALUES ('R:0'), ('Thing')) v(n) UNION SELECT start, y, dist + 1 FROM z JOIN b ON b.x = z.node WHERE dist < 2), m AS (SELECT start, node, min(dist) AS dist FROM z GROUP BY ALL) SELECT start, CAST(dist AS BIGINT) AS dist, count(*) AS n, round(max(1 + 0.5 * ln(1 + dist)), 9) AS bonus FROM m GROUP BY start, dist"),
     "q60_bfs": (q60, f"WITH RECURSIVE {_TAX}, b AS (SELECT child AS x, parent AS y FROM h UNION SELECT parent, child FROM h), z(node, dist) AS (SELECT 'N:0', 0 UNION SELECT y, dist + 1 FROM z JOIN b ON b.x = z.node WHERE dist < 2) SELECT child AS src, parent AS dst FROM h WHERE child IN (SELECT node FROM z) AND parent IN (SELECT node FROM z)"),
     "q61_clip": (lambda s, d: colony.clip(table(s, d, "customer").select("c_custkey", "c_acctbal"), {"c_acctbal": (0.0, 5000.0)}).withColumn("c_acctbal", F.round("c_acctbal", 6)), "SELECT c_custkey, round(greatest(0.0, least(5000.0, c_acctbal)), 6) AS c_acctbal FROM customer"),
-    "q62_pocket": (q62, "WITH m AS (SELECT median(l_quantity) AS q, median(l_discount) AS di, median(l_tax) AS t, median(l_extendedprice) AS e FROM lineitem WHERE l_orderkey % 2 = 0), p AS (SELECT CAST((CAST(l_quantity >= q AS INTEGER) + CAST(l_discount >= di AS INTEGER)) / 2 >= 0.5 AS INTEGER) AS p1, CAST((CAST(l_tax >= t AS INTEGER) + CAST(l_extendedprice >= e AS INTEGER) + CAST(l_quantity >= q AS INTEGER)) / 3 >= 0.5 AS INTEGER) AS p2 FROM lineitem, m) SELECT p1, p2, count(*) AS n FROM p GROUP BY ALL"),
+    "q62_pocket": (q62, "WITH m AS (SELECT median(l_quantity) AS q, median(l_discount) AS di, median(l_tax) AS t, median(l_extendedprice) AS e FROM lineitem WHERE " + numeric._H("l_orderkey", "42") + " >= 1073741824), p AS (SELECT CAST((CAST(l_quantity >= q AS INTEGER) + CAST(l_discount >= di AS INTEGER)) / 2 >= 0.5 AS INTEGER) AS p1, CAST((CAST(l_tax >= t AS INTEGER) + CAST(l_extendedprice >= e AS INTEGER) + CAST(l_quantity >= q AS INTEGER)) / 3 >= 0.5 AS INTEGER) AS p2 FROM lineitem, m) SELECT p1, p2, count(*) AS n FROM p GROUP BY ALL"),
     "q63_categories": (lambda s, d: table(s, d, "part").groupBy(text.category(F.col("p_retailprice"), 1200, 1600, ("Low", "Medium", "High")).alias("category")).agg(F.count("*").alias("n")), "SELECT CASE WHEN p_retailprice < 1200 THEN 'Low' WHEN p_retailprice < 1600 THEN 'Medium' ELSE 'High' END AS category, count(*) AS n FROM part GROUP BY 1"),
     "q64_label_normalise": (q64, "SELECT CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderstatus = 'F' AS INTEGER) END AS label, count(*) AS n FROM orders GROUP BY 1"),
     "q65_smiles_descriptors": (q65, None),
-    "q66_concept_keywords": (q66, "WITH n AS (SELECT DISTINCT regexp_extract(text, '^([^\\n]{0,40})', 1) AS name FROM documents), t(topic, rx) AS (VALUES ('the', 'the '), ('caps', '!!'), ('junk', '\\*\\*\\*')), r AS (SELECT topic, name, row_number() OVER (PARTITION BY topic ORDER BY name) AS rank FROM n JOIN t ON regexp_matches(lower(name), rx)) SELECT topic, name, rank FROM r WHERE rank <= 20"),
+    "q66_concept_keywords": (q66, "WITH n AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS name FROM documents), t(topic, rx) AS (VALUES ('the', 'the '), ('caps', '!!'), ('junk', '\\*\\*\\*')), r AS (SELECT topic, name, row_number() OVER (PARTITION BY topic ORDER BY name) AS rank FROM n JOIN t ON regexp_matches(lower(name), rx)) SELECT topic, name, rank FROM r WHERE rank <= 20"),
     "q67_rotating_pick": (q67, "SELECT p_partkey, 'v' || (p_partkey % 7) || ',v' || ((p_partkey + 1) % 7) || ',v' || ((p_partkey + 2) % 7) AS picked FROM part"),
     "q68_colony_fit": (q68, None),
     "q69_bagged_forest": (q69, None),
