@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.impurity import EPSILON, entropy, gini, share
 
+#: Thresholds of a feature, unless another number is asked for.
+MOST = 64
+#: At most so many thresholds are broadcast.
+SMALL_GRID = 500_000
 CRITERIA = ("entropy", "gini", "gain_ratio", "chi_square")
 
 
@@ -18,7 +24,7 @@ def unpivot(df: DataFrame, features: list[str], label: str, keep: tuple[str, ...
 
 def grid_size(n: int) -> int:
     """Number of thresholds for n rows."""
-    return min(64, max(16, n // 20))
+    return min(MOST, max(16, n // 20))
 
 
 def fractions(n: int) -> list[float]:
@@ -26,27 +32,62 @@ def fractions(n: int) -> list[float]:
     return [0.05 + 0.9 * i / (n - 1) for i in range(n)]
 
 
-def threshold_grid(long: DataFrame, size: int | None = None, by: tuple[str, ...] = ("feature",), approximate: bool = False) -> DataFrame:
-    """by, j (0-based) and threshold: distinct quantiles.
+def _n(weight: str | None) -> F.Column:
+    return (F.count("*") if weight is None else F.sum(F.col(weight).cast("long"))).alias("n")
+
+
+def bucket_of(grid: str, value: str, most: int) -> tuple[F.Column, F.Column]:
+    """How many elements of a sorted array column of at most `most` lie below a value: by blocks first (column _block), then inside one.
+
+    Comparisons written out, so that they stay in generated code; higher-order functions are interpreted row by row.
+    """
+    width = math.isqrt(most - 1) + 1
+    below = lambda at: f"coalesce(cast(get({grid}, {at}) < {value} as int), 0)"
+    block = F.expr(" + ".join(below(i * width + width - 1) for i in range(width)))
+    inside = F.expr(" + ".join(below(f"_block * {width} + {k}") for k in range(width)))
+    return F.when(F.size(grid) > most, F.raise_error(F.lit("more thresholds than `most`")).cast("int")).otherwise(block), F.col("_block") * width + inside
+
+
+def ranked_cells(long: DataFrame, by: tuple[str, ...], weight: str | None) -> DataFrame:
+    """by, value, n, last (rows up to the value), next (the value after it) and total of a group's distinct values."""
+    cells = long.groupBy(*by, "value").agg(_n(weight))  # equal values meet before they are sorted
+    every, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("value")
+    return cells.withColumns({"last": F.sum("n").over(upto), "next": F.lead("value").over(upto)}).withColumn("total", F.sum("n").over(every))
+
+
+def packed_grid(grid: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """One row per group, its thresholds in an array: to be broadcast where the grid has at most SMALL_GRID rows."""
+    packed = grid.groupBy(*by).agg(F.array_sort(F.collect_list("threshold")).alias("grid"))
+    return F.broadcast(packed) if grid.limit(SMALL_GRID + 1).count() <= SMALL_GRID else packed
+
+
+def threshold_grid(long: DataFrame, size: int | None = None, by: tuple[str, ...] = ("feature",), approximate: bool = False, weight: str | None = None) -> DataFrame:
+    """by, j (0-based) and threshold: distinct quantiles; a row counts weight times.
 
     The exact ones are interpolated between neighbours in the order of a group's distinct values, which one
     task sorts (it can spill): for a feature with very many distinct values, use approximate, which merges
     sketches of bounded size.
     """
     if size is None:
-        size = grid_size(long.groupBy(*by).count().agg(F.max("count")).first()[0] or 0)
+        size = grid_size(long.groupBy(*by).agg(_n(weight)).agg(F.max("n")).first()[0] or 0)
     at = fractions(size)
     if approximate:
+        if weight is not None:
+            raise ValueError("sketches don't take weights")
         values = long.groupBy(*by).agg(F.percentile_approx("value", F.array(*map(F.lit, at)), 10_000).alias("values"))
     else:
-        cells = long.groupBy(*by, "value").agg(F.count("*").alias("n"))  # equal values meet before they are sorted
-        every, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("value")
-        ranked = cells.withColumns({"last": F.sum("n").over(upto), "next": F.lead("value").over(upto)}).withColumn("total", F.sum("n").over(every))
-        # a cell covers the positions from last - n up to, but without, last; the one at last is the next cell's
-        place = lambda f: F.lit(f) * (F.col("total") - 1)
-        value = lambda p: F.when(p <= F.col("last") - 1, F.col("value")).otherwise((F.ceil(p) - p) * F.col("value") + (p - F.floor(p)) * F.col("next"))
-        inside = lambda p: (p >= F.col("last") - F.col("n")) & (p < F.col("last"))
-        values = ranked.groupBy(*by).agg(F.array(*(F.max(F.when(inside(place(f)), value(place(f)))) for f in at)).alias("values"))
+        ranked = ranked_cells(long, by, weight)
+        # a cell covers the positions from last - n up to, but without, last; the one at last is the next cell's.
+        # Few cells cover any: the range of the fractions that may lie in a cell is computed, then each is tested exactly.
+        near = lambda p: (F.try_divide(p.cast("double"), F.col("total") - 1) - at[0]) / (at[-1] - at[0]) * (size - 1)
+        low = F.greatest(F.lit(0), F.coalesce(F.ceil(near(F.col("last") - F.col("n")) - 1e-6).cast("int"), F.lit(0)))
+        high = F.least(F.lit(size - 1), F.coalesce(F.floor(near(F.col("last")) + 1e-6).cast("int"), F.lit(size - 1)))
+        some = ranked.withColumns({"low": low, "high": high}).where("low <= high").withColumn("i", F.explode(F.sequence("low", "high")))
+        some = some.withColumn("p", F.element_at(F.array(*map(F.lit, at)), F.col("i") + 1) * (F.col("total") - 1))
+        some = some.where((F.col("p") >= F.col("last") - F.col("n")) & (F.col("p") < F.col("last")))
+        p = F.col("p")
+        value = F.when(p <= F.col("last") - 1, F.col("value")).otherwise((F.ceil(p) - p) * F.col("value") + (p - F.floor(p)) * F.col("next"))
+        values = some.groupBy(*by).agg(F.collect_set(value).alias("values"))  # at most `size` per group
     return values.select(*by, F.posexplode(F.array_sort(F.array_distinct("values"))).alias("j", "threshold"))
 
 
@@ -57,15 +98,15 @@ def class_weights(df: DataFrame, label: str = "label", by: tuple[str, ...] = ())
     return n.withColumn("weight", F.sum("n").over(w) / (F.count("*").over(w) * F.col("n")))
 
 
-def side_counts(long: DataFrame, grid: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame:
+def side_counts(long: DataFrame, grid: DataFrame, by: tuple[str, ...] = ("feature",), weight: str | None = None, most: int = MOST) -> DataFrame:
     """Per candidate (by, j, threshold) and label: n, and left (value <= threshold).
 
     A row falls into the bucket of the number of thresholds below its value; buckets are counted in one
-    pass, and summed up to each threshold. The grid has at most 64 rows per feature.
+    pass, and summed up to each threshold. The grid has at most `most` rows per group.
     """
-    packed = grid.groupBy(*by).agg(F.array_sort(F.collect_list("threshold")).alias("grid"))
-    bucket = F.size(F.filter("grid", lambda t: t < F.col("value")))
-    counted = long.join(packed, list(by)).groupBy(*by, "label", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    packed = packed_grid(grid, by)
+    block, bucket = bucket_of("grid", "value", most)
+    counted = long.join(packed, list(by)).withColumn("_block", block).groupBy(*by, "label", bucket.alias("bucket")).agg(_n(weight))
     summed = counted.groupBy(*by, "label").agg(F.sum("n").alias("n"), F.collect_list(F.struct("bucket", "n")).alias("buckets"))
     left = F.aggregate("buckets", F.lit(0).cast("long"), lambda s, b: s + F.when(b["bucket"] <= F.col("j"), b["n"]).otherwise(0))
     return grid.join(summed, list(by)).select(*by, "j", "threshold", "label", "n", left.alias("left"))
@@ -107,19 +148,19 @@ def best(candidates: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame
     return top.withColumn("gain", F.greatest(g, F.lit(0.0)))
 
 
-def best_splits(long: DataFrame, criterion: str = "entropy", weighted: bool = True, by: tuple[str, ...] = ("feature",), size: int | None = None) -> DataFrame:
-    """One row per feature: threshold, n_left, n_right, gain."""
-    grid = threshold_grid(long, size, by).cache()  # at most 64 rows per group, used twice
-    return best(gains(side_counts(long, grid, by), criterion, weighted, by), by)
+def best_splits(long: DataFrame, criterion: str = "entropy", weighted: bool = True, by: tuple[str, ...] = ("feature",), size: int | None = None, weight: str | None = None) -> DataFrame:
+    """One row per feature: threshold, n_left, n_right, gain. A row counts weight times."""
+    grid = threshold_grid(long, size, by, weight=weight).cache()  # at most `size` rows per group, used twice
+    return best(gains(side_counts(long, grid, by, weight, size or MOST), criterion, weighted, by), by)
 
 
 def best_variance_splits(long: DataFrame, size: int | None = None, by: tuple[str, ...] = ("feature",)) -> DataFrame:
     """The same for a numeric label: reduction of the population variance."""
     grid = threshold_grid(long, size, by).cache()  # at most 64 rows per group, used twice
-    packed = grid.groupBy(*by).agg(F.array_sort(F.collect_list("threshold")).alias("grid"))
-    bucket = F.size(F.filter("grid", lambda t: t < F.col("value")))
+    packed = packed_grid(grid, by)
+    block, bucket = bucket_of("grid", "value", size or MOST)
     y = F.col("label").cast("decimal(18,2)")
-    counted = long.join(packed, list(by)).groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum((y * y).cast("decimal(38,4)")).alias("q"))
+    counted = long.join(packed, list(by)).withColumn("_block", block).groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum((y * y).cast("decimal(38,4)")).alias("q"))
     summed = counted.groupBy(*by).agg(F.collect_list(F.struct("bucket", "n", "s", "q")).alias("buckets"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("double").alias("s"), F.lit(0).cast("double").alias("q"))
     # exact sums per bucket; the few buckets are added as doubles, in order

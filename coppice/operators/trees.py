@@ -8,35 +8,47 @@ from pyspark.sql import functions as F
 from . import splits
 
 
-def level_splits(df: DataFrame, features: list[str], label: str, node: str = "node", criterion: str = "entropy", min_gain: float = 0.0, min_leaf: int = 1, size: int = 32) -> DataFrame:
+def level_splits(df: DataFrame, features: list[str], label: str, node: str = "node", criterion: str = "entropy", min_gain: float = 0.0, min_leaf: int = 1, size: int = 32, weight: str | None = None) -> DataFrame:
     """(node, feature, threshold, n_left, n_right, gain): the best split of each node, the first feature by name on ties; nodes without one are missing."""
-    long = splits.unpivot(df, features, label, (node,))
-    per = splits.best_splits(long, criterion, by=(node, "feature"), size=size)
+    long = splits.unpivot(df, features, label, (node, weight) if weight else (node,))
+    per = splits.best_splits(long, criterion, by=(node, "feature"), size=size, weight=weight)
     ok = per.where((F.col("gain") > min_gain) & (F.col("n_left") >= min_leaf) & (F.col("n_right") >= min_leaf))
     order = Window.partitionBy(node).orderBy(F.desc("gain"), "feature")
     return ok.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def fit_tree(df: DataFrame, features: list[str], label: str, depth: int = 3, criterion: str = "entropy", min_gain: float = 1e-9, min_leaf: int = 1, size: int = 32, weight: str | None = None) -> list[dict]:
-    """Nodes of a tree (id, feature, threshold, counts); children of i are 2 i + 1 and 2 i + 2. At most 2^depth rows reach the driver per level."""
-    nodes: dict[int, dict] = {}
-    now = df.select(*dict.fromkeys([*features, label, *([weight] if weight else [])])).where(F.col(label).isNotNull())
-    if weight:
-        now = now.where(F.col(weight) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(weight)))).drop("_copy")
-    now = now.cache()  # each level scans it twice
+def fit_trees(df: DataFrame, features: list[str], label: str, tree: str, trees: int, depth: int = 3, criterion: str = "entropy", min_gain: float = 1e-9, min_leaf: int = 1, size: int = 32, weight: str | None = None) -> list[list[dict]]:
+    """Trees 0, 1, ... trees - 1, each on the rows whose column `tree` names it: one job scores the open nodes of a depth in all of them.
+
+    A tree is its nodes (id, feature, threshold, counts); children of i are 2 i + 1 and 2 i + 2. A row counts weight times.
+    At most trees * 2^depth rows a label reach the driver per level.
+    """
+    forest: list[dict[int, dict]] = [{} for _ in range(trees)]
+    span = 2 ** (depth + 1)  # a node's number among all trees is tree * span + id
+    now = df.select(*dict.fromkeys([*features, label, tree, *([weight] if weight else [])])).where(F.col(label).isNotNull())
+    now = (now.where(F.col(weight) > 0) if weight else now).cache()  # each level scans it three times
     for level in range(depth + 1):
-        at = now.withColumn("node", node_of(nodes)).where((F.col("node") >= 2**level - 1) & (F.col("node") < 2 ** (level + 1) - 1))
-        for r in at.groupBy("node", F.col(label).alias("y")).agg(F.count("*").alias("n")).collect():
-            nodes.setdefault(r["node"], {"id": r["node"], "feature": None, "threshold": None, "counts": {}})["counts"][r["y"]] = r["n"]
-        if level == depth:
-            break
-        open_ = [i for i, x in nodes.items() if 2**level - 1 <= i < 2 ** (level + 1) - 1 and len(x["counts"]) > 1]
-        if not open_:
+        low, high = 2**level - 1, 2 ** (level + 1) - 1
+        node = F.lit(None).cast("int")
+        for t, nodes in enumerate(forest):
+            node = F.when(F.col(tree) == t, node_of(nodes)).otherwise(node)
+        at = now.withColumn("_id", node).where((F.col("_id") >= low) & (F.col("_id") < high)).withColumn("node", F.col(tree) * span + F.col("_id"))
+        for r in at.groupBy("node", F.col(label).alias("y")).agg((F.sum(weight) if weight else F.count("*")).alias("n")).collect():
+            t, i = divmod(r["node"], span)
+            forest[t].setdefault(i, {"id": i, "feature": None, "threshold": None, "counts": {}})["counts"][r["y"]] = r["n"]
+        open_ = [t * span + i for t, nodes in enumerate(forest) for i, x in nodes.items() if low <= i < high and len(x["counts"]) > 1]
+        if level == depth or not open_:
             break
-        for r in level_splits(at.where(F.col("node").isin(open_)), features, label, criterion=criterion, min_gain=min_gain, min_leaf=min_leaf, size=size).collect():
-            nodes[r["node"]] |= {"feature": r["feature"], "threshold": r["threshold"], "gain": r["gain"]}
+        for r in level_splits(at.where(F.col("node").isin(open_)), features, label, criterion=criterion, min_gain=min_gain, min_leaf=min_leaf, size=size, weight=weight).collect():
+            t, i = divmod(r["node"], span)
+            forest[t][i] |= {"feature": r["feature"], "threshold": r["threshold"], "gain": r["gain"]}
     now.unpersist()
-    return [nodes[i] for i in sorted(nodes)]
+    return [[nodes[i] for i in sorted(nodes)] for nodes in forest]
+
+
+def fit_tree(df: DataFrame, features: list[str], label: str, depth: int = 3, criterion: str = "entropy", min_gain: float = 1e-9, min_leaf: int = 1, size: int = 32, weight: str | None = None) -> list[dict]:
+    """One tree, on all rows."""
+    return fit_trees(df.withColumn("_tree", F.lit(0)), features, label, "_tree", 1, depth, criterion, min_gain, min_leaf, size, weight)[0]
 
 
 def node_of(nodes: dict[int, dict], i: int = 0) -> F.Column:
@@ -78,7 +90,9 @@ def fit_forest(df: DataFrame, key: str, features: list[str], label: str, trees:
     """Bagged trees; each one's multiplicities come from the hash of (key, tree, seed)."""
     from .sampling import multiplicity
 
-    return [fit_tree(df.withColumn("_times", multiplicity(F.col(key), F.lit(t), seed)), features, label, depth, weight="_times") for t in range(trees)]
+    bag = df.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    bag = bag.withColumn("_times", multiplicity(F.col(key), F.col("_tree"), seed))
+    return fit_trees(bag, features, label, "_tree", trees, depth, weight="_times")
 
 
 def forest_predict(df: DataFrame, forest: list[list[dict]]) -> DataFrame:
