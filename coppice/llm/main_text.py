@@ -7,7 +7,9 @@ to source and sink. Edges between neighbouring blocks, and between a block and t
 it in the same container, have capacities that fall with their distance in the document tree. The minimum
 cut, found by maximum flow, labels the blocks; those on the source's side are the main text.
 
-Scripts, styles, comments of the markup, and form controls have no blocks. Character references
+Scripts, styles, comments of the markup, form controls, drawings and embedded media have no
+blocks; formulas are text. Only elements that HTML reads as raw text run on to their own end tag;
+the others without blocks end with the element around them at the latest. Character references
 are decoded, white space inside a block becomes one space, blocks are joined by one space.
 Null and empty pages and pages without content have an empty text. Malformed markup is read as
 far as possible: a new paragraph ends the open one, unknown end tags are ignored, and a "<"
@@ -31,11 +33,15 @@ from . import textops as tx
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|aria-label|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_RAW = frozenset("script style noscript template textarea title svg math iframe object select option canvas audio video button".split())
+_RAW = frozenset("script style noscript textarea title iframe".split())
+_EXCLUDED = frozenset("template svg object select option canvas audio video button".split())
+_SCOPE = frozenset("template svg object select button".split())  # no tag inside closes an element outside
+_DRAWN_HTML = frozenset("foreignobject desc".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _INLINE_END = frozenset("p h1 h2 h3 h4 h5 h6 dt dd li td th tr caption legend summary figcaption".split())
-_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}
+_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
+_ENDS = {"option": ("option",), "optgroup": ("option", "optgroup"), "select": ("option", "optgroup", "select"), "button": ("button",)}
 _CONTAINER = frozenset("ul ol dl table tr".split())
 
 #: Weights of the classifier: places, and words in classes, ids and roles.
@@ -59,6 +65,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int, float]] = []
     parts: list[str] = []
     linked, links, number, at, end = 0, 0, 0, 0, len(page)
+    skip = -1  # place in the stack of the outermost excluded element
 
     def flush() -> None:
         nonlocal linked
@@ -70,16 +77,18 @@ def blocks(page: str) -> list[Block]:
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal links
+        nonlocal links, skip
         for e in stack[upto:]:
             if e[0] == "a":
                 links -= 1
         del stack[upto:]
+        if upto <= skip:
+            skip = -1
 
     while at < end:
         m = _TAG.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
-        if piece:
+        if piece and skip < 0:
             said = html.unescape(piece) if "&" in piece else piece
             parts.append(said)
             if links:
@@ -93,26 +102,36 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if any(e[0] in _BLOCK for e in stack[i:]):
+                    if any(e[0] in _BLOCK for e in (stack[i:skip] if skip >= 0 else stack[i:])):
                         flush()
                     close(i)
                     break
             else:
-                if name in ("p", "br"):
+                if name in ("p", "br") and skip < 0:
                     flush() if name == "p" else parts.append(" ")
             continue
         if name in _RAW and not m[3].endswith("/"):
-            ending = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            ending = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = ending.end() if ending else end
             continue
         if name == "br":
-            parts.append(" ")
+            if skip < 0:
+                parts.append(" ")
             continue
+        if skip >= 0 and name in _BLOCK and stack[skip][0] == "svg" and not any(e[0] in _DRAWN_HTML for e in stack[skip:]):
+            close(skip)  # HTML ends a drawing here
+        while skip >= 0 and stack[-1][0] in _ENDS.get(name, ()):
+            close(len(stack) - 1)
         if name in _BLOCK:
-            flush()
+            if skip < 0:
+                flush()
             for i in range(len(stack) - 1, -1, -1):
                 above = stack[i][0]
+                if above in _SCOPE:
+                    break
                 if above in _CLOSES.get(name, ()) or above == "p":
+                    if i < skip:
+                        flush()
                     close(i)
                     break
                 if above in _BLOCK and above not in _INLINE_END or above in _CONTAINER and above != name:
@@ -125,6 +144,8 @@ def blocks(page: str) -> list[Block]:
             weight += _attributes(name, m[3])
         if name == "a":
             links += 1
+        if skip < 0 and name in _EXCLUDED:
+            skip = len(stack)
         stack.append((name, number, weight))
     flush()
     return out

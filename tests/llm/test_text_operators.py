@@ -273,6 +273,18 @@ def test_main_text(spark):
     assert main_text.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_after_open_elements():
+    article = "<article><h1>Heading</h1><p>" + "A long sentence with many plain words, that tells the reader something. " * 8 + "</p></article>"
+    plain = main_text.extract(f"<html><body>{article}</body></html>")
+    assert plain.startswith("Heading A long")
+    for opened in ("<form><datalist><option value=a><option value=b></datalist></form>", "<form><select><option>One<option>Two</select></form>", "<div><button>Menu</div>", "<div><video src=x></div>", "<div><object data=x></div>", "<div><svg><path d=z></div>", "<svg><path d=z>", "<ul><li><audio src=x><li>", "<script>if (a</b) {}</script >", "<style>b</style\n>"):
+        assert main_text.extract(f"<html><body>{opened.replace('<li>', '<li hidden>')}{'</ul>' if '<ul>' in opened else ''}{article}</body></html>") == plain, opened
+    inside = article.replace("tells", "<button><div>Press</div></button><svg><text>Icon</text></svg>tells", 1)
+    assert main_text.extract(inside) == plain
+    assert "holds x+y=1 for" in main_text.extract(article.replace("tells", "holds <math><mi>x</mi><mo>+</mo><mi>y</mi><mo>=</mo><mn>1</mn></math> for", 1))
+    assert [b.text for b in main_text.blocks("<ul><li>One<audio src=x>no sound<li>Two</ul><p>Three<canvas>drawn<p>Four")] == ["One", "Two", "Three", "Four"]
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(7)
     for _ in range(60):
