@@ -17,7 +17,7 @@ Columns of documents other than the id, text and stratum are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from . import textops as tx
 RULES = ("symbol_share", "bang_share", "capital_share", "dup_line_share", "repeat_share")
 #: From lenient to strict.
 GRID = tuple(round(1.0 - i / 64, 6) for i in range(64))
+#: Strata with cutoffs up to which these are broadcast; beyond, both sides are shuffled.
+BROADCAST = 100_000
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>")).astype(np.uint8)
 _BANG = np.isin(np.arange(256), list(b"!?")).astype(np.uint8)
@@ -129,55 +131,50 @@ def certify(good: list[int], bad: list[int], n_good: int, n_bad: int, risk: floa
     return best
 
 
-def thresholds(ruled: DataFrame, labels: DataFrame, risk: float = 0.03, error: float = 0.05, max_strata: int = 64, doc_id: str = "doc_id", quality: str = "quality") -> list[tuple]:
-    """Rows (stratum, rule, cutoff) for the rules that hold.
+def thresholds(ruled: DataFrame, labels: DataFrame, risk: float = 0.03, error: float = 0.05, doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
+    """One row (stratum, at) for every stratum with labels; at: by rule, the index in GRID of the cutoff that holds, or null.
 
     risk: share of good texts that all rules together may reject in a stratum; error: the
-    probability that any bound fails. Only the max_strata strata with most good labels get
-    cutoffs of their own, the others are one stratum together ("rest"), so that what reaches
-    the driver is at most (max_strata + 1) * rules * 65 rows.
+    probability that any bound fails. Every stratum is tested by its own labels only, and all
+    strata with labels count in the correction. Its counts are one row of at most rules * 65 cells.
     """
     marks = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(quality).alias("good"))
-    held = ruled.where(~F.col("base_failed")).select("doc_id", F.struct("stratum").alias("s"), *RULES).join(marks, "doc_id")
-    top = [r["s"]["stratum"] for r in held.where("good = 1").groupBy("s").count().orderBy(F.desc("count"), "s").limit(max_strata).collect()]
-    own = F.lit(False)
-    for x in top:
-        own = own | F.col("s.stratum").eqNullSafe(F.lit(x))
-    held = held.select(F.when(own, F.col("s.stratum")).alias("stratum"), own.alias("own"), "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES))).alias("x"))
+    held = ruled.where(~F.col("base_failed")).select("doc_id", "stratum", *RULES).join(marks, "doc_id")
+    held = held.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), F.col(r).alias("value")) for i, r in enumerate(RULES)))).alias("x"))
     step = F.greatest(F.lit(0), F.least(F.lit(64), F.ceil((1.0 - F.col("x.value")) * 64))).cast("int")  # cutoffs from here on reject it
-    counted = held.groupBy("stratum", "own", F.col("x.rule").alias("rule"), step.alias("step")).agg(F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") != 1).cast("long")).alias("bad")).collect()
-    return choose([(r["stratum"], r["own"], r["rule"], r["step"], r["good"], r["bad"]) for r in counted], risk, error)
-
-
-def choose(counted: list[tuple], risk: float, error: float) -> list[tuple]:
-    """From counts by (stratum, own, rule, step): the cutoffs used."""
-    cells: dict[tuple, list] = {}
-    for stratum, own, rule, step, good, bad in counted:
-        g, b = cells.setdefault((stratum, own, rule), ([0] * 65, [0] * 65))
-        g[step] += good
-        b[step] += bad
-    strata = len({k[:2] for k in cells})
-    out = []
-    for (stratum, own, rule), (g, b) in sorted(cells.items(), key=str):
-        total = lambda x: [sum(x[: i + 1]) for i in range(64)]
-        at = certify(total(g), total(b), sum(g), sum(b), risk / len(RULES), error / (strata * len(RULES)))
-        if at is not None:
-            out.append((stratum, own, rule, GRID[at]))
-    return out
+    cells = held.groupBy("stratum", F.col("x.rule").alias("rule"), step.alias("step")).agg(F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") != 1).cast("long")).alias("bad"))
+    counted = tx.settled(cells.groupBy("stratum").agg(*(F.collect_list(x).alias(x) for x in ("rule", "step", "good", "bad"))))
+    share = error / (max(1, counted.count()) * len(RULES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            at = [choose(zip(r["rule"], r["step"], r["good"], r["bad"], strict=True), risk / len(RULES), share) for r in part.select(["rule", "step", "good", "bad"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("stratum"), pa.array(at, pa.list_(pa.int32()))], names=["stratum", "at"])
+
+    return tx.settled(counted.mapInArrow(run, "stratum string, at array<int>"))
+
+
+def choose(cells: Iterable[tuple], risk: float, error: float) -> list[int | None]:
+    """From a stratum's counts (rule, step, good, bad): by rule, the index of the cutoff used."""
+    good, bad = ([[0] * 65 for _ in RULES] for _ in range(2))
+    for rule, step, g, b in cells:
+        good[rule][step] += g
+        bad[rule][step] += b
+    total = lambda x: [sum(x[: i + 1]) for i in range(64)]
+    return [certify(total(g), total(b), sum(g), sum(b), risk, error) for g, b in zip(good, bad, strict=True)]
 
 
-def verdict(ruled: DataFrame, cutoffs: list[tuple]) -> DataFrame:
+def verdict(ruled: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Adds kept: false for base failures and for texts not below a cutoff of their stratum."""
-    owned = F.lit(False)
-    for x in {c[0] for c in cutoffs if c[1]}:
-        owned = owned | F.col("stratum").eqNullSafe(F.lit(x))
+    few = cutoffs.where(F.exists("at", lambda x: x.isNotNull())).select(F.col("stratum").alias("_stratum"), "at")
+    if few.count() <= BROADCAST:
+        few = F.broadcast(few)
     rejected = F.lit(False)
-    for stratum, own, rule, cutoff in cutoffs:
-        here = F.col("stratum").eqNullSafe(F.lit(stratum)) if own else ~owned
+    for i, rule in enumerate(RULES):
         # the same step as in thresholds(): equal at the grid's edges
-        over = F.ceil((1.0 - F.col(rule)) * 64) <= GRID.index(cutoff)
-        rejected = rejected | (here & over)
-    return ruled.withColumn("kept", ~F.col("base_failed") & ~rejected)
+        rejected = rejected | F.coalesce(F.ceil((1.0 - F.col(rule)) * 64) <= F.col("at")[i], F.lit(False))
+    joined = ruled.join(few, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", "at")
 
 
 def risk_controlled(docs: DataFrame, labels: DataFrame, risk: float = 0.03, error: float = 0.05, stratum: str = "lang") -> DataFrame:

@@ -117,6 +117,22 @@ def test_quality_rejects(spark):
     assert all(r.kept == (r.doc_id % 4 != 0 or r.doc_id % 2 == 1) for r in got)
 
 
+def test_quality_strata_stand_alone(spark, monkeypatch):
+    rng = random.Random(6)
+    plain = lambda: " ".join(f"v{rng.randrange(5000)}" for _ in range(60))
+    rows = [(plain(), "big", 1) for _ in range(3000)] + [(plain().upper(), "big", 0) for _ in range(200)]
+    rows += [(plain(), f"some{i}", 1) for i in range(64) for _ in range(3)] + [(plain(), f"few{i}", 1) for i in range(1600)] + [(plain().upper(), f"few{i}", 0) for i in range(300)]
+    rows += [(plain().upper(), x, None) for x in ("big", "some7", "few900", "unseen", None)]
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s, _) in enumerate(rows)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q) for i, (_, _, q) in enumerate(rows) if q is not None], "doc_id long, quality int")
+    for limit in (100_000, 0):
+        monkeypatch.setattr(quality_rules, "BROADCAST", limit, raising=False)
+        got = {r.doc_id: r.kept for r in quality_rules.risk_controlled(docs, labels).collect()}
+        assert len(got) == len(rows)
+        # only the stratum with labels enough for a bound of its own loses texts
+        assert all(got[i] == (s != "big" or t == t.lower()) for i, (t, s, _) in enumerate(rows))
+
+
 # -- decontamination
 
 
