@@ -5,12 +5,24 @@ words and compared with licence templates by the Dice coefficient of their sets
 bigrams. Two sets of sizes a and b reach at most 2 * min(a, b) / (a + b): a template whose size
 is out of these bounds for the segment is not compared at all.
 
+Notices also stand inside longer lines, over several lines or as full texts: the windows of a
+template's length over the words of the whole text are compared with every template, with the
+notices of MORE and the full texts of license_texts. A window begins at any word; the distinct
+bigrams of all windows, and those shared with the template, are running sums over the places
+where a bigram comes in or drops out. Of windows that overlap, the one with most shared bigrams
+counts (then higher Dice, then name, then place). It is one more segment unless a line it
+touches matches as well or better, or a paragraph has given its name; it replaces lines it
+touches that match worse. A template is looked for only in texts that hold two thirds of its
+bigrams: a Dice of 0.8 is out of reach in all others.
+
 Null and empty texts have no segments. Of the templates that a segment matches, the best counts
 (on ties the first name). Repeated rows are scanned one by one. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +51,23 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+_HEADER = "is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+#: Notices for windows only.
+MORE = (
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "ISC", "MIT", "MPL-2.0", "Unlicense")),
+    *((x, f"SPDX-License-Identifier: {x}{e}") for x in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for e in ("", "-only", "-or-later")),
+    *((x, f"licensed under the {n}") for x, n in (("MIT", "MIT License"), ("ISC", "ISC License"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache 2.0 License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"), ("MPL-2.0", "Mozilla Public License 2.0"), ("Unlicense", "Unlicense"), ("GPL-2.0", "GPLv2"), ("GPL-3.0", "GPLv3"), ("AGPL-3.0", "AGPLv3"), ("LGPL-3.0", "LGPLv3"))),
+    *((x, f"GNU {n} License {v}") for x, n, k in (("AGPL-3.0", "Affero General Public", "3"), ("GPL-2.0", "General Public", "2"), ("GPL-3.0", "General Public", "3"), ("LGPL-2.1", "Lesser General Public", "2.1"), ("LGPL-3.0", "Lesser General Public", "3")) for v in (f"version {k}", f"v{k}", f"v{k}.0")),
+    ("MIT", "The MIT License (MIT)"),
+    ("CC-BY-4.0", "licensed under CC-BY-4.0"),
+    ("CC-BY-NC-4.0", "licensed under CC-BY-NC-4.0"),
+    ("CC-BY-SA-4.0", "licensed under CC-BY-SA-4.0"),
+    ("GPL-2.0", "This program " + _HEADER.format("General Public License", "2")),
+    ("AGPL-3.0", "This program " + _HEADER.format("Affero General Public License", "3")),
+    ("LGPL-2.1", "This library " + _HEADER.format("Lesser General Public License", "2.1")),
+    ("LGPL-3.0", "This library " + _HEADER.format("Lesser General Public License", "3")),
+)
+_FULL = Path(__file__).with_name("license_texts")
 MIN_DICE = 0.8
 
 
@@ -52,8 +81,12 @@ def bigrams(words) -> F.Column:
     return F.array_distinct(F.transform(F.slice(words, 1, n - 1), lambda w, i: F.concat_ws(" ", w, F.element_at(words, i + 2))))
 
 
+def _words(text: str) -> list[str]:
+    return "".join(c if c.isascii() and c.isalnum() or ord(c) >= 128 else " " for c in text.lower()).split()
+
+
 def _plain(text: str) -> list[str]:
-    kept = "".join(c if c.isascii() and c.isalnum() or ord(c) >= 128 else " " for c in text.lower()).split()
+    kept = _words(text)
     return sorted({f"{a} {b}" for a, b in zip(kept, kept[1:])})
 
 
@@ -61,14 +94,77 @@ def _templates() -> list[tuple[str, list[str]]]:
     return [(name, _plain(text)) for name, text in TEMPLATES]
 
 
+def _for_windows() -> list[tuple[str, list[str], int]]:
+    """Name, bigrams and number of bigram places of all templates."""
+    full = [(p.stem, p.read_text()) for p in sorted(_FULL.glob("*.txt"))]
+    return [(name, _plain(text), len(_words(text)) - 1) for name, text in (*TEMPLATES, *MORE, *full)]
+
+
+def _windows(text, min_dice: float) -> F.Column:
+    """Array of the windows that count: shared, minus (the Dice, negated), name, at, to (places of bigrams), line, last."""
+    known = _for_windows()
+    whole = F.coalesce(text, F.lit(""))
+    let = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  # evaluates value once
+    table = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.lit(length).alias("length"), F.split(F.lit("|".join(g)), r"\|").alias("grams")) for name, g, length in known))
+    least = min_dice / (2 - min_dice) - 1e-9  # 2 c / (m + n) >= d with m >= c needs c >= n * d / (2 - d)
+    every = lambda few: F.split(F.lit("|".join(sorted({g for _, grams, _ in few for g in grams}))), r"\|")
+    long = 2 * least * 200  # shortest text that any template of more than 200 bigrams can match
+    looked_for = F.when(F.length(whole) < long, every([t for t in known if len(t[1]) <= 200])).otherwise(every(known))
+    words = F.flatten(F.transform(F.split(whole, "\n"), lambda x, i: F.transform(F.filter(normal_words(x), lambda w: w != ""), lambda w: F.struct(w.alias("word"), (i + 1).alias("line")))))
+
+    def of_template(words, occurrences, t):
+        def changes(o):
+            hit = F.array_contains(t["grams"], o["gram"]).cast("int")
+            first = F.greatest(o["before"] + 1, o["at"] - t["length"] + 1, F.lit(0))
+            return F.array(F.struct(first.alias("at"), hit.alias("c"), F.lit(1).alias("m")), F.struct((o["at"] + 1).alias("at"), (-hit).alias("c"), F.lit(-1).alias("m")))
+
+        point = "struct<shared:int,minus:double,at:int>"
+        nothing = F.lit(None).cast(point)
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("c"), F.lit(0).alias("m"), nothing.alias("best"), F.array().cast(f"array<{point}>").alias("done"))
+
+        def step(s, e):
+            moved = e["at"] > s["at"]
+            minus = -2.0 * s["c"] / (s["m"] + t["n"])
+            here = F.struct(s["c"].alias("shared"), minus.alias("minus"), s["at"].alias("at"))
+            fits = moved & (minus <= -min_dice)
+            better = s["best"].isNull() | (s["c"] > s["best"]["shared"]) | (s["c"] == s["best"]["shared"]) & (minus < s["best"]["minus"])
+            ends = moved & ~fits & s["best"].isNotNull()
+            best = F.when(fits & better, here.cast(point)).when(ends, nothing).otherwise(s["best"])
+            done = F.when(ends, F.concat(s["done"], F.array(s["best"]))).otherwise(s["done"])
+            return F.struct(e["at"].alias("at"), (s["c"] + e["c"]).alias("c"), (s["m"] + e["m"]).alias("m"), best.alias("best"), done.alias("done"))
+
+        events = F.sort_array(F.flatten(F.transform(occurrences, changes)))
+        events = F.concat(events, F.array(*(F.struct((F.size(occurrences) + k).alias("at"), F.lit(0).alias("c"), F.lit(0).alias("m")) for k in (1, 2))))
+        found = F.aggregate(events, start, step, lambda s: s["done"])
+        return F.transform(found, lambda p: let(F.least(p["at"] + t["length"], F.size(occurrences)), lambda to: F.struct((-p["shared"]).alias("fewer"), p["minus"].alias("minus"), t["name"].alias("name"), p["at"].alias("at"), to.alias("to"), words[p["at"]]["line"].alias("line"), words[to]["line"].alias("last"))))
+
+    def of_words(words):
+        pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.struct(F.concat_ws(" ", w["word"], words[i + 1]["word"]).alias("gram"), i.alias("at")))
+
+        def of_pairs(pairs):
+            ordered = F.sort_array(pairs)
+            seen = lambda o: F.transform(o, lambda p, i: F.struct(p["gram"].alias("gram"), p["at"].alias("at"), F.when((i > 0) & (F.get(o, i - 1)["gram"] == p["gram"]), F.get(o, i - 1)["at"]).otherwise(F.lit(-1)).alias("before")))
+            shared = F.array_intersect(looked_for, F.transform(pairs, lambda p: p["gram"]))
+            fitting = let(shared, lambda g: F.filter(table, lambda t: (F.size(g) >= t["n"] * F.lit(least)) & (F.size(F.array_intersect(g, t["grams"])) >= t["n"] * F.lit(least))))
+            return let(fitting, lambda few: F.when(F.size(few) > 0, let(let(ordered, seen), lambda o: F.flatten(F.transform(few, lambda t: of_template(words, o, t))))))
+
+        return let(pairs, of_pairs)
+
+    kind = "array<struct<fewer:int,minus:double,name:string,at:int,to:int,line:int,last:int>>"
+    none = F.array().cast(kind)
+    overlap = lambda a, b: (a["at"] < b["to"]) & (b["at"] < a["to"])
+    chosen = F.aggregate(F.sort_array(F.coalesce(let(words, of_words).cast(kind), none)), none, lambda kept, x: F.when(F.exists(kept, lambda k: overlap(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
+    return chosen
+
+
 def scan(docs: DataFrame, min_dice: float = MIN_DICE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_segments that match, licenses (names, sorted, comma-joined), best_license, best_dice and best_line (from 1; 0: a paragraph)."""
+    """doc_id, n_lines, n_segments that match, licenses (names, sorted, comma-joined), best_license, best_dice and best_line (from 1; 0: a paragraph; of a window, where it begins)."""
     known = _templates()
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
     least = min(len(g) for _, g in known) * low
     whole = F.coalesce(F.col(text), F.lit(""))
     paragraphs = F.filter(F.split(whole, r"\n[\x09-\x0D\x20]*\n"), lambda x: F.contains(x, F.lit("\n")))
-    few = docs.select(F.col(doc_id).alias("doc_id"), F.split(whole, "\n").alias("lines"), paragraphs.alias("paragraphs"))
+    few = docs.select(F.col(doc_id).alias("doc_id"), F.split(whole, "\n").alias("lines"), paragraphs.alias("paragraphs"), _windows(F.col(text), min_dice).alias("windows"))
     numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("segment")))
     lines = F.concat(numbered, F.transform("paragraphs", lambda x: F.struct(F.lit(0).alias("line"), x.alias("segment"))))
     grams = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), normal_words(x["segment"]).alias("words")))
@@ -82,8 +178,13 @@ def scan(docs: DataFrame, min_dice: float = MIN_DICE, doc_id: str = "doc_id", te
         dice = F.transform(fitting, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(s["grams"], t["grams"])) / (size + t["n"])).alias("dice"), t["name"].alias("name"), s["line"].alias("line")))
         return F.array_min(F.transform(F.filter(dice, lambda d: d["dice"] >= min_dice), lambda d: F.struct((-d["dice"]).alias("minus"), d["name"].alias("name"), d["line"].alias("line"))))
 
-    found = few.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.transform(grams, compare).alias("by_segment"))
-    found = found.withColumn("hits", F.filter("by_segment", lambda x: x.isNotNull()))
+    found = few.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.transform(grams, compare).alias("by_segment"), "windows")
+    found = found.withColumn("segments", F.filter("by_segment", lambda x: x.isNotNull()))
+    touches = lambda h, w: (h["line"] >= w["line"]) & (h["line"] <= w["last"])
+    same = lambda h, w: (h["line"] == 0) & (h["name"] == w["name"])
+    found = found.withColumn("more", F.filter("windows", lambda w: ~F.exists("segments", lambda h: same(h, w) | touches(h, w) & (h["minus"] <= w["minus"]))))
+    left = F.filter("segments", lambda h: ~F.exists("more", lambda w: touches(h, w)))
+    found = found.withColumn("hits", F.concat(left, F.transform("more", lambda w: F.struct(w["minus"].alias("minus"), w["name"].alias("name"), w["line"].alias("line")))))
     return found.withColumn("first", F.array_min("hits")).select(
         "doc_id",
         "n_lines",

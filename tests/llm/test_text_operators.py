@@ -374,6 +374,26 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(none).count() == 0
 
 
+def test_license_windows(spark):
+    full = {p.stem: p.read_text() for p in licenses._FULL.glob("*.txt")}
+    short = full["MIT"].split("\n\n")[0]
+    header = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = [
+        ("Some words. This project is licensed under the MIT License, see the file for more. " * 1, "MIT", 1),
+        ("one\ntwo\n" + " ".join(short.split()) + "\nthree", "MIT", 3),
+        ("x = 1  # SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0", 1),
+        (" ".join(f"b{i}" for i in range(60)) + "\n" + header.format(2).replace("the terms", "\nthe terms") + " ".join(f" e{i}" for i in range(60)), "GPL-2.0", 2),
+        ("Released under the MIT License.\nfoo bar\nand this part is licensed under the GPLv3 only", "GPL-3.0,MIT", None),
+        ("a license to kill, permission denied, the work is not licensed under anything", "", None),
+    ]
+    cases += [("intro " * 30 + "\n" + full[x] + "\nthe end " * 30, x, None) for x in ("Apache-2.0", "BSD-3-Clause", "ISC", "MPL-2.0")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()}
+    for i, (_, names, line) in enumerate(cases):
+        assert set(names.split(",")) <= set(got[i].licenses.split(",")), (i, got[i])
+        assert line is None or (got[i].licenses, got[i].best_line) == (names, line), got[i]
+    assert got[5].n_segments == 0 and got[4].n_segments == 2
+
+
 # -- mixing
 
 
