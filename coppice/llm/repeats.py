@@ -1,36 +1,42 @@
-"""Removal of repeated byte strings with sampled suffix arrays and common-prefix interval trees.
+"""Removal of repeated strings with sampled suffix arrays and common-prefix interval trees.
 
-A byte is removed if it lies in a string of `length` bytes that also starts anywhere else, in
-another text or the same one. Strings are judged on the input; matches never cross texts.
+A rule says what counts as a repeat: a run of `length` symbols that also starts anywhere else,
+in another text or the same one. Symbols are the bytes of the UTF-8 text, or its words
+`[^\x20\x09-\x0D]+` (a word stands for the 64-bit hash of its bytes; white space between words
+doesn't matter). Strings are judged on the input; matches never cross texts. Several rules are
+applied in one pass over the texts.
 
 No machine holds the suffix array of the corpus, so suffixes are sampled by content: an anchor
-is the position of the least hashed k-gram in some window of `length` bytes (leftmost on ties).
+is the position of the least hashed k-gram in some window of `length` symbols (leftmost on ties).
 Equal windows choose equal anchors, so each repeated window contains an anchor whose k-gram
 occurs elsewhere, too, with equal surroundings. All occurrences of an anchor's k-gram form a
-group; what can matter of each is its context, the bytes from `length` - k before the anchor to
+group; what can matter of each is its context, the symbols from `length` - k before the anchor to
 `length` after its start.
 
-1. Occurrences are sorted by k-gram and context. Where two have equal contexts, every window
-   with the anchor is repeated; nothing else is needed for them.
+1. Occurrences are sorted by k-gram and context. Where two have equal contexts (by hashes of
+   62 bits for the k-gram and 64 for the context), every window with the anchor is repeated; nothing else is needed for them. The sorted
+   rows are read once, with two rows of state.
 2. For anchors with several different contexts, one occurrence of each context is fetched. The
    group's right contexts are sorted: the part of the corpus's suffix array that starts at the
    anchor. A stack scan over the common prefixes of neighbours yields the tree of common-prefix
    intervals. In each interval, of common prefix R, the left contexts are tested for diversity:
-   occurrences that agree in at least `length` - R bytes to the left are the occurrences of a
+   occurrences that agree in at least `length` - R symbols to the left are the occurrences of a
    maximal repeat, which reaches from their common left extension to R.
 3. K-grams with a very large share of all anchors (estimated on a sample of the texts: it only
-   decides the way taken, either is exact) aren't gathered: their contexts and the windows
-   around them are counted by hash, with pre-aggregation before each shuffle.
+   decides the way taken, either is exact) have their contexts counted by hash, with
+   pre-aggregation before the shuffle. Anchors with `hot` different contexts or more (counted,
+   not estimated) aren't gathered in a task: the windows around them are hashed and counted.
 
 The union of these spans is exact. Null is empty; texts shorter than `length` are never changed.
-Repeated rows are copies of each other. An empty table gives an empty result. Other columns travel along or are ignored.
+Repeated rows are copies of each other. An empty table gives an empty result. Other columns travel
+along, whatever their names, or are ignored (report).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +46,29 @@ from pyspark.sql import functions as F
 
 from . import textops as tx
 
-LENGTH = 400
-#: Bytes of an anchor.
-GRAM = 160
-#: Occurrences of one anchor from which on they aren't gathered in a task. At most MOST_HOT anchors are treated so, those with most.
+
+class Rule(NamedTuple):
+    """A run of `length` symbols is a repeat; `gram` symbols make an anchor."""
+
+    length: int
+    gram: int
+    words: bool = False
+
+
+#: Strings of 400 bytes.
+STRINGS = Rule(400, 160)
+#: Passages of 50 words.
+PASSAGES = Rule(50, 16, words=True)
+#: Different contexts of one anchor from which on they aren't gathered in a task, and estimated occurrences from which on they are counted by hash.
 HOT = 100_000
+#: At most so many anchors are broadcast.
 MOST_HOT = 10_000
-#: One text in so many is read to find them.
+#: One text in so many is read to find anchors with many occurrences.
 SAMPLE = 16
+#: The low bits of an anchor's hash hold its rule's number.
+RULE_BITS = 3
+#: Bytes of a word's hash that contexts hold.
+WORD_BYTES = 5
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -70,17 +91,37 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of symbol * base**position (wrapping) before each position, and the factors that scale a difference back to its start."""
+    total = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(symbols)), out=total[1:])
+    return total, powers(_INVERSE, len(symbols) + 1)
+
+
+def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts as 64-bit hashes, the word offsets of the rows, and the bytes at which words start and end."""
+    keep = tx.WHITE[data] != 0
+    starts, ends = keep.copy(), keep.copy()
+    starts[1:] &= ~keep[:-1]
+    ends[:-1] &= ~keep[1:]
+    full = offsets[:-1] < offsets[1:]
+    first, last = offsets[:-1][full], offsets[1:][full] - 1
+    starts[first], ends[last] = keep[first], keep[last]
+    at, to = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    total, back = prefix_sums(data)
+    return tx.mix((total[to] - total[at]) * back[at]), np.searchsorted(at, offsets), at, to
+
+
+def anchors(symbols: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of all texts, in order, and the hashes of their k-grams."""
-    if len(data) < length:
+    length, gram = rule.length, rule.gram
+    if len(symbols) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    # the sum of byte * base**position, wrapping, scaled back to the k-gram's own start
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=total[1:])
-    hashed = tx.mix((total[gram:] - total[:-gram]) * powers(_INVERSE, len(data) - gram + 1))
+    total, back = prefix_sums(symbols)
+    hashed = tx.mix((total[gram:] - total[:-gram]) * back[: len(symbols) - gram + 1])
     least = sliding_min((hashed & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashed), dtype=np.uint64), length - gram + 1)
     size = np.diff(offsets)
-    edge = np.zeros(len(data) + 1, np.int8)
+    edge = np.zeros(len(symbols) + 1, np.int8)
     full = size >= length
     np.add.at(edge, offsets[:-1][full], 1)
     np.add.at(edge, offsets[1:][full] - length + 1, -1)
@@ -89,29 +130,32 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return place, hashed[place]
 
 
-def find_anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """kid, kh, pos, a (hash of the k-gram), c and d (hash of the context) of every anchor."""
+def find_anchors(keyed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """kid, kh, pos, a (hash of the k-gram, with the rule's number) and c (hash of the context) of every anchor."""
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text"):
-            data, offsets = tx.raw(part.column("text"))
-            place, hashed = anchors(data, offsets, length, gram)
-            row = np.searchsorted(offsets, place, side="right") - 1
-            low = np.maximum(offsets[row], place - (length - gram))
-            high = np.minimum(offsets[row + 1], place + length)
-            view = memoryview(data)
-            digest = xxhash.xxh3_128_digest
-            context = np.frombuffer(b"".join([digest(view[x:y], z) for x, y, z in zip(low.tolist(), high.tolist(), (place - low).tolist(), strict=True)]), np.int64).reshape(-1, 2)
-            kid, kh = (part.column(x).to_numpy(zero_copy_only=False)[row] for x in ("kid", "kh"))
-            columns = [pa.array(x) for x in (kid, kh, (place - offsets[row]).astype(np.int32), hashed.view(np.int64), context[:, 0].copy(), context[:, 1].copy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["kid", "kh", "pos", "a", "c", "d"])
-
-    return keyed.select("kid", "kh", "text").mapInArrow(run, "kid long, kh long, pos int, a long, c long, d long")
-
-
-def hot_anchors(keyed: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
+            data, ends = tx.raw(part.column("text"))
+            for number, rule in enumerate(rules):
+                symbols, offsets = word_symbols(data, ends)[:2] if rule.words else (data, ends)
+                place, hashed = anchors(symbols, offsets, rule)
+                row = np.searchsorted(offsets, place, side="right") - 1
+                low = np.maximum(offsets[row], place - (rule.length - rule.gram))
+                high = np.minimum(offsets[row + 1], place + rule.length)
+                view, size = memoryview(np.ascontiguousarray(symbols)).cast("B"), symbols.itemsize
+                context = np.array([digest(view[x * size : y * size], z) for x, y, z in zip(low.tolist(), high.tolist(), (place - low).tolist(), strict=True)], np.uint64)
+                kid, kh = (part.column(x).to_numpy(zero_copy_only=False)[row] for x in ("kid", "kh"))
+                a = (hashed & ~np.uint64(RULE_BITS)) | np.uint64(number)
+                columns = [pa.array(x) for x in (kid, kh, (place - offsets[row]).astype(np.int32), a.view(np.int64), context.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["kid", "kh", "pos", "a", "c"])
+
+    return keyed.select("kid", "kh", "text").mapInArrow(run, "kid long, kh long, pos int, a long, c long")
+
+
+def frequent_anchors(keyed: DataFrame, rules: Sequence[Rule], hot: int) -> DataFrame:
     """The k-grams (a) that probably occur hot times or more: MOST_HOT rows at most."""
-    some = find_anchors(keyed.where(F.pmod("kid", F.lit(SAMPLE)) == 0) if hot > SAMPLE else keyed, length, gram)
+    some = find_anchors(keyed.where(F.pmod("kid", F.lit(SAMPLE)) == 0) if hot > SAMPLE else keyed, rules)
     least = hot // SAMPLE if hot > SAMPLE else hot
     return some.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "a").limit(MOST_HOT).select("a")
 
@@ -119,61 +163,73 @@ def hot_anchors(keyed: DataFrame, length: int, gram: int, hot: int) -> DataFrame
 def sort_out(found: DataFrame) -> DataFrame:
     """Of anchors, all of a k-gram in one partition and sorted by k-gram and context: those to use, by kind.
 
-    whole: another occurrence has the same context; else one occurrence of a context for k-grams with several. A whole one may stand for its context, too (both).
+    whole: another occurrence has the same context. detail: the first of a context, for k-grams with several contexts.
     """
+    names = ("kid", "kh", "pos", "a", "c")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("kid", "kh", "pos", "a", "c", "d")
-        rest = None
-
-        def emit(x: dict) -> pa.RecordBatch:
-            same_a = x["a"][1:] == x["a"][:-1]
-            same_c = same_a & (x["c"][1:] == x["c"][:-1]) & (x["d"][1:] == x["d"][:-1])
-            first_a, first_c = np.append(True, ~same_a), np.append(True, ~same_c)
-            whole = np.append(False, same_c) | np.append(same_c, False)
-            group = np.cumsum(first_a) - 1
-            detail = first_c & (np.bincount(group, weights=first_c) > 1)[group]
-            use = whole | detail
-            return pa.RecordBatch.from_arrays([*(pa.array(x[k][use]) for k in names[:4]), pa.array(whole[use]), pa.array(detail[use])], names=[*names[:4], "whole", "detail"])
+    def batch_of(x: dict, whole: bool) -> pa.RecordBatch:
+        n = len(x["a"])
+        return pa.RecordBatch.from_arrays([*(pa.array(x[k]) for k in names[:4]), pa.array(np.full(n, whole)), pa.array(np.full(n, not whole))], names=[*names[:4], "whole", "detail"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, matched = None, False  # the row before, and whether it has the context of the one before it
+        first, several = None, False  # the first row of the group, as long as the group has one context
         for batch in batches:
-            x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
-            if rest is not None:
-                x = {k: np.concatenate([rest[k], x[k]]) for k in names}
-            if not len(x["a"]):
+            if not batch.num_rows:
                 continue
-            end = int(np.searchsorted(x["a"], x["a"][-1]))  # the last k-gram's rows may go on in the next batch
-            rest = {k: v[end:] for k, v in x.items()}
-            if end:
-                yield emit({k: v[:end] for k, v in x.items()})
-        if rest is not None and len(rest["a"]):
-            yield emit(rest)
-
-    return found.repartition("a").sortWithinPartitions("a", "c", "d").mapInArrow(run, "kid long, kh long, pos int, a long, whole boolean, detail boolean")
+            x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            if last is not None:
+                x = {k: np.append(last[k], x[k]) for k in names}
+            n, old = len(x["a"]), int(last is not None)
+            same_a = np.append(False, x["a"][1:] == x["a"][:-1])
+            same = same_a & np.append(False, x["c"][1:] == x["c"][:-1])
+            group = np.cumsum(~same_a) - 1
+            many = np.bincount(group, weights=same_a & ~same) > 0
+            many[0] |= bool(old and several)
+            same[0] = bool(old and matched)
+            whole = same[:-1] | same[1:]
+            yield batch_of({k: x[k][:-1][whole] for k in names}, True)
+            fresh = ~same & many[group]
+            fresh[:old] = False
+            yield batch_of({k: x[k][fresh] for k in names}, False)
+            if first is not None and many[0]:
+                yield batch_of(first, False)
+            if many[-1]:
+                first = None
+            elif group[-1] or not old:
+                start = int(np.searchsorted(group, group[-1]))
+                first = {k: x[k][start : start + 1].copy() for k in names}
+            several, matched = bool(many[-1]), bool(same[-1])
+            last = {k: x[k][-1:].copy() for k in names}
+        if matched:
+            yield batch_of(last, True)
+
+    return found.repartition("a").sortWithinPartitions("a", "c").mapInArrow(run, "kid long, kh long, pos int, a long, whole boolean, detail boolean")
 
 
 def sort_out_hot(found: DataFrame) -> DataFrame:
     """The same by counting: for k-grams that are too frequent to be gathered."""
-    same = found.groupBy("a", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("kid", "kh", "pos")).alias("rep"))
-    whole = found.join(tx.settled(same.where("n > 1").select("a", "c", "d")), ["a", "c", "d"]).select("kid", "kh", "pos", "a", F.lit(True).alias("whole"), F.lit(False).alias("detail"))
+    same = found.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("kid", "kh", "pos")).alias("rep"))
+    whole = found.join(tx.settled(same.where("n > 1").select("a", "c")), ["a", "c"]).select("kid", "kh", "pos", "a", F.lit(True).alias("whole"), F.lit(False).alias("detail"))
     return whole.unionByName(same.select("rep.*", "a", F.lit(False).alias("whole"), F.lit(True).alias("detail")))
 
 
-def common(a: bytes, b: bytes) -> int:
+def common(a: bytes, b: bytes, size: int) -> int:
+    """Symbols of `size` bytes that two strings have in common at their start."""
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
-        return n
-    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+        return n // size
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax()) // size
 
 
-def neighbours(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of the strings, and the common prefix of each with the one before (from the second on)."""
+def neighbours(strings: list[bytes], width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of the strings, and the common prefix of each with the one before (from the second on), in symbols of `size` bytes."""
     order = sorted(range(len(strings)), key=strings.__getitem__)
     flat = np.frombuffer(b"".join(strings[i].ljust(width, b"\0") for i in order), np.uint8).reshape(len(strings), width)
-    size = np.array([len(strings[i]) for i in order])
+    full = np.array([len(strings[i]) for i in order])
     differ = flat[1:] != flat[:-1]
     prefix = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    return np.array(order), np.minimum(prefix, np.minimum(size[1:], size[:-1]))
+    return np.array(order), np.minimum(prefix, np.minimum(full[1:], full[:-1])) // size
 
 
 def intervals(prefix: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -208,13 +264,14 @@ class RangeMin:
         return out
 
 
-def repeats(left: list[bytes], right: list[bytes], length: int, gram: int) -> list[tuple[int, int, int]]:
-    """(occurrence, bytes to the left, bytes to the right) of the maximal repeats of at least `length` bytes around an anchor; left contexts are given reversed."""
+def repeats(left: list[bytes], right: list[bytes], rule: Rule) -> list[tuple[int, int, int]]:
+    """(occurrence, symbols to the left, symbols to the right) of the maximal repeats of at least `length` symbols around an anchor; left contexts are given reversed."""
+    length, gram, size = rule.length, rule.gram, WORD_BYTES if rule.words else 1
     if len(left) == 2:
-        x, y = common(left[0], left[1]), common(right[0], right[1])
+        x, y = common(left[0], left[1], size), common(right[0], right[1], size)
         return [(0, x, y), (1, x, y)] if x + y >= length and y >= gram else []
-    order, prefix = neighbours(right, length)
-    back, before = neighbours(left, length - gram)
+    order, prefix = neighbours(right, length * size, size)
+    back, before = neighbours(left, (length - gram) * size, size)
     rank = np.empty(len(left), np.int64)
     rank[back] = np.arange(len(left))
     least = RangeMin(before.astype(np.int64))
@@ -237,109 +294,156 @@ def repeats(left: list[bytes], right: list[bytes], length: int, gram: int) -> li
     return out
 
 
-def _contexts(texts: DataFrame, text: str, length: int, gram: int) -> DataFrame:
-    """The contexts of rows (__rp_id, __rp_hash, text, __rp_detail: array of (a, pos, hot))."""
+def _contexts(texts: DataFrame, rules: Sequence[Rule], kid: str, kh: str, text: str, detail: str) -> DataFrame:
+    """The contexts of rows (kid, kh, text, detail: array of (a, pos)), whatever their other columns."""
+
+    def packed(symbols: np.ndarray) -> bytes:
+        return symbols.tobytes() if symbols.itemsize == 1 else np.ascontiguousarray(symbols).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, text, 1_000_000):
-            data, offsets = tx.raw(part.column(text))
-            out: list[list] = [[], [], [], [], [], [], []]
-            for r, (kid, kh, at) in enumerate(zip(*(part.column(x).to_pylist() for x in ("__rp_id", "__rp_hash", "__rp_detail")), strict=True)):
-                whole = data[offsets[r] : offsets[r + 1]].tobytes()
+            data, ends = tx.raw(part.column(text))
+            views = [word_symbols(data, ends)[:2] if rule.words else (data, ends) for rule in rules]
+            out: list[list] = [[], [], [], [], [], []]
+            for r, (i, h, at) in enumerate(zip(*(part.column(x).to_pylist() for x in (kid, kh, detail)), strict=True)):
+                whole = [symbols[offsets[r] : offsets[r + 1]] for symbols, offsets in views]
                 for x in at:
-                    p = x["pos"]
-                    for column, value in zip(out, (x["a"], x["hot"], kid, kh, p, whole[max(0, p - (length - gram)) : p][::-1], whole[p : p + length]), strict=True):
+                    p, rule, symbols = x["pos"], rules[x["a"] & RULE_BITS], whole[x["a"] & RULE_BITS]
+                    before = symbols[max(0, p - (rule.length - rule.gram)) : p][::-1]
+                    for column, value in zip(out, (x["a"], i, h, p, packed(before), packed(symbols[p : p + rule.length])), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["a", "hot", "kid", "kh", "pos", "left", "right"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["a", "kid", "kh", "pos", "left", "right"])
 
-    return texts.mapInArrow(run, "a long, hot boolean, kid long, kh long, pos int, left binary, right binary")
+    return texts.mapInArrow(run, "a long, kid long, kh long, pos int, left binary, right binary")
 
 
-def _spans_of_groups(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans (kid, kh, low, high) from contexts, all of an anchor in one partition and together."""
+def _spans_of_groups(contexts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Spans (kid, kh, rule, low, high) from contexts, all of an anchor in one partition, together, and equal places next to each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
+        def groups():
+            anchor, some = None, []
             for batch in batches:
-                yield from zip(*(batch.column(x).to_pylist() for x in ("a", "kid", "kh", "pos", "left", "right")), strict=True)
+                for row in zip(*(batch.column(x).to_pylist() for x in ("a", "kid", "kh", "pos", "left", "right")), strict=True):
+                    if row[0] != anchor:
+                        yield anchor, some
+                        anchor, some = row[0], []
+                    if not some or row[:4] != some[-1][:4]:  # repeated rows give one place many times
+                        some.append(row)
+            yield anchor, some
 
         out: list[tuple] = []
-        for _, group in groupby(rows(), key=lambda r: r[0]):
-            some = list(group)
+        for a, some in groups():
             if len(some) > 1:
-                found = repeats([r[4] for r in some], [r[5] for r in some], length, gram)
-                out += {(some[i][1], some[i][2], some[i][3] - x, some[i][3] + y) for i, x, y in found}
+                number = a & RULE_BITS
+                found = repeats([r[4] for r in some], [r[5] for r in some], rules[number])
+                out += {(some[i][1], some[i][2], number, some[i][3] - x, some[i][3] + y) for i, x, y in found}
             if len(out) > 20_000:
                 yield _span_batch(out)
                 out = []
         if out:
             yield _span_batch(out)
 
-    return contexts.mapInArrow(run, "kid long, kh long, low int, high int")
+    return contexts.mapInArrow(run, "kid long, kh long, rule int, low int, high int")
 
 
 def _span_batch(spans: list[tuple]) -> pa.RecordBatch:
-    kid, kh, low, high = zip(*spans, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(kid, pa.int64()), pa.array(kh, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["kid", "kh", "low", "high"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*spans, strict=True), kinds, strict=True)], names=["kid", "kh", "rule", "low", "high"])
 
 
-def _spans_of_hot(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+def _spans_of_hot(contexts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Spans of anchors with very many contexts: the windows around each are hashed and counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kid, kh, pos, left, right in zip(*(batch.column(x).to_pylist() for x in ("kid", "kh", "pos", "left", "right")), strict=True):
-                text = left[::-1] + right
-                starts = range(len(text) - length + 1)
-                hashes = [xxhash.xxh3_128_digest(text[i : i + length]) for i in starts]
+            for a, kid, kh, pos, left, right in zip(*(batch.column(x).to_pylist() for x in ("a", "kid", "kh", "pos", "left", "right")), strict=True):
+                number = a & RULE_BITS
+                rule, size = rules[number], WORD_BYTES if rules[number].words else 1
+                back, after = (np.frombuffer(x, np.uint8).reshape(-1, size) for x in (left, right))
+                symbols = np.concatenate([back[::-1], after])
+                starts = range(len(symbols) - rule.length + 1)
+                hashes = [xxhash.xxh3_128_digest(symbols[i : i + rule.length].tobytes(), number) for i in starts]
                 n = len(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array([kid] * n, pa.int64()), pa.array([kh] * n, pa.int64()), pa.array([pos - len(left) + i for i in starts], pa.int32()), pa.array(hashes, pa.binary())], names=["kid", "kh", "low", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([kid] * n, pa.int64()), pa.array([kh] * n, pa.int64()), pa.array([number] * n, pa.int32()), pa.array([pos - len(back) + i for i in starts], pa.int32()), pa.array(hashes, pa.binary())], names=["kid", "kh", "rule", "low", "w"])
 
-    windows = contexts.mapInArrow(run, "kid long, kh long, low int, w binary")
+    windows = contexts.mapInArrow(run, "kid long, kh long, rule int, low int, w binary")
     place = F.struct("kid", "kh", "low")  # one window can stand around several anchors
     twice = windows.groupBy("w").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one != other").select("w")
-    return windows.join(tx.settled(twice), "w").select("kid", "kh", "low", (F.col("low") + length).alias("high"))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns, with __rp_spans: the spans to remove (array of (low, high), not clipped to the text), or null."""
-    keyed = docs.withColumns({"__rp_id": F.xxhash64(doc_id), "__rp_hash": F.xxhash64(text)})
-    short = keyed.select(F.col("__rp_id").alias("kid"), F.col("__rp_hash").alias("kh"), F.col(text).alias("text"))
-    frequent = tx.settled(hot_anchors(short, length, gram, hot))
-    many = frequent.count()
-    found = find_anchors(short, length, gram)
-    used = sort_out(found.join(F.broadcast(frequent), "a", "left_anti") if many else found).withColumn("hot", F.lit(False))  # MOST_HOT rows at most
-    if many:
-        used = used.unionByName(sort_out_hot(found.join(F.broadcast(frequent), "a", "left_semi")).withColumn("hot", F.lit(True)))
-    # a text's own anchors: bounded by its length
-    per_text = used.groupBy("kid", "kh").agg(F.collect_list(F.when(F.col("whole"), F.col("pos"))).alias("whole"), F.collect_list(F.when(F.col("detail"), F.struct("a", "pos", "hot"))).alias("detail"))
-    per_text = tx.settled(per_text.select(F.col("kid").alias("__rp_id"), F.col("kh").alias("__rp_hash"), "whole", F.col("detail").alias("__rp_detail")))
-    contexts = _contexts(keyed.join(per_text.where(F.size("__rp_detail") > 0).drop("whole"), ["__rp_id", "__rp_hash"]), text, length, gram)
-    cold = contexts.where("not hot") if many else contexts
-    spans = _spans_of_groups(cold.select("a", "kid", "kh", "pos", "left", "right").repartition("a").sortWithinPartitions("a"), length, gram)
+    return windows.join(tx.settled(twice), "w").select("kid", "kh", "rule", "low", (F.col("low") + F.element_at(F.array(*(F.lit(r.length) for r in rules)), F.col("rule") + 1)).alias("high"))
+
+
+def repeated_spans(docs: DataFrame, rules: Sequence[Rule] = (STRINGS,), hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """docs, all columns, and one more, whose name is returned: the repeats (array of (rule, low, high) in symbols, not clipped to the text), or null."""
+    kid, kh, detail, found_at = tx.free_names(docs, "row_id", "row_hash", "detail", "spans")
+    keyed = docs.withColumns({kid: F.xxhash64(doc_id), kh: F.xxhash64(text)})
+    short = keyed.select(F.col(kid).alias("kid"), F.col(kh).alias("kh"), F.col(text).alias("text"))
+    found = find_anchors(short, rules)
+    frequent = tx.settled(frequent_anchors(short, rules, hot))
+    if frequent.count():
+        used = sort_out(found.join(F.broadcast(frequent), "a", "left_anti")).unionByName(sort_out_hot(found.join(F.broadcast(frequent), "a", "left_semi")))  # MOST_HOT rows at most
+    else:
+        used = sort_out(found)
+    # a text's own anchors, as a set: bounded by its length
+    rule = F.col("a").bitwiseAND(RULE_BITS).cast("int").alias("rule")
+    per_text = used.groupBy("kid", "kh").agg(F.collect_set(F.when(F.col("whole"), F.struct(rule, "pos"))).alias("whole"), F.collect_set(F.when(F.col("detail"), F.struct("a", "pos"))).alias("detail"))
+    per_text = tx.settled(per_text)
+    crowded = tx.settled(per_text.select(F.explode("detail.a").alias("a")).groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= hot).select("a"))
+    # all columns of the texts go into both joins, so that both read one exchange
+    contexts = _contexts(keyed.join(per_text.where(F.size("detail") > 0).select(F.col("kid").alias(kid), F.col("kh").alias(kh), F.col("detail").alias(detail)), [kid, kh]), rules, kid, kh, text, detail)
+    if many := crowded.count():
+        hottest = F.broadcast(crowded) if many <= MOST_HOT else crowded
+        cold = contexts.join(hottest, "a", "left_anti")
+    else:
+        cold = contexts
+    spans = _spans_of_groups(cold.select("a", "kid", "kh", "pos", "left", "right").repartition("a").sortWithinPartitions("a", "kid", "kh", "pos"), rules)
     if many:
-        spans = spans.unionByName(_spans_of_hot(contexts.where("hot").select("kid", "kh", "pos", "left", "right"), length, gram))
-    spans = spans.groupBy(F.col("kid").alias("__rp_id"), F.col("kh").alias("__rp_hash")).agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    around = F.transform("whole", lambda p: F.struct((p - (length - gram)).alias("low"), (p + length).alias("high")))
-    spans = spans.unionByName(per_text.where(F.size("whole") > 0).select("__rp_id", "__rp_hash", around.alias("spans")))
-    spans = spans.groupBy("__rp_id", "__rp_hash").agg(F.flatten(F.collect_list("spans")).alias("__rp_spans"))
-    return keyed.join(spans, ["__rp_id", "__rp_hash"], "left")
+        spans = spans.unionByName(_spans_of_hot(contexts.join(hottest, "a", "left_semi").select("a", "kid", "kh", "pos", "left", "right"), rules))
+    spans = spans.groupBy("kid", "kh").agg(F.collect_set(F.struct("rule", "low", "high")).alias("spans"))
+    reach, back = (F.array(*(F.lit(x(r)) for r in rules)) for x in (lambda r: r.length, lambda r: r.length - r.gram))
+    around = F.transform("whole", lambda p: F.struct(p["rule"].alias("rule"), (p["pos"] - F.element_at(back, p["rule"] + 1)).alias("low"), (p["pos"] + F.element_at(reach, p["rule"] + 1)).alias("high")))
+    spans = spans.unionByName(per_text.where(F.size("whole") > 0).select("kid", "kh", around.alias("spans")))
+    spans = spans.groupBy(F.col("kid").alias(kid), F.col("kh").alias(kh)).agg(F.flatten(F.collect_list("spans")).alias(found_at))
+    return keyed.join(spans, [kid, kh], "left").select(*docs.columns, found_at), found_at
 
 
-def merged(spans, n: int) -> list[tuple[int, int]]:
+def merged(low: np.ndarray, high: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Maximal runs covered by the spans inside 0..n."""
     out: list[tuple[int, int]] = []
-    for low, high in sorted({(max(0, s["low"]), min(n, s["high"])) for s in spans or ()}):
-        if low >= high:
+    for x, y in sorted(set(zip(np.maximum(low, 0).tolist(), np.minimum(high, n).tolist(), strict=True))):
+        if x >= y:
             continue
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], high))
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], y))
         else:
-            out.append((low, high))
+            out.append((x, y))
     return out
 
 
+def runs_of(part: pa.RecordBatch, text: str, spans: str, rules: Sequence[Rule]) -> Iterator[tuple[bytes, list[list[tuple[int, int]]], list[int]]]:
+    """For each row: its bytes, the runs of bytes that each rule finds, and the number of symbols in them."""
+    data, offsets = tx.raw(part.column(text))
+    column = part.column(spans)
+    of = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    rule, low, high = (x.to_numpy(zero_copy_only=False) for x in column.flatten().flatten())
+    words = {k: word_symbols(data, offsets) for k, r in enumerate(rules) if r.words and (rule == k).any()}
+    for r in range(part.num_rows):
+        found, size = [], []
+        for k in range(len(rules)):
+            some = np.flatnonzero(rule[of[r] : of[r + 1]] == k) + of[r]
+            if not len(some):
+                runs = []
+            elif rules[k].words:
+                _, bounds, at, to = words[k]
+                runs = merged(low[some], high[some], int(bounds[r + 1] - bounds[r]))
+            else:
+                runs = merged(low[some], high[some], int(offsets[r + 1] - offsets[r]))
+            size.append(sum(y - x for x, y in runs))
+            found.append([(int(at[bounds[r] + x] - offsets[r]), int(to[bounds[r] + y - 1] - offsets[r])) for x, y in runs] if runs and rules[k].words else runs)
+        yield data[offsets[r] : offsets[r + 1]].tobytes(), found, size
+
+
 def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     kept, at = [], 0
     for low, high in runs:
@@ -348,47 +452,47 @@ def without(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def report(docs: DataFrame, strings: Rule = STRINGS, passages: Rule = PASSAGES, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 by `strings`, then n_passage_words and in_passage by `passages`, of every row of docs."""
+    kind, rules = docs.schema["doc_id"].dataType.simpleString(), (strings, passages)
+    marked, spans = repeated_spans(docs.select("doc_id", "text"), rules, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, "text"):
-            data, offsets = tx.raw(part.column("text"))
-            n, removed, count, digest = [], [], [], []
-            for r, some in enumerate(part.column("__rp_spans").to_pylist()):
-                text = data[offsets[r] : offsets[r + 1]].tobytes()
-                runs = merged(some, len(text))
+            n, count, digest, removed, passage = [], [], [], [], []
+            for text, (runs, _), (size, words) in runs_of(part, "text", spans, rules):
                 n.append(len(text))
-                removed.append(sum(y - x for x, y in runs))
+                removed.append(size)
                 count.append(len(runs))
                 digest.append(hashlib.sha256(without(text, runs)).hexdigest())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                passage.append(words)
+            columns = [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(digest, pa.string()), pa.array(passage, pa.int64()), pa.array([x > 0 for x in passage])]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words", "in_passage"])
+
+    return marked.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_words long, in_passage boolean")
 
-    few = docs.select("doc_id", "text")
-    return repeated_spans(few, **options).select("doc_id", "text", "__rp_spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", rules: Sequence[Rule] = (STRINGS, PASSAGES), hot: int = HOT) -> DataFrame:
+    """docs with what any rule finds taken out of the text (bytes of a character that is cut go, too) and n_chars brought up to date. All copies go. No row is dropped; null stays null."""
+    marked, spans = repeated_spans(docs, rules, hot, doc_id, text)
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
-    """docs with repeated strings taken out of the text (bytes of a character that is cut go, too) and n_chars brought up to date. No row is dropped; null stays null."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, text):
-            data, offsets = tx.raw(part.column(text))
             null = part.column(text).is_null().to_pylist()
             new = []
-            for r, some in enumerate(part.column("__rp_spans").to_pylist()):
-                old = data[offsets[r] : offsets[r + 1]].tobytes()
-                runs = merged(some, len(old))
-                new.append(None if null[r] else (without(old, runs) if runs else old).decode("utf-8", "ignore"))
-            columns = {f.name: part.column(i) for i, f in enumerate(part.schema) if f.name != "__rp_spans"}
+            for r, (old, found, _) in enumerate(runs_of(part, text, spans, rules)):
+                every = np.array([x for runs in found for x in runs], np.int64).reshape(-1, 2)
+                new.append(None if null[r] else without(old, merged(every[:, 0], every[:, 1], len(old))).decode("utf-8", "ignore"))
+            columns = {f.name: part.column(i) for i, f in enumerate(part.schema) if f.name != spans}
             columns[text] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    cleaned = repeated_spans(docs, doc_id=doc_id, text=text, **options).select(*docs.columns, "__rp_spans").mapInArrow(run, docs.schema)
+    cleaned = marked.mapInArrow(run, docs.schema)
     if n_chars not in docs.columns:
         return cleaned
     return cleaned.withColumn(n_chars, F.when(F.col(n_chars).isNotNull(), F.length(text).cast(docs.schema[n_chars].dataType))).select(*docs.columns)
 
 
 def op9_repeated_strings(spark, sf_dir: str) -> DataFrame:
+    """Strings of 400 bytes as the contract has them; besides, the words that stand in passages of 50 words or more which stand elsewhere, too."""
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

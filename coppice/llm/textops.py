@@ -7,6 +7,8 @@ depend on the number of rows in an Arrow batch.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -28,13 +30,30 @@ WORDPUNCT = np.where(WHITE == 0, 0, np.where(ALNUM == 1, 1, 2)).astype(np.uint8)
 
 
 def shared_dir(spark) -> str:
-    """Reads spark.checkpoint.dir from the session; sets a folder only where none is set."""
+    """Reads spark.checkpoint.dir from the session. Where none is set, a local master gets a temporary folder; a cluster has none that its machines share, so that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="coppice-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="coppice-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def free_names(df, *wanted: str) -> list[str]:
+    """Column names that df doesn't have, whatever their case, one for each wanted."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def settled(df):
     """The rows of df, written to the shared checkpoint folder: lineage ends here."""
     shared_dir(df.sparkSession)

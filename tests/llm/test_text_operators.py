@@ -448,20 +448,28 @@ def test_mixing(spark, docs, rows, none):
 # -- repeats
 
 
-def repeats_plainly(rows, n=400):
+def covered(texts, n):
+    """Of each sequence, marks of the elements inside a run of n that stands elsewhere, too."""
     seen = Counter()
-    texts = [(r[0], (r[1] or "").encode()) for r in rows]
-    for _, b in texts:
-        seen.update(b[p : p + n] for p in range(len(b) - n + 1))
-    out = Counter()
-    for i, b in texts:
-        gone = bytearray(len(b))
-        for p in range(len(b) - n + 1):
-            if seen[b[p : p + n]] > 1:
+    for x in texts:
+        seen.update(x[p : p + n] for p in range(len(x) - n + 1))
+    out = []
+    for x in texts:
+        gone = bytearray(len(x))
+        for p in range(len(x) - n + 1):
+            if seen[x[p : p + n]] > 1:
                 gone[p : p + n] = b"\1" * n
+        out.append(gone)
+    return out
+
+
+def repeats_plainly(rows, n=400, passage=50):
+    texts = [(r[1] or "").encode() for r in rows]
+    out = Counter()
+    for r, b, gone, told in zip(rows, texts, covered(texts, n), covered([tuple(words(r[1])) for r in rows], passage)):
         kept = bytes(x for x, c in zip(b, gone) if not c)
         spans = sum(gone[j] and not (j and gone[j - 1]) for j in range(len(b)))
-        out[(i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())] += 1
+        out[(r[0], len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest(), sum(told), sum(told) > 0)] += 1
     return out
 
 
@@ -482,12 +490,56 @@ def test_repeats_random(spark):
         assert Counter(map(tuple, got)) == repeats_plainly(data)
 
 
-def test_remove_repeats(spark, docs, none):
+def test_repeated_passages(spark):
+    """Passages of 51 words or more are found between any neighbours and white space, also where they are under 400 bytes."""
+    rng = random.Random(10)
+    passages = [[f"{rng.choice('abcd')}{rng.randrange(900)}" for _ in range(n)] for n in (48, 49, 50, 51, 55, 70)]
+    data = []
+    for i in range(60):
+        text = [f"o{i}x{k}" for k in range(rng.randrange(80))]
+        for p in rng.sample(passages, rng.randrange(3)):
+            text += p + [f"m{i}x{k}" for k in range(rng.randrange(3))]
+        data.append((i, "".join(w + rng.choice([" ", "\n", " \t"]) for w in text)))
+    data += [(100, None), (101, ""), (102, data[5][1]), (102, data[5][1]), (None, data[6][1])] + [(103, " ".join(["the"] * 200))] * 3 + [(104, " ".join(["of", "a"] * 90))]
+    for hot in (repeats.HOT, 1):
+        got = repeats.report(spark.createDataFrame(data, "doc_id long, text string").repartition(3), hot=hot).collect()
+        assert Counter(map(tuple, got)) == repeats_plainly(data)
+
+
+def test_sort_out_in_small_batches(spark):
+    """The scan's state holds over the borders of batches: groups of one context, of several, of single rows."""
+    rng = random.Random(3)
+    data = [(i, 0, i, rng.randrange(40), rng.choice([1, 1, 1, rng.randrange(6)])) for i in range(600)] + [(i, 0, i, 99, 5) for i in range(600, 700)]
+    by, contexts = Counter(r[3:] for r in data), defaultdict(set)
+    for r in data:
+        contexts[r[3]].add(r[4:])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = repeats.sort_out(spark.createDataFrame(data, "kid long, kh long, pos int, a long, c long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    of = {r[0]: r for r in data}
+    assert sorted(r.kid for r in got if r.whole) == sorted(r[0] for r in data if by[r[3:]] > 1)
+    detail = [of[r.kid] for r in got if r.detail]
+    assert Counter((r[3], r[4:]) for r in detail) == Counter((a, c) for a, some in contexts.items() if len(some) > 1 for c in some)
+
+
+def test_remove_repeats(spark, docs, rows, none):
     got = repeats.remove_repeats(docs)
     assert got.columns == docs.columns and got.schema["n_chars"].dataType == docs.schema["n_chars"].dataType and got.count() == docs.count()
     assert got.where("text is not null and n_chars != length(text)").count() == 0
     assert got.where("text is null").count() == docs.where("text is null").count()
     assert repeats.remove_repeats(none).count() == 0
+    clash = repeats.remove_repeats(docs.withColumns({"row_id": F.lit(1), "ROW_HASH": F.lit("h"), "kid": F.lit(3), "spans_": F.lit(4)}))
+    assert {tuple(r) for r in clash.select("row_id", "ROW_HASH", "kid", "spans", "spans_").distinct().collect()} == {(1, "h", 3, rows[0][7], 4)}
+
+
+def test_remove_repeated_passages(spark):
+    """A passage of 51 short words goes from every text, its neighbours stay; a clean text isn't touched."""
+    passage = " ".join(f"p{k}" for k in range(51))
+    data = [(i, f"before{i} more{i} {passage} after{i}") for i in range(3)] + [(9, "some words of its own")]
+    got = dict(repeats.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    assert got == {0: "before0 more0  after0", 1: "before1 more1  after1", 2: "before2 more2  after2", 9: "some words of its own"}
 
 
 def test_interval_tree():
