@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and
 returns a DataFrame that is written as Parquet and reread. All but the last return the columns
-of documents.
+of documents; columns of other names travel along, whatever their names. A stage's rows are
+deleted once the next stage has written its own.
+
+Null and empty texts and null ids pass the first four stages (nothing is known against them; they
+are copies of nothing) and are taken 0 words of. Of repeated rows, one stays. An empty table gives
+an empty mix. Ties are broken by hashes of id and text: reruns agree.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def repeat_dedup(spark, docs, sf_dir):
-    """Strings of 400 bytes that occur again anywhere are taken out of the texts."""
+    """Strings of 400 bytes and passages of 50 words that occur again anywhere are taken out of the texts."""
     return repeats.remove_repeats(docs)
 
 
@@ -47,7 +52,11 @@ def run(spark, sf_dir):
     """The rows of the last stage, from the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = f"{textops.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{home}/{k}-{name}")
         docs = spark.read.parquet(path)
+        if before:
+            textops.delete(spark, before)
+        before = path
     return docs
