@@ -1,10 +1,12 @@
 r"""Chat formatting, with DataFrame operations only.
 
 Records of different layouts (message lists, prompt and completion, instruction and output,
-and others) become canonical turns. The field paths that a record has, of those that any layout
-knows, are hashed to its schema fingerprint; the fingerprint selects one of the declarative
-mappings in LAYOUTS. Further fields do not matter. A record that no layout fits has layout
-null and no turns.
+and others) become canonical turns. The field paths that a record has, of those that a layout
+knows, are hashed to its schema fingerprint for that layout; the first of the declarative mappings
+in LAYOUTS with a fingerprint among its own is selected. Further fields do not matter, also if
+other layouts know them: a prompt beside messages does not hide the messages. A record that no
+layout fits has layout null and no turns (unfitted() counts these). A text given as a list of
+parts is the parts' texts, joined by newlines; parts without text (images) have none.
 
 The template writes each turn as "### ", role, ": ", text, "</turn>", newline. Inside texts and
 roles a backslash is doubled, "##" becomes "#\#" and "</turn>" becomes "<\/turn>", in roles ":"
@@ -33,35 +35,33 @@ LAYOUTS = {
     "conversations": (("conversations[0].from", "conversations[0].value"), ("system",), ("list", "conversations", "from", "value")),
     "dialog": (("dialog[0].speaker", "dialog[0].text"), (), ("list", "dialog", "speaker", "text")),
     "rounds": (("rounds[0].user", "rounds[0].assistant"), ("system",), ("pairs", "rounds", "user", "assistant")),
-    "instruction": (("instruction", "output"), ("input", "system"), ("fields", ("user", ("instruction", "input")), ("assistant", ("output",)))),
-    "instruction_response": (("instruction", "response"), ("context", "system"), ("fields", ("user", ("instruction", "context")), ("assistant", ("response",)))),
+    "instruction": (("instruction", "output"), ("input", "context", "system"), ("fields", ("user", ("instruction", "input", "context")), ("assistant", ("output",)))),
+    "instruction_response": (("instruction", "response"), ("input", "context", "system"), ("fields", ("user", ("instruction", "input", "context")), ("assistant", ("response",)))),
     "prompt_completion": (("prompt", "completion"), ("system",), ("fields", ("user", ("prompt",)), ("assistant", ("completion",)))),
     "prompt_response": (("prompt", "response"), ("system",), ("fields", ("user", ("prompt",)), ("assistant", ("response",)))),
     "question_answer": (("question", "answer"), ("context", "system"), ("fields", ("user", ("context", "question")), ("assistant", ("answer",)))),
 }
 #: Other names of the canonical roles.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "chatgpt": "assistant", "model": "assistant"}
-PATHS = sorted({p for need, may, _ in LAYOUTS.values() for p in (*need, *may)})
 
 
 def _signature(paths) -> str:
     return "|".join(sorted(paths))
 
 
-def fingerprint(record) -> F.Column:
-    """The hash of the known field paths that a variant record has."""
-    there = F.array_compact(F.array(*(F.when(F.try_variant_get(record, f"$.{p}", "variant").isNotNull(), F.lit(p)) for p in PATHS)))
+def fingerprint(record, paths) -> F.Column:
+    """The hash of those of the field paths that a variant record has."""
+    there = F.array_compact(F.array(*(F.when(F.try_variant_get(record, f"$.{p}", "variant").isNotNull(), F.lit(p)) for p in sorted(paths))))
     return F.xxhash64(F.array_join(there, "|"))
 
 
 def layout_of(record) -> F.Column:
-    """The name of the layout that the record's fingerprint selects, or null."""
-    rows = []
+    """The name of the first layout that the record's fingerprints select, or null."""
+    found = []
     for name, (need, may, _) in LAYOUTS.items():
-        for n in range(len(may) + 1):
-            rows += [(name, _signature((*need, *some))) for some in combinations(may, n)]
-    by_hash = F.create_map(*(x for name, paths in rows for x in (F.xxhash64(F.lit(paths)), F.lit(name))))
-    return F.try_element_at(by_hash, fingerprint(record))
+        fits = [F.xxhash64(F.lit(_signature((*need, *some)))) for n in range(len(may) + 1) for some in combinations(may, n)]
+        found.append(F.when(fingerprint(record, (*need, *may)).isin(*fits), name))
+    return F.coalesce(*found)
 
 
 def _string(record, path: str) -> F.Column:
@@ -73,8 +73,13 @@ def _turn(role, text) -> F.Column:
 
 
 def _from_list(record, path: str, who: str, what: str, known) -> F.Column:
-    items = F.try_variant_get(record, f"$.{path}", f"array<struct<`{who}`: string, `{what}`: string>>")
-    return F.transform(items, lambda x: _turn(F.coalesce(F.try_element_at(known, F.coalesce(x[who], F.lit(""))), x[who], F.lit("")), x[what]))
+    items = F.try_variant_get(record, f"$.{path}", f"array<struct<`{who}`: string, `{what}`: variant>>")
+
+    def said(x):
+        parts = F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string"))))
+        return F.coalesce(F.array_join(parts, "\n"), F.try_variant_get(x, "$", "string"))
+
+    return F.transform(items, lambda x: _turn(F.coalesce(F.try_element_at(known, F.coalesce(x[who], F.lit(""))), x[who], F.lit("")), said(x[what])))
 
 
 def _from_pairs(record, path: str, user: str, assistant: str) -> F.Column:
@@ -167,6 +172,11 @@ def format_records(df: DataFrame, record: str = "record") -> DataFrame:
     return turned.withColumns({"formatted": formatted(F.col("turns")), "loss_mask": loss_mask(F.col("turns"))}).drop("turns")
 
 
+def unfitted(df: DataFrame, record: str = "record") -> DataFrame:
+    """n, the records of df, and n_unfitted, those that no layout fits."""
+    return df.agg(F.count("*").alias("n"), F.count(F.when(layout_of(F.col(record)).isNull(), 1)).alias("n_unfitted"))
+
+
 def digest(done: DataFrame) -> DataFrame:
     """What the formatted texts and masks give when they are read back."""
     back = done.withColumns({"turns": unformat(F.col("formatted")), "lost": F.array_join(masked_texts(F.col("formatted"), F.col("loss_mask")), "")})

@@ -173,10 +173,12 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterato
     yield part
 
 
-_FOUND = "__dc_spans binary, __dc_items array<string>, __dc_n long, __dc_longest int, __dc_longest_at int, __dc_longest_item string"
+#: What is found of a text; the columns' names have a prefix.
+_FOUND = "spans binary, items array<string>, n long, longest int, longest_at int, longest_item string"
+PREFIX = "found_"
 
 
-def _pass(docs: DataFrame, block, window: int, text: str) -> DataFrame:
+def _pass(docs: DataFrame, block, window: int, text: str, prefix: str) -> DataFrame:
     """docs with its found columns brought up to date by the items of one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +186,8 @@ def _pass(docs: DataFrame, block, window: int, text: str) -> DataFrame:
         for part in tx.slices(batches, text):
             columns = {f.name: part.column(i) for i, f in enumerate(part.schema)}
             n, found = match(columns[text], b, window)
-            spans, items = columns["__dc_spans"].to_pylist(), columns["__dc_items"].to_pylist()
-            top, top_at, top_item = (columns[x].to_pylist() for x in ("__dc_longest", "__dc_longest_at", "__dc_longest_item"))
+            spans, items = columns[f"{prefix}spans"].to_pylist(), columns[f"{prefix}items"].to_pylist()
+            top, top_at, top_item = (columns[prefix + x].to_pylist() for x in ("longest", "longest_at", "longest_item"))
             for r, start, size, item, place in found:
                 edges = np.zeros(int(n[r]) + 1, np.int32)
                 np.add.at(edges, start, 1)
@@ -200,25 +202,37 @@ def _pass(docs: DataFrame, block, window: int, text: str) -> DataFrame:
                 length, at, of = longest(start, size, item, place)
                 if length > (top[r] or 0):
                     top[r], top_at[r], top_item[r] = length, at, b.names[of]
-            columns |= {"__dc_spans": pa.array(spans, pa.binary()), "__dc_items": pa.array(items, pa.list_(pa.string())), "__dc_n": pa.array(n.astype(np.int64)), "__dc_longest": pa.array(top, pa.int32()), "__dc_longest_at": pa.array(top_at, pa.int32()), "__dc_longest_item": pa.array(top_item, pa.string())}
+            new = (("spans", spans, pa.binary()), ("items", items, pa.list_(pa.string())), ("n", n.astype(np.int64), pa.int64()), ("longest", top, pa.int32()), ("longest_at", top_at, pa.int32()), ("longest_item", top_item, pa.string()))
+            columns |= {prefix + name: pa.array(x, kind) for name, x, kind in new}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with __dc_n words, __dc_spans (int32 pairs: hit words, from, to), __dc_items, and the longest verbatim match with its location."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, prefix: str = PREFIX) -> DataFrame:
+    """docs with found_n words, found_spans (int32 pairs: hit words, from, to), found_items, and the longest verbatim match with its location.
+
+    One block of the benchmark is on the driver and broadcast at a time: where there is another one, what was found so far is written out and the block let go.
+    """
     spark = docs.sparkSession
-    empty = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in _FOUND.split(", ")}
-    out = docs.withColumns(empty)
+    if taken := [c for c in docs.columns if c.lower().startswith(prefix)]:
+        raise ValueError(f"choose another prefix: docs has {taken}")
+    out, held = docs.withColumns({prefix + c.split()[0]: F.lit(None).cast(c.split()[1]) for c in _FOUND.split(", ")}), None
     for items in blocks(benchmark, item_id, item_text, block_bytes):
-        out = _pass(out, spark.sparkContext.broadcast(Block(items, window)), window, text)
+        if held:
+            out = tx.settled(out)
+            held.destroy()
+        held = spark.sparkContext.broadcast(Block(items, window))
+        out = _pass(out, held, window, text, prefix)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without any hit word; their columns are kept as they are."""
-    return overlaps(docs, benchmark, window=window).where("__dc_items is null").select(*docs.columns)
+    """The documents without any hit word; their columns are kept as they are, whatever their names."""
+    prefix = PREFIX
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return overlaps(docs, benchmark, window=window, prefix=prefix).where(F.col(f"{prefix}items").isNull()).select(*docs.columns)
 
 
 def report(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
@@ -226,16 +240,16 @@ def report(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            hit = [int(np.diff(np.frombuffer(x, np.int32).reshape(-1, 2), axis=1).sum()) if x else 0 for x in part.column("__dc_spans").to_pylist()]
-            items = [x or [] for x in part.column("__dc_items").to_pylist()]
+            hit = [int(np.diff(np.frombuffer(x, np.int32).reshape(-1, 2), axis=1).sum()) if x else 0 for x in part.column("found_spans").to_pylist()]
+            items = [x or [] for x in part.column("found_items").to_pylist()]
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("__dc_n"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array([h > 0 for h in hit]), part.column("__dc_longest"), part.column("__dc_longest_at"), part.column("__dc_longest_item")],
+                [part.column("doc_id"), part.column("found_n"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array([h > 0 for h in hit]), part.column("found_longest"), part.column("found_longest_at"), part.column("found_longest_item")],
                 names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "longest_at", "longest_item"],
             )
 
     kind = found.schema[doc_id].dataType.simpleString()
-    few = found.select(F.col(doc_id).alias("doc_id"), "__dc_n", "__dc_spans", "__dc_items", "__dc_longest", "__dc_longest_at", "__dc_longest_item")
+    few = found.select(F.col(doc_id).alias("doc_id"), "found_n", "found_spans", "found_items", "found_longest", "found_longest_at", "found_longest_item")
     return few.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match int, longest_at int, longest_item string")
 
 

@@ -9,8 +9,9 @@ hash of seed, id and text: reruns agree, whatever the partitioning.
 The raw model counts every text. The target model may be fitted on a bounded sample of labelled
 rows (max_target rows, chosen by hash): only their ids are broadcast. If no k is given, it is
 set from labelled texts that were kept out of the target model (a fifth of the good ones, all
-bad ones): k is the number of texts with keys from the border on that separates these best,
+bad ones): k is the number of texts, of all, with keys from the border on that separates these best,
 where losing a share of the good ones costs ten times what keeping a share of the bad ones does.
+In either case the k-th largest key of all texts is found exactly, and keys from it on are selected.
 
 Null and empty texts have no n-grams and weight 0. Repeated rows are separate candidates; equal
 rows have equal keys and are kept or dropped together where k is derived; with a given k the
@@ -89,14 +90,13 @@ def border_of(good: np.ndarray, bad: np.ndarray, cost: float) -> float:
     return float(keys[at - 1] + (keys[at] - keys[at - 1]) / 4) if gain[at] > 0 else float("-inf")
 
 
-def weigh(docs: DataFrame, ratio, buckets: int, span: int, text: str, names: list[str], prefix: str = "") -> DataFrame:
-    """names of docs with n_grams and log_weight of the text; the text is passed on only if it is named.
+def weigh(docs: DataFrame, ratio, buckets: int, span: int, text: str, names: list[str], added: tuple[str, ...] = ("n_grams", "log_weight")) -> DataFrame:
+    """names of docs with n_grams and log_weight (or so named as in added) of the text; the text is passed on only if it is named.
 
     A text of more than span n-grams weighs as span of them would on average: the models' errors add up, too.
     """
     from pyspark.sql.types import StructType
 
-    added = [f"{prefix}n_grams", f"{prefix}log_weight"]
     schema = StructType([docs.schema[n] for n in names]).add(added[0], "long").add(added[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, k: int | None, cost: float, max_targ
     if k is None:
         held = keyed.where("held").select("good", F.col("gumbel_key").alias("key")).distinct().collect()  # texts of at most max_target ids
         of = lambda yes: np.array([r["key"] for r in held if (r["good"] == 1) == yes])
-        border = border_of(of(True), of(False), cost)
-    else:
-        border = kth_largest(keyed, "gumbel_key", k) if k > 0 else None
-        border = float("inf") if border is None else border
+        k = keyed.where(F.col("gumbel_key") >= F.lit(border_of(of(True), of(False), cost))).count()
+    border = kth_largest(keyed, "gumbel_key", k) if k > 0 else None
+    border = float("inf") if border is None else border
     return ratio, keyed.drop("held", "good", "row_hash"), border
 
 
@@ -169,8 +168,9 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, cost: flo
 def keep_selected(docs: DataFrame, labels: DataFrame, k: int | None = None, cost: float = 10.0, max_target: int = 50_000, buckets: int = BUCKETS, span: int = 256, seed: int = 1, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
     """The rows of docs that resample() selects, with all their columns. Texts are weighed again in place: they are not shuffled."""
     ratio, _, border = fit(docs, labels, k, cost, max_target, buckets, span, seed, doc_id, text, quality)
-    weighed = weigh(docs, ratio, buckets, span, text, docs.columns, "__is_")
-    key = F.col("__is_log_weight") + gumbel(F.xxhash64(doc_id, text, F.lit(seed)))
+    names = tx.free_names(docs, "n_grams", "log_weight")
+    weighed = weigh(docs, ratio, buckets, span, text, docs.columns, names)
+    key = F.col(names[1]) + gumbel(F.xxhash64(doc_id, text, F.lit(seed)))
     return weighed.where(key >= F.lit(border)).select(*docs.columns)
 
 

@@ -13,7 +13,8 @@ the others without blocks end with the element around them at the latest. Charac
 are decoded, white space inside a block becomes one space, blocks are joined by one space.
 Null and empty pages and pages without content have an empty text. Malformed markup is read as
 far as possible: a new paragraph ends the open one, unknown end tags are ignored, and a "<"
-that begins no tag is text. Repeated rows are extracted one by one; other columns are ignored.
+that begins no tag is text. Tags are scanned in time linear in the page, whatever its quotes. Elements
+nested deeper than 512 open elements are no part of a block's place. Repeated rows are extracted one by one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,10 @@ from pyspark.sql import functions as F
 
 from . import textops as tx
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
+#: Elements open at once, beyond which further ones add nothing to a block's place.
+DEPTH = 512
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden|aria-label|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _RAW = frozenset("script style noscript textarea title iframe".split())
 _EXCLUDED = frozenset("template svg object select option canvas audio video button".split())
@@ -59,6 +63,59 @@ class Block:
         self.text, self.linked, self.path, self.score = text, linked, path, score
 
 
+class Tags:
+    """The tags, comments and declarations of a page, one after the other, in linear time.
+
+    A ">" inside quotes doesn't end a tag, unless its quotes aren't closed before the page's end;
+    then the first ">" does. Places from which a search has failed once aren't searched again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.lost: set[int] = set()  # opening quotes from which no tag's end is reached
+        self.stop = (0, -1)  # the first of > " ' from the one place on is at the other
+
+    def next_stop(self, at: int) -> int:
+        if not self.stop[0] <= at <= self.stop[1]:
+            m = _STOP.search(self.page, at)
+            self.stop = (at, m.start() if m else len(self.page))
+        return self.stop[1]
+
+    def end(self, at: int) -> int:
+        """The place of the ">" that ends a tag whose attributes begin at `at`; there is some ">" from there on."""
+        seen, first = [], at
+        while (stop := self.next_stop(at)) < len(self.page):
+            mark = self.page[stop]
+            if mark == ">":
+                return stop
+            if stop in self.lost:
+                break
+            seen.append(stop)
+            if (close := self.page.find(mark, stop + 1)) < 0:
+                break
+            at = close + 1
+        self.lost.update(seen)
+        return self.page.find(">", first)
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it closes, attributes) of the next tag from `at` on; the name is empty for others."""
+        page = self.page
+        while 0 <= (start := page.find("<", at)):
+            if page.startswith("<!--", start):
+                close = page.find("-->", start + 4)
+                return start, close + 3 if close >= 0 else len(page), "", False, ""
+            if page.startswith("<![CDATA[", start):
+                close = page.find("]]>", start + 9)
+                return start, close + 3 if close >= 0 else len(page), "", False, ""
+            if page.startswith(("<!", "<?"), start) and start < self.last:
+                return start, page.find(">", start) + 1, "", False, ""
+            if start < self.last and (m := _NAME.match(page, start)) and m.end() <= self.last:
+                end = self.end(m.end())
+                return start, end + 1, m[1].lower(), page[start + 1] == "/", page[m.end() : end]
+            at = start + 1
+        return None
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, each with the path of its open elements (name, number, weight)."""
     out: list[Block] = []
@@ -66,6 +123,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked, links, number, at, end = 0, 0, 0, 0, len(page)
     skip = -1  # place in the stack of the outermost excluded element
+    tags, names = Tags(page), Counter()  # how many elements of a name are open
 
     def flush() -> None:
         nonlocal linked
@@ -79,6 +137,7 @@ def blocks(page: str) -> list[Block]:
     def close(upto: int) -> None:
         nonlocal links, skip
         for e in stack[upto:]:
+            names[e[0]] -= 1
             if e[0] == "a":
                 links -= 1
         del stack[upto:]
@@ -86,21 +145,20 @@ def blocks(page: str) -> list[Block]:
             skip = -1
 
     while at < end:
-        m = _TAG.search(page, at)
-        piece = page[at : m.start()] if m else page[at:]
+        tag = tags.after(at)
+        piece = page[at : tag[0]] if tag else page[at:]
         if piece and skip < 0:
             said = html.unescape(piece) if "&" in piece else piece
             parts.append(said)
             if links:
                 linked += len(said.strip())
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        name = (m[2] or "").lower()
+        _, at, name, closes, attributes = tag
         if not name:
             continue
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
+        if closes:
+            for i in range(len(stack) - 1 if names[name] else -1, -1, -1):
                 if stack[i][0] == name:
                     if any(e[0] in _BLOCK for e in (stack[i:skip] if skip >= 0 else stack[i:])):
                         flush()
@@ -110,8 +168,8 @@ def blocks(page: str) -> list[Block]:
                 if name in ("p", "br") and skip < 0:
                     flush() if name == "p" else parts.append(" ")
             continue
-        if name in _RAW and not m[3].endswith("/"):
-            ending = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+        if name in _RAW and not attributes.endswith("/"):
+            ending = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at, max(at, tags.last + 1))
             at = ending.end() if ending else end
             continue
         if name == "br":
@@ -125,7 +183,7 @@ def blocks(page: str) -> list[Block]:
         if name in _BLOCK:
             if skip < 0:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1 if any(names[x] for x in ("p", *_CLOSES.get(name, ()))) else -1, -1, -1):
                 above = stack[i][0]
                 if above in _SCOPE:
                     break
@@ -136,17 +194,18 @@ def blocks(page: str) -> list[Block]:
                     break
                 if above in _BLOCK and above not in _INLINE_END or above in _CONTAINER and above != name:
                     break
-        if name in _VOID or m[3].endswith("/"):
+        if name in _VOID or attributes.endswith("/") or len(stack) >= DEPTH:
             continue
         number += 1
         weight = _PLACES.get(name, 0.0)
-        if m[3]:
-            weight += _attributes(name, m[3])
+        if attributes:
+            weight += _attributes(name, attributes)
         if name == "a":
             links += 1
         if skip < 0 and name in _EXCLUDED:
             skip = len(stack)
         stack.append((name, number, weight))
+        names[name] += 1
     flush()
     return out
 

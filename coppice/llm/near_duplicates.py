@@ -274,14 +274,15 @@ def one_of_each(docs: DataFrame, percent: int = 80, n_bands: int = 30, **options
     found = tx.settled(classes(docs, percent, n_bands=n_bands, **options))
     stays = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep")).select("rep.*")
     stays = stays.unionByName(found.where("root is null").select("doc_id", "text_hash").distinct())
-    stays = stays.select(F.col("doc_id").alias("__nd_id"), F.col("text_hash").alias("__nd_hash"))
-    marked = docs.withColumn("__nd_key", F.xxhash64("text"))
-    kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["__nd_id"]) & (F.col("__nd_key") == F.col("__nd_hash")), "left_semi")
+    key, rep, rep_hash = tx.free_names(docs, "text_key", "rep_id", "rep_hash")
+    stays = stays.select(F.col("doc_id").alias(rep), F.col("text_hash").alias(rep_hash))
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    kept = marked.join(stays, F.col("doc_id").eqNullSafe(F.col(rep)) & (F.col(key) == F.col(rep_hash)), "left_semi")
     if found.where("root is not null").groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
         # a row of documents stands there twice: one of its copies stays
         empty = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")) == 0
-        kept = kept.where(~empty).dropDuplicates(["doc_id", "__nd_key"]).unionByName(kept.where(empty))
-    return kept.drop("__nd_key")
+        kept = kept.where(~empty).dropDuplicates(["doc_id", key]).unionByName(kept.where(empty))
+    return kept.select(*docs.columns)
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:

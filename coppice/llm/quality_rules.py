@@ -1,12 +1,16 @@
 """Quality rules whose cutoffs carry a guarantee: risk-controlled thresholds.
 
-Every rule rejects texts whose statistic is not below a cutoff. For each stratum and rule the
-cutoffs of a fixed grid are tested from the most lenient on: a cutoff is certified while the
-exact (Clopper-Pearson) upper bound on the share of good labelled texts that it rejects stays
-within the rule's part of the allowed false rejection. Testing in this fixed order needs no
-correction over the grid; over strata and rules the error probability is divided (Bonferroni).
-Of the certified cutoffs, the one that separates labelled bad texts best is used; all of them
-hold at once, so choosing is free. A rule without certified cutoff is not used in that stratum.
+Every rule rejects texts whose statistic is not below a cutoff; a set of cutoffs, one for each
+rule, is one step of a stratum's path. One half of a stratum's labelled texts (by hash of the id)
+draws the path, from lenient to strict: at its middle, each rule's strictest cutoff that rejects
+no good text of this half; before it, the same cutoffs loosened by whole cells of the grid;
+after it, those that reject small shares of the good ones. The other half tests the steps in
+order: a step is certified while the exact (Clopper-Pearson) upper bound on the share of good
+texts that its rules reject together stays within the risk. Testing in a fixed order needs no
+correction over the steps. Over strata the error probability is divided and handed on (step-down): strata
+whose whole path is certified pass their part to the others. Of the certified steps, the one
+that separates the other half's bad texts best is used; all of them hold at once, so choosing is
+free. A stratum without certified step uses no rule: it keeps what the base rules keep.
 
 Nulls and empty texts have no words and fail the base rule. Repeated rows are rated one by
 one. A null stratum is a stratum of its own. Several labels of one document count as their
@@ -28,8 +32,12 @@ from . import textops as tx
 
 #: Statistics of a text; each rule rejects high values. Parts of: words' characters (1-3), words or lines.
 RULES = ("symbol_share", "bang_share", "capital_share", "dup_line_share", "repeat_share")
-#: From lenient to strict.
+#: Cutoffs of a rule, from lenient to strict.
 GRID = tuple(round(1.0 - i / 64, 6) for i in range(64))
+#: A path: cells of the grid by which cutoffs are loosened, then shares of the good texts that a rule may reject.
+MARGINS = (32, 24, 16, 12, 8, 6, 4, 3, 2, 1, 0)
+SHARES = (0.001, 0.0025, 0.005, 0.01, 0.02)
+_SEED = 11
 #: Strata with cutoffs up to which these are broadcast; beyond, both sides are shuffled.
 BROADCAST = 100_000
 
@@ -121,16 +129,36 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
 
 
 def certify(good: list[int], bad: list[int], n_good: int, n_bad: int, risk: float, error: float) -> int | None:
-    """Index of the cutoff to use: rejected good and bad labelled texts are given for each cutoff, lenient first."""
+    """Index of the step to use: rejected good and bad labelled texts are given for each step, lenient first."""
     best, gain = None, 0.0
     for i, (g, b) in enumerate(zip(good, bad, strict=True)):
         if not n_good or binomial_cdf(g, n_good, risk) > error:
-            break  # the upper bound passes the risk: so do all stricter cutoffs, untested
+            break  # the upper bound passes the risk: stricter steps are not tested
         if (now := (b / n_bad if n_bad else 0.0) - g / n_good) > gain + 1e-12:
             best, gain = i, now
     return best
 
 
+def path_of(cells: Iterable[tuple]) -> list[list[int | None]]:
+    """The steps, each by rule an index in GRID or null, from counts (rule, cell, good texts) of one half of a stratum. Empty without good texts."""
+    good = [[0] * 65 for _ in RULES]
+    for rule, cell, n in cells:
+        good[rule][cell] += n
+    if not (n_good := sum(good[0])):
+        return []
+    lost = [[sum(g[: i + 1]) for i in range(64)] for g in good]  # by cutoff: good texts rejected
+    strictest = lambda rule, most: max((i for i in range(64) if lost[rule][i] <= most), default=-1)
+    firm = [strictest(rule, 0) for rule in range(len(RULES))]
+    steps = [[i - m if i >= m else None for i in firm] for m in MARGINS]
+    steps += [[i if (i := strictest(rule, x * n_good)) >= 0 else None for rule in range(len(RULES))] for x in SHARES]
+    return [x for k, x in enumerate(steps) if any(i is not None for i in x) and (not k or x != steps[k - 1])]
+
+
+def hardest(good: list[int], n_good: int, risk: float) -> float:
+    """The error probability at which a whole path would be certified."""
+    return max((binomial_cdf(g, n_good, risk) if n_good else 1.0 for g in good), default=1.0)
+
+
 def thresholds(ruled: DataFrame, labels: DataFrame, risk: float = 0.03, error: float = 0.05, doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
     """One row (stratum, at) for every stratum with labels; at: by rule, the index in GRID of the cutoff that holds, or null.
 
@@ -139,29 +167,62 @@ def thresholds(ruled: DataFrame, labels: DataFrame, risk: float = 0.03, error: f
     strata with labels count in the correction. Its counts are one row of at most rules * 65 cells.
     """
     marks = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(quality).alias("good"))
-    held = ruled.where(~F.col("base_failed")).select("doc_id", "stratum", *RULES).join(marks, "doc_id")
-    held = held.select("stratum", "good", F.explode(F.array(*(F.struct(F.lit(i).alias("rule"), F.col(r).alias("value")) for i, r in enumerate(RULES)))).alias("x"))
-    step = F.greatest(F.lit(0), F.least(F.lit(64), F.ceil((1.0 - F.col("x.value")) * 64))).cast("int")  # cutoffs from here on reject it
-    cells = held.groupBy("stratum", F.col("x.rule").alias("rule"), step.alias("step")).agg(F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") != 1).cast("long")).alias("bad"))
-    counted = tx.settled(cells.groupBy("stratum").agg(*(F.collect_list(x).alias(x) for x in ("rule", "step", "good", "bad"))))
-    share = error / (max(1, counted.count()) * len(RULES))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cell = lambda rule: F.greatest(F.lit(0), F.least(F.lit(64), F.ceil((1.0 - F.col(rule)) * 64))).cast("int")  # noqa: E731  # cutoffs from here on reject it
+    held = ruled.where(~F.col("base_failed")).select("doc_id", "stratum", F.array(*map(cell, RULES)).alias("cells")).join(marks, "doc_id")
+    held = held.select("stratum", "cells", (F.col("good") == 1).alias("good"), (F.pmod(F.xxhash64("doc_id", F.lit(_SEED)), F.lit(2)) == 0).alias("draws"))
+    # one half draws the paths
+    counted = held.select("stratum", F.posexplode("cells").alias("rule", "cell"), (F.col("good") & F.col("draws")).cast("long").alias("n")).groupBy("stratum", "rule", "cell").agg(F.sum("n").alias("n"))
+    counted = counted.groupBy("stratum").agg(F.collect_list(F.struct("rule", "cell", "n")).alias("cells"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            paths = [path_of((x["rule"], x["cell"], x["n"]) for x in cells) for cells in part.column("cells").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("stratum"), pa.array(paths, pa.list_(pa.list_(pa.int32())))], names=["stratum", "path"])
+
+    paths = tx.settled(counted.mapInArrow(draw, "stratum string, path array<array<int>>"))
+    n_strata = paths.count()
+    # the other half tests them: the first step that rejects a text
+    few = paths.withColumnRenamed("stratum", "_stratum")
+    few = F.broadcast(few) if n_strata <= BROADCAST else few
+    passes = lambda step: ~F.exists(F.zip_with("cells", step, lambda c, i: c <= i), lambda x: F.coalesce(x, F.lit(False)))
+    tested = held.where(~F.col("draws")).join(few, F.col("stratum").eqNullSafe(F.col("_stratum")))
+    tested = tested.select("stratum", "good", F.size(F.filter("path", passes)).alias("step")).groupBy("stratum", "step").agg(F.count(F.when(F.col("good"), 1)).alias("good"), F.count(F.when(~F.col("good"), 1)).alias("bad"))
+    tested = tested.groupBy(F.col("stratum").alias("_stratum")).agg(F.collect_list(F.struct("step", "good", "bad")).alias("steps"))
+    both = paths.join(tested, F.col("stratum").eqNullSafe(F.col("_stratum")), "left").select("stratum", "path", "steps")
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            out = [_sums(len(path), steps or []) for path, steps in zip(part.column("path").to_pylist(), part.column("steps").to_pylist(), strict=True)]
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64())
+            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+            worst = pa.array([hardest(good, n, risk) for good, _, n, _ in out], pa.float64())
+            yield pa.RecordBatch.from_arrays([part.column("stratum"), part.column("path"), *columns, worst], names=["stratum", "path", "good", "bad", "n_good", "n_bad", "worst"])
+
+    rated = tx.settled(both.mapInArrow(rate, "stratum string, path array<array<int>>, good array<long>, bad array<long>, n_good long, n_bad long, worst double"))
+    done = 0
+    while done < n_strata and (now := rated.where(F.col("worst") <= error / (n_strata - done)).count()) > done:
+        done = now
+    share = error / max(1, n_strata - done)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            at = [choose(zip(r["rule"], r["step"], r["good"], r["bad"], strict=True), risk / len(RULES), share) for r in part.select(["rule", "step", "good", "bad"]).to_pylist()]
+            at = []
+            for r in part.to_pylist():
+                best = certify(r["good"], r["bad"], r["n_good"], r["n_bad"], risk, share)
+                at.append([None] * len(RULES) if best is None else r["path"][best])
             yield pa.RecordBatch.from_arrays([part.column("stratum"), pa.array(at, pa.list_(pa.int32()))], names=["stratum", "at"])
 
-    return tx.settled(counted.mapInArrow(run, "stratum string, at array<int>"))
+    return tx.settled(rated.mapInArrow(choose, "stratum string, at array<int>"))
 
 
-def choose(cells: Iterable[tuple], risk: float, error: float) -> list[int | None]:
-    """From a stratum's counts (rule, step, good, bad): by rule, the index of the cutoff used."""
-    good, bad = ([[0] * 65 for _ in RULES] for _ in range(2))
-    for rule, step, g, b in cells:
-        good[rule][step] += g
-        bad[rule][step] += b
-    total = lambda x: [sum(x[: i + 1]) for i in range(64)]
-    return [certify(total(g), total(b), sum(g), sum(b), risk, error) for g, b in zip(good, bad, strict=True)]
+def _sums(n: int, steps: list[dict]) -> tuple[list[int], list[int], int, int]:
+    """By step of a path of n: good and bad texts rejected; and how many there are. A text's step is the first that rejects it; n: none does."""
+    good, bad = [0] * (n + 1), [0] * (n + 1)
+    for x in steps:
+        good[x["step"]] += x["good"]
+        bad[x["step"]] += x["bad"]
+    total = lambda x: [sum(x[: i + 1]) for i in range(n)]
+    return total(good), total(bad), sum(good), sum(bad)
 
 
 def verdict(ruled: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -43,6 +43,12 @@ def shared_dir(spark) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def delete(spark, path: str) -> None:
+    """Removes a folder in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def free_names(df, *wanted: str) -> list[str]:
     """Column names that df doesn't have, whatever their case, one for each wanted."""
     taken, out = {c.lower() for c in df.columns}, []

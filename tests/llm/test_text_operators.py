@@ -1,6 +1,7 @@
 """Every operator against a plain computation, and over nulls, empty and very long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -117,6 +118,57 @@ def test_quality_rejects(spark):
     assert all(r.kept == (r.doc_id % 4 != 0 or r.doc_id % 2 == 1) for r in got)
 
 
+def test_quality_cutoffs_by_brute_force(spark):
+    """kept of every row against cutoffs recomputed from the labelled rows, with exact binomial sums."""
+    rng = random.Random(12)
+    data, marks = [], []
+    for i in range(3000):
+        lang, bad = rng.choice(["a", "a", "b", "b", "c", None]), rng.random() < 0.15
+        share = rng.random() * (0.9 if bad else 0.1)
+        data.append((i, " ".join(w.upper() if rng.random() < share else w + ("!" if bad and rng.random() < share else "") for w in (f"v{chr(97 + rng.randrange(26))}{rng.randrange(3000)}" for _ in range(rng.randint(45, 90)))), lang))
+        if lang != "c" or i % 40 == 0:
+            marks.append((i, int(bad == (rng.random() < 0.01))))
+    docs, labels = spark.createDataFrame(data, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    ruled = quality_rules.with_rules(quality_rules.measure(docs))
+    half = F.pmod(F.xxhash64("doc_id", F.lit(quality_rules._SEED)), F.lit(2)) == 0
+    got = {r.doc_id: r for r in quality_rules.risk_controlled(docs, labels).withColumn("draws", half).collect()}
+    good, risk, error = dict(marks), 0.03, 0.05
+    cutoffs = [1 - i / 64 for i in range(64)]
+    reject = lambda r, step: any(i is not None and r[rule] >= cutoffs[i] for rule, i in zip(quality_rules.RULES, step))
+    paths, tests = {}, {}
+    for lang in ("a", "b", "c", None):
+        mine = [r for r in got.values() if r.stratum == lang and r.doc_id in good and not r.base_failed]
+        first, second = ([r for r in mine if r.draws == x] for x in (True, False))
+        fine = [r for r in first if good[r.doc_id]]
+        lost = [[sum(r[rule] >= c for r in fine) for c in cutoffs] for rule in quality_rules.RULES]
+        strict = lambda rule, most, lost=lost: max((i for i in range(64) if lost[rule][i] <= most), default=-1)
+        steps = [[i - m if (i := strict(k, 0)) - m >= 0 else None for k in range(5)] for m in quality_rules.MARGINS]
+        steps += [[i if (i := strict(k, x * len(fine))) >= 0 else None for k in range(5)] for x in quality_rules.SHARES]
+        paths[lang] = steps if fine else []
+        ok = [r for r in second if good[r.doc_id]]
+        below = lambda k, n: sum(math.comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1))
+        p = [below(sum(reject(r, s) for r in ok), len(ok)) if ok else 1.0 for s in paths[lang]]
+        tests[lang] = (p, [sum(reject(r, s) for r in second if not good[r.doc_id]) for s in paths[lang]], [sum(reject(r, s) for r in ok) for s in paths[lang]], len(ok), sum(not good[r.doc_id] for r in second))
+    left = {lang: max(t[0], default=1.0) for lang, t in tests.items()}
+    share = error / 4
+    while left and (done := [x for x, p in left.items() if p <= share]):
+        for x in done:
+            del left[x]
+        share = error / max(1, len(left))
+    used = {}
+    for lang, (p, bad, lost, n_good, n_bad) in tests.items():
+        best, gain = None, 0.0
+        for k in range(len(p)):
+            if p[k] > share:
+                break
+            if (now := bad[k] / max(1, n_bad) - lost[k] / n_good) > gain + 1e-12:
+                best, gain = k, now
+        used[lang] = paths[lang][best] if best is not None else [None] * 5
+    assert any(i is not None for i in used["a"]) and any(i is not None for i in used["b"]) and used["c"] == [None] * 5
+    for r in got.values():
+        assert r.kept == (not r.base_failed and not reject(r, used[r.stratum])), (r, used)
+
+
 def test_quality_strata_stand_alone(spark, monkeypatch):
     rng = random.Random(6)
     plain = lambda: " ".join(f"v{rng.randrange(5000)}" for _ in range(60))
@@ -214,6 +266,39 @@ def test_importance(spark, docs, none):
     assert importance.resample(none, labels).count() == 0 and importance.resample(none, labels, k=5).count() == 0
 
 
+def test_importance_by_brute_force(spark):
+    """Weights, keys and selection recomputed plainly from the texts and labels."""
+    rng = random.Random(16)
+    data = [(i, prose(rng, rng.randint(0, 60)) if i % 4 else " | ".join(f"@@{rng.randrange(60)}" for _ in range(rng.randint(1, 30)))) for i in range(300)] + [(301, None), (302, "")]
+    marks = [(i, int(i % 4 > 0)) for i in range(0, 300, 3)]
+    df, labels = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    buckets, span = 512, 40
+    held = {r.i: r.h or not r.q for r in labels.select(F.col("doc_id").alias("i"), F.col("quality").alias("q"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0).alias("h")).collect()}
+
+    def grams(text):
+        found = [w.encode() for w in re.findall(r"[0-9a-z\x80-\U0010FFFF]+|[^0-9a-z\x80-\U0010FFFF\s]+", (text or "").translate(LOWER))]
+        hashes = [importance.xxhash.xxh64_intdigest(w, importance._SEED) for w in found]
+        pairs = [1 if a == b else int(textops.mix(np.array([(x * 3 + y) % 2**64], np.uint64))[0]) for a, b, x, y in zip(found, found[1:], hashes, hashes[1:])]
+        return [h % buckets for h in hashes + pairs]
+
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    for i, t in data:
+        np.add.at(raw, grams(t), 1)
+        if i in held and not held[i]:
+            np.add.at(target, grams(t), 1)
+    ratio = np.log((target + 10) / (raw * target.sum() / raw.sum() + 10))
+    got = importance.resample(df, labels, k=50, buckets=buckets, span=span)
+    noise = {r.doc_id: r.g for r in df.select("doc_id", importance.gumbel(F.xxhash64("doc_id", "text", F.lit(1))).alias("g")).collect()}
+    keys = {}
+    for i, t in data:
+        g = grams(t)
+        keys[i] = (len(g), sum(ratio[x] for x in g) * min(1, span / max(1, len(g))))
+    top = sorted(keys, key=lambda i: -(keys[i][1] + noise[i]))[:50]
+    for r in got.collect():
+        assert r.n_grams == keys[r.doc_id][0] and abs(r.log_weight - keys[r.doc_id][1]) < 1e-6 and abs(r.gumbel_key - keys[r.doc_id][1] - noise[r.doc_id]) < 1e-6
+        assert r.selected == (r.doc_id in top)
+
+
 def test_gumbel_top_k_samples_by_weight(spark):
     n = 20000
     df = spark.range(n).withColumn("w", F.when(F.col("id") % 2 == 0, F.log(F.lit(3.0))).otherwise(0.0))
@@ -260,7 +345,12 @@ def test_chat_layouts(spark):
         ('{"conversations":[{"from":"human","value":"x"},{"from":"gpt","value":"y"}],"system":"s"}', "conversations", "system:s|user:x|assistant:y"),
         ('{"rounds":[{"user":"u","assistant":"a"},{"user":"v","assistant":null}]}', "rounds", "user:u|assistant:a|user:v|assistant:"),
         ('{"question":"q","answer":"a","context":"c"}', "question_answer", "user:c\n\nq|assistant:a"),
-        ('{"prompt":"p","completion":"c","response":"r"}', None, ""),
+        ('{"prompt":"p","completion":"c","response":"r"}', "prompt_completion", "user:p|assistant:c"),
+        ('{"prompt":"hi","messages":[{"role":"user","content":"hi"},{"role":"assistant","content":"yo"}]}', "messages", "user:hi|assistant:yo"),
+        ('{"instruction":"a","output":"c","context":"b"}', "instruction", "user:a\n\nb|assistant:c"),
+        ('{"messages":[{"role":"user","content":[{"type":"text","text":"see"},{"type":"image","url":"u"},{"type":"text","text":"this"},"too"]},{"role":"model","content":["yes"]}]}', "messages", "user:see\nthis\ntoo|assistant:yes"),
+        ('{"messages":[{"role":"user","content":7},{"role":"assistant","content":null}]}', "messages", "user:7|assistant:"),
+        ('{"messages":"none","question":"q","answer":"a"}', "question_answer", "user:q|assistant:a"),
         ('{"messages":[]}', None, ""),
         ("[1]", None, ""),
         (None, None, ""),
@@ -268,6 +358,7 @@ def test_chat_layouts(spark):
     df = spark.createDataFrame([(i, x[0]) for i, x in enumerate(data)], "i int, j string").withColumn("record", F.try_parse_json("j"))
     for r in chat.format_records(df).withColumn("back", chat.unformat(F.col("formatted"))).collect():
         assert (r.layout, "|".join(f"{t.role}:{t.text}" for t in r.back)) == data[r.i][1:]
+    assert tuple(chat.unfitted(df).first()) == (len(data), sum(x[1] is None for x in data))
 
 
 # -- pages
@@ -301,6 +392,40 @@ def test_main_text_after_open_elements():
     assert [b.text for b in main_text.blocks("<ul><li>One<audio src=x>no sound<li>Two</ul><p>Three<canvas>drawn<p>Four")] == ["One", "Two", "Three", "Four"]
 
 
+def test_tags_in_linear_time():
+    """Tags as a regular expression finds them, over random markup; and pages that make it try again and again."""
+    tag = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)(?:(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
+    rng = random.Random(13)
+    bits = ["<p>", "</p>", "<a href='>'>", '"', "'", ">", "<", '<a "', "<!-- x -->", "<!", "<![CDATA[y]]>", " word ", "<b title=", "</B c>", "<!--", "/"]
+    for _ in range(4000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(1, 25)))
+        tags, at, got = main_text.Tags(page), 0, []
+        while found := tags.after(at):
+            got.append((found[0], found[1], found[2]))
+            at = found[1]
+        assert got == [(m.start(), m.end(), (m[1] or "").lower()) for m in tag.finditer(page)], page
+    for piece in ('<a "', '<a ">" ', "<a ", "</script ", "<!", "<a '>", "<div>x", "<b>"):
+        main_text.blocks("<script>" + piece * 60_000 + "</script>" + piece * 60_000)
+
+
+def blocks_kept(page):
+    """The main text with the least cost over all labellings, for a page of few blocks."""
+    found = main_text.blocks(page)
+    gain, links = [main_text.score(b) for b in found], main_text.edges(found, 0.8, 0.4)
+    cost = lambda side: sum(g for g, s in zip(gain, side) if g > 0 and not s) - sum(g for g, s in zip(gain, side) if g < 0 and s) + sum(w for a, b, w in links if side[a] != side[b])
+    best = min((tuple(bool(m >> i & 1) for i in range(len(found))) for m in range(1 << len(found))), key=cost)
+    return " ".join(b.text for b, s in zip(found, best) if s)
+
+
+def test_main_text_by_brute_force(spark):
+    """Whole results against all labellings, over random pages."""
+    rng = random.Random(14)
+    piece = lambda: rng.choice(["<p>%s</p>", "<div class=%s>%%s</div>" % rng.choice(["nav", "content", "promo", "x"]), "<li>%s", "<nav><a href=x>%s</a></nav>", "<h2>%s</h2>", "<footer>%s</footer>", "<article><p>%s</article>"]) % " ".join(rng.choice(["word", "and", "this,", "end.", "&amp;"]) for _ in range(rng.randint(1, 25)))
+    pages = [(i, f"u{i}", "".join(piece() for _ in range(rng.randint(0, 9)))) for i in range(150)]
+    got = {r.page_id: r.text for r in main_text.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: blocks_kept(page) for i, _, page in pages}
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(7)
     for _ in range(60):
@@ -394,6 +519,21 @@ def test_license_windows(spark):
     assert got[5].n_segments == 0 and got[4].n_segments == 2
 
 
+def test_license_guards(spark):
+    """No template can be matched by a text without a guard, and a scan that looks at all texts gives the same rows."""
+    known, least = licenses._for_windows(), licenses.MIN_DICE / (2 - licenses.MIN_DICE) - 1e-9
+    words = set(licenses.guards(known, least))
+    for name, grams, _ in known:
+        assert sum(not words & set(g.split(" ")) for g in grams) < len(grams) * least, name
+    rng = random.Random(15)
+    parts = [t.lower().split() for _, t in licenses.TEMPLATES + licenses.MORE] + [["plain", "words", "here"], ["CC", "BY", "4.0", "\n"]]
+    cut = lambda p: p[: rng.randint(1, len(p))]
+    data = [(i, " ".join(w for _ in range(rng.randint(1, 4)) for w in cut(rng.choice(parts)))) for i in range(400)] + [(500, None), (501, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got, every = (sorted(map(tuple, licenses.scan(df, guarded=x).collect()), key=str) for x in (True, False))
+    assert got == every and sum(r[2] > 0 for r in got) > 50
+
+
 # -- mixing
 
 
