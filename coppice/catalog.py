@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graphs, numeric
+from .plans import graphs, knowledge, numeric
 
-_ALL = {**numeric.QUERIES, **graphs.QUERIES}
+_ALL = {**numeric.QUERIES, **graphs.QUERIES, **knowledge.QUERIES}
 
 
 def queries() -> dict:

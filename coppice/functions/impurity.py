@@ -1,8 +1,7 @@
-"""Criteria as Column expressions over the two sides of a split, given as rows per class.
+"""Criteria as Column expressions.
 
-All functions aggregate: they are used in a groupBy over (candidate) with one row per class that
-holds the class's weight w and its counts left and right of the split, and the sums over classes
-(lw, rw: weighted; ln, rn: plain) as columns of the same row.
+entropy() and gini() aggregate: they are used in a groupBy with one row per class that holds the
+class's share p. share() gives such shares; pig(), semantic() and pig_semantic() turn a gain into a score.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Class hierarchies (child, parent): closure, depth, information content, similarity, search.
 
-Closures are recursive queries. A cycle is an error: it is looked for first, so that the message
-names it; the number of levels is bounded by `levels`.
+Closures are recursive queries. A walk that comes back to its start is an error that names the
+node, raised while the query runs, and so is one of more than `levels` steps: every operator
+here that follows the hierarchy does so through walks(). check_acyclic() tests without a closure.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 LEVELS = 60
 ROOT = "Thing"
 
@@ -24,7 +27,7 @@ def check_acyclic(h: DataFrame, levels: int = LEVELS) -> None:
     left = h.select("child", "parent").distinct()
     for _ in range(levels + 1):
         rest = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
-        rest = rest.checkpoint(eager=True) if rest.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else rest.cache()
+        rest = settled(rest)
         if rest.isEmpty():
             return
         left = rest
@@ -34,12 +37,16 @@ def check_acyclic(h: DataFrame, levels: int = LEVELS) -> None:
 def walks(h: DataFrame, levels: int = LEVELS, bound: int | None = None) -> DataFrame:
     """(node, ancestor, dist): every distance at which an ancestor is met, itself at 0; each once."""
     view = _view(h, "h")
-    stop = levels if bound is None else bound
+    stop = levels + 1 if bound is None else bound
     return h.sparkSession.sql(
         f"""WITH RECURSIVE w(node, ancestor, dist) MAX RECURSION LEVEL {levels + 2} AS (
               SELECT n, n, 0 FROM (SELECT child AS n FROM {view} UNION SELECT parent FROM {view})
               UNION ALL
-              SELECT DISTINCT w.node, x.parent, w.dist + 1 FROM w JOIN {view} x ON x.child = w.ancestor WHERE w.dist < {stop})
+              SELECT DISTINCT w.node,
+                CASE WHEN x.parent = w.node THEN raise_error(concat('the hierarchy has a cycle at ', w.node))
+                     WHEN w.dist >= {levels} THEN raise_error(concat('the hierarchy has more than {levels} levels above ', w.node))
+                     ELSE x.parent END, w.dist + 1
+              FROM w JOIN {view} x ON x.child = w.ancestor WHERE w.dist < {stop})
             SELECT DISTINCT node, ancestor, dist FROM w"""
     )
 
@@ -119,15 +126,24 @@ def unvisited(edges: DataFrame, at: DataFrame, visited: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, start: DataFrame, bound: int) -> DataFrame:
-    """(start, node, dist): breadth-first, undirected, at most `bound` steps."""
-    both, seen = neighbours(edges), start.toDF("start").withColumns({"node": F.col("start"), "dist": F.lit(0)})
+    """(start, node, dist): breadth-first, undirected, at most `bound` steps. Each front is settled before the next."""
+    both, seen = settled(neighbours(edges)), start.toDF("start").withColumns({"node": F.col("start"), "dist": F.lit(0)})
     front = seen
     for k in range(1, bound + 1):
         front = front.select("start", "node").join(both, "node").select("start", F.col("neighbour").alias("node"), F.lit(k).alias("dist")).distinct().join(seen, ["start", "node"], "left_anti")
+        front = settled(front)
         seen = seen.unionByName(front)
     return seen
 
 
+def zone_entropy(zones: DataFrame) -> DataFrame:
+    """(entropy): of the sizes of zones (zone, node), in bits; 0 without nodes."""
+    size = zones.where("node is not null").groupBy("zone").agg(F.countDistinct("node").alias("n"))
+    total = size.agg(F.sum("n").alias("total"))  # one row
+    p = F.col("n") / F.col("total")
+    return size.crossJoin(F.broadcast(total)).agg(F.coalesce(F.sum(-p * F.log2(p)), F.lit(0.0)).alias("entropy"))
+
+
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges between the nodes given."""
     return edges.join(nodes.toDF("src"), "src", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi")

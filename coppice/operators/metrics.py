@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 
 def _ratio(a, b) -> F.Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -28,10 +30,11 @@ def confusion(df: DataFrame, by: tuple[str, ...] = (), label: str = "label", pre
 
 
 def by_score(df: DataFrame, label: str = "label", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
-    """Per distinct score, highest first: positives and negatives there (p, n), from there up (tp, fp), and in all (all_p, all_n). Scores are counted before they are ordered."""
+    """Per distinct score, highest first: positives and negatives there (p, n), from there up (tp, fp), and in all (all_p, all_n). Scores are counted before they are ordered, range by range; rows without a score are left out."""
     counted = df.where(F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("n"))
-    every, down = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(F.desc("score"))
-    return counted.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "all_p": F.sum("p").over(every), "all_n": F.sum("n").over(every)})
+    counted = counted.where("score is not null").withColumn("_down", -F.col("score").cast("double"))
+    summed = running_sums(counted, by, "_down", ("p", "n")).withColumnsRenamed({"upto_p": "tp", "upto_n": "fp", "total_p": "all_p", "total_n": "all_n"})
+    return summed.drop("_down", "next")
 
 
 def roc_auc(df: DataFrame, by: tuple[str, ...] = (), **columns) -> DataFrame:

@@ -10,9 +10,15 @@ from ..sources.tables import hashed
 
 def stratified_split(df: DataFrame, key: str, strata: str, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds is_test: of each stratum max(1, floor(n * test)) rows, those of lowest hash."""
+    marked = df.withColumn("_hash", hashed(F.col(key), F.lit(seed))).withColumn("_cell", F.shiftright("_hash", 16))
+    cells = marked.groupBy(strata, "_cell").agg(F.count("*").alias("_n"))  # at most 65,536 a stratum
     per = Window.partitionBy(strata)
-    rank = F.row_number().over(per.orderBy(hashed(F.col(key), F.lit(seed)), key))
-    return df.withColumn("is_test", rank <= F.greatest(F.lit(1), F.floor(F.count("*").over(per) * test)))
+    upto = F.sum("_n").over(per.orderBy("_cell"))
+    wanted = F.greatest(F.lit(1), F.floor(F.sum("_n").over(per) * test))
+    cells = cells.select(F.col(strata).alias("_stratum"), F.col("_cell").alias("_at"), (wanted - (upto - F.col("_n"))).alias("_left"))
+    place = F.row_number().over(Window.partitionBy(strata, "_cell").orderBy("_hash", key))  # a cell is a small part of a stratum
+    joined = marked.withColumn("_place", place).join(cells, F.col(strata).eqNullSafe(F.col("_stratum")) & (F.col("_cell") == F.col("_at")))
+    return joined.withColumn("is_test", F.col("_place") <= F.col("_left")).select(*df.columns, "is_test")
 
 
 def random_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:

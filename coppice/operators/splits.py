@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.impurity import EPSILON, entropy, gini, share
+from ..sources.shared import settled
+from .running import running_sums
 
 #: Thresholds of a feature, unless another number is asked for.
 MOST = 64
@@ -51,8 +53,7 @@ def bucket_of(grid: str, value: str, most: int) -> tuple[F.Column, F.Column]:
 def ranked_cells(long: DataFrame, by: tuple[str, ...], weight: str | None) -> DataFrame:
     """by, value, n, last (rows up to the value), next (the value after it) and total of a group's distinct values."""
     cells = long.groupBy(*by, "value").agg(_n(weight))  # equal values meet before they are sorted
-    every, upto = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("value")
-    return cells.withColumns({"last": F.sum("n").over(upto), "next": F.lead("value").over(upto)}).withColumn("total", F.sum("n").over(every))
+    return running_sums(cells, by, "value", ("n",)).withColumnsRenamed({"upto_n": "last", "total_n": "total"})
 
 
 def packed_grid(grid: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -64,9 +65,8 @@ def packed_grid(grid: DataFrame, by: tuple[str, ...]) -> DataFrame:
 def threshold_grid(long: DataFrame, size: int | None = None, by: tuple[str, ...] = ("feature",), approximate: bool = False, weight: str | None = None) -> DataFrame:
     """by, j (0-based) and threshold: distinct quantiles; a row counts weight times.
 
-    The exact ones are interpolated between neighbours in the order of a group's distinct values, which one
-    task sorts (it can spill): for a feature with very many distinct values, use approximate, which merges
-    sketches of bounded size.
+    The exact ones are interpolated between neighbours in the order of a group's distinct values, which are
+    sorted range by range; approximate merges sketches of bounded size instead. It takes no weights.
     """
     if size is None:
         size = grid_size(long.groupBy(*by).agg(_n(weight)).agg(F.max("n")).first()[0] or 0)
@@ -112,8 +112,8 @@ def side_counts(long: DataFrame, grid: DataFrame, by: tuple[str, ...] = ("featur
     return grid.join(summed, list(by)).select(*by, "j", "threshold", "label", "n", left.alias("left"))
 
 
-def gains(sides: DataFrame, criterion: str = "entropy", weighted: bool = True, by: tuple[str, ...] = ("feature",)) -> DataFrame:
-    """by, j, threshold, n_left, n_right and gain of each candidate."""
+def gains(sides: DataFrame, criterion: str = "entropy", weighted: bool | str = True, by: tuple[str, ...] = ("feature",)) -> DataFrame:
+    """by, j, threshold, n_left, n_right and gain of each candidate. weighted: "mixed" weighs the classes inside each side, but the sides by their rows."""
     per = Window.partitionBy(*by, "j")
     classes = F.count("*").over(per)
     total = F.sum("n").over(per)
@@ -131,7 +131,8 @@ def gains(sides: DataFrame, criterion: str = "entropy", weighted: bool = True, b
         out = grouped.agg(*parts, (chi / (F.max("nn") * F.greatest(F.max("k") - 1, F.lit(1)) + EPSILON)).alias("gain"))
     else:
         left, right, both = (measure(share(F.col(x), F.col(y))) for x, y in (("l", "tl"), ("r", "tr"), ("a", "ta")))
-        gain = both - F.max("tl") / F.max("ta") * left - F.max("tr") / F.max("ta") * right
+        part_l, part_r = (F.max("nl") / F.max("nn"), 1 - F.max("nl") / F.max("nn")) if weighted == "mixed" else (F.max("tl") / F.max("ta"), F.max("tr") / F.max("ta"))
+        gain = both - part_l * left - part_r * right
         out = grouped.agg(*parts, gain.alias("gain"))
         if criterion == "gain_ratio":
             p = F.col("n_left") / F.col("nn")
@@ -148,22 +149,26 @@ def best(candidates: DataFrame, by: tuple[str, ...] = ("feature",)) -> DataFrame
     return top.withColumn("gain", F.greatest(g, F.lit(0.0)))
 
 
-def best_splits(long: DataFrame, criterion: str = "entropy", weighted: bool = True, by: tuple[str, ...] = ("feature",), size: int | None = None, weight: str | None = None) -> DataFrame:
+def best_splits(long: DataFrame, criterion: str = "entropy", weighted: bool | str = True, by: tuple[str, ...] = ("feature",), size: int | None = None, weight: str | None = None, approximate: bool = False) -> DataFrame:
     """One row per feature: threshold, n_left, n_right, gain. A row counts weight times."""
-    grid = threshold_grid(long, size, by, weight=weight).cache()  # at most `size` rows per group, used twice
+    grid = settled(threshold_grid(long, size, by, approximate, weight))  # at most `size` rows per group, used twice
     return best(gains(side_counts(long, grid, by, weight, size or MOST), criterion, weighted, by), by)
 
 
-def best_variance_splits(long: DataFrame, size: int | None = None, by: tuple[str, ...] = ("feature",)) -> DataFrame:
-    """The same for a numeric label: reduction of the population variance."""
-    grid = threshold_grid(long, size, by).cache()  # at most 64 rows per group, used twice
+def best_variance_splits(long: DataFrame, size: int | None = None, by: tuple[str, ...] = ("feature",), digits: int = 9) -> DataFrame:
+    """The same for a numeric label: reduction of the population variance. Gains that agree to so many decimals are ties.
+
+    Labels are shifted by their mean before they are squared.
+    """
+    grid = settled(threshold_grid(long, size, by))  # at most 64 rows per group, used twice
+    centre = long.agg(F.avg("label")).first()[0] or 0.0
     packed = packed_grid(grid, by)
     block, bucket = bucket_of("grid", "value", size or MOST)
-    y = F.col("label").cast("decimal(18,2)")
-    counted = long.join(packed, list(by)).withColumn("_block", block).groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum((y * y).cast("decimal(38,4)")).alias("q"))
+    y = F.col("label").cast("double") - F.lit(float(centre))
+    counted = long.join(packed, list(by)).withColumn("_block", block).groupBy(*by, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
     summed = counted.groupBy(*by).agg(F.collect_list(F.struct("bucket", "n", "s", "q")).alias("buckets"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("double").alias("s"), F.lit(0).cast("double").alias("q"))
-    # exact sums per bucket; the few buckets are added as doubles, in order
+    # the few buckets are added in order
     ordered = F.array_sort("buckets")
 
     def upto(inside):
@@ -173,4 +178,30 @@ def best_variance_splits(long: DataFrame, size: int | None = None, by: tuple[str
     var = lambda m: F.col(m)["q"] / F.col(m)["n"] - (F.col(m)["s"] / F.col(m)["n"]) * (F.col(m)["s"] / F.col(m)["n"])
     gain = var("t") - (F.col("l.n") * var("l") + F.col("r.n") * var("r")) / F.col("t.n")
     ok = (F.col("l.n") > 0) & (F.col("r.n") > 0)
-    return best(rows.select(*by, "j", "threshold", F.col("l.n").alias("n_left"), F.col("r.n").alias("n_right"), F.round(F.when(ok, gain).otherwise(0.0), 2).alias("gain")), by)
+    return best(rows.select(*by, "j", "threshold", F.col("l.n").alias("n_left"), F.col("r.n").alias("n_right"), F.round(F.when(ok, gain).otherwise(0.0), digits).alias("gain")), by)
+
+
+def class_shares(counts: DataFrame, by: list[str], weights: DataFrame | None = None, label: str = "label") -> DataFrame:
+    """by, majority and purity from rows (by, label, n): the label of most (weighted) rows, the least on ties, and its share. weights: (label, weight); a label without one weighs 1."""
+    rows = counts.withColumn("_w", F.col("n").cast("double")) if weights is None else counts.join(weights.select(label, "weight"), label, "left").withColumn("_w", F.col("n") * F.coalesce("weight", F.lit(1.0)))
+    top = F.min(F.struct((-F.round("_w", 9)).alias("minus"), F.col(label).alias("label"))).alias("_x")
+    return rows.groupBy(*by).agg(top, F.max("_w").alias("_m"), F.sum("_w").alias("_s")).select(*by, F.col("_x.label").alias("majority"), F.coalesce(F.try_divide(F.col("_m"), F.col("_s")), F.lit(0.0)).alias("purity"))
+
+
+def imbalance(df: DataFrame, targets: list[str], positive: int = 1) -> DataFrame:
+    """(target, n, positive_percent) over the rows with a label of each target."""
+    long = df.select(*(F.col(t).cast("double").alias(t) for t in targets)).unpivot([], targets, "target", "label").where(F.col("label").isNotNull() & ~F.isnan("label"))
+    return long.groupBy("target").agg(F.count("*").alias("n"), (100.0 * F.avg((F.col("label") == positive).cast("double"))).alias("positive_percent"))
+
+
+def node_conditions(df: DataFrame, nodes: DataFrame, strategy: str = "median") -> DataFrame:
+    """(node, feature, operator, threshold) for nodes (node, feature; null for nodes that stand for none): the feature's median or mean. Features without values have no condition."""
+    names = [r["feature"] for r in nodes.where("feature is not null").select("feature").distinct().collect() if r["feature"] in df.columns]  # at most the table's width
+    if strategy not in ("median", "quartile", "mean"):
+        raise ValueError(f"unknown strategy: {strategy}")
+    of = F.avg if strategy == "mean" else F.median  # the quartile asked for is the second
+    x = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    at = df.agg(*(of(x(c)).alias(c) for c in names)).unpivot([], names, "feature", "threshold") if names else None
+    if at is None:
+        return nodes.where("false").select("node", "feature", F.lit("<=").alias("operator"), F.lit(0.0).alias("threshold"))
+    return nodes.join(at.where("threshold is not null"), "feature").select("node", "feature", F.lit("<=").alias("operator"), "threshold")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
 from . import splits
 
 
@@ -26,7 +27,7 @@ def fit_trees(df: DataFrame, features: list[str], label: str, tree: str, trees:
     forest: list[dict[int, dict]] = [{} for _ in range(trees)]
     span = 2 ** (depth + 1)  # a node's number among all trees is tree * span + id
     now = df.select(*dict.fromkeys([*features, label, tree, *([weight] if weight else [])])).where(F.col(label).isNotNull())
-    now = (now.where(F.col(weight) > 0) if weight else now).cache()  # each level scans it three times
+    now = settled(now.where(F.col(weight) > 0) if weight else now)  # each level scans it three times
     for level in range(depth + 1):
         low, high = 2**level - 1, 2 ** (level + 1) - 1
         node = F.lit(None).cast("int")
@@ -42,7 +43,6 @@ def fit_trees(df: DataFrame, features: list[str], label: str, tree: str, trees:
         for r in level_splits(at.where(F.col("node").isin(open_)), features, label, criterion=criterion, min_gain=min_gain, min_leaf=min_leaf, size=size, weight=weight).collect():
             t, i = divmod(r["node"], span)
             forest[t][i] |= {"feature": r["feature"], "threshold": r["threshold"], "gain": r["gain"]}
-    now.unpersist()
     return [[nodes[i] for i in sorted(nodes)] for nodes in forest]
 
 
@@ -86,13 +86,63 @@ def rules_of(tree: list[dict], tree_id: int = 0) -> list[tuple]:
     return out
 
 
-def fit_forest(df: DataFrame, key: str, features: list[str], label: str, trees: int = 3, depth: int = 2, seed: int = 42) -> list[list[dict]]:
-    """Bagged trees; each one's multiplicities come from the hash of (key, tree, seed)."""
+def binned(df: DataFrame, features: list[str], keep: list[str], size: int) -> tuple[DataFrame, dict[str, list[float]]]:
+    """keep and, for each feature, the number of its thresholds below the value (null for no value), written out once; and the thresholds, quantiles over all rows."""
+    grid: dict[str, list[float]] = {f: [] for f in features}
+    for r in splits.threshold_grid(splits.unpivot(df.withColumn("_y", F.lit(0)), features, "_y"), size).orderBy("feature", "j").collect():  # features * size rows
+        grid[r["feature"]].append(r["threshold"])
+
+    def bin_of(f):
+        x = F.col(f).cast("double")
+        return F.when(x.isNotNull() & ~F.isnan(x), sum(((x > t).cast("int") for t in grid[f]), F.lit(0))).cast("short").alias(f)
+
+    return settled(df.select(*keep, *(bin_of(f) for f in features))), grid
+
+
+def fit_forest(df: DataFrame, key: str, features: list[str], label: str, trees: int = 3, depth: int = 2, seed: int = 42, size: int = 32, criterion: str = "entropy", min_gain: float = 1e-9) -> list[list[dict]]:
+    """Bagged trees; each one's multiplicities come from the hash of (key, tree, seed).
+
+    Features are cut once at the quantiles of all rows. A level is one aggregation of the bins over the
+    open nodes of all trees: a row stands once, with its multiplicities in a list, and meets each tree in memory.
+    """
     from .sampling import multiplicity
 
-    bag = df.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    bag = bag.withColumn("_times", multiplicity(F.col(key), F.col("_tree"), seed))
-    return fit_trees(bag, features, label, "_tree", trees, depth, weight="_times")
+    times = F.array(*(multiplicity(F.col(key), F.lit(t), seed).cast("int") for t in range(trees))).alias("_times")
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_label"), times, *features)
+    rows, grid = binned(rows, features, ["_label", "_times"], size)
+    table = df.sparkSession.createDataFrame([(f, j, t) for f in features for j, t in enumerate(grid[f])], "feature string, j int, threshold double")
+    forest: list[dict[int, dict]] = [{} for _ in range(trees)]
+    cuts = {f: {t: j for j, t in enumerate(ts)} for f, ts in grid.items()}
+    span = 2 ** (depth + 1)
+    for level in range(depth + 1):
+        low, high = 2**level - 1, 2 ** (level + 1) - 1
+        at = [F.struct((t * span + _bin_node(nodes, cuts)).alias("node"), _bin_node(nodes, cuts).alias("id"), F.col("_times")[t].alias("n")) for t, nodes in enumerate(forest)]
+        meets = F.filter(F.array(*at), lambda x: (x["n"] > 0) & (x["id"] >= low) & (x["id"] < high))
+        open_rows = rows.select("_label", *features, F.inline(meets))
+        bins = F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("int").alias("bucket")) for f in features), F.struct(F.lit(None).cast("string").alias("feature"), F.lit(0).alias("bucket"))))
+        counted = settled(open_rows.select("_label", "node", "n", bins).where("bucket is not null").groupBy("node", "feature", F.col("_label").alias("label"), "bucket").agg(F.sum("n").cast("long").alias("n")))
+        for r in counted.where("feature is null").collect():  # trees * 2^depth rows a label
+            t, i = divmod(r["node"], span)
+            forest[t].setdefault(i, {"id": i, "feature": None, "threshold": None, "counts": {}})["counts"][r["label"]] = r["n"]
+        if level == depth or not any(low <= i < high and len(x["counts"]) > 1 for nodes in forest for i, x in nodes.items()):
+            break
+        summed = counted.where("feature is not null").groupBy("node", "feature", "label").agg(F.sum("n").alias("n"), F.collect_list(F.struct("bucket", "n")).alias("buckets"))
+        left = F.aggregate("buckets", F.lit(0).cast("long"), lambda s, b: s + F.when(b["bucket"] <= F.col("j"), b["n"]).otherwise(0))
+        sides = summed.join(F.broadcast(table), "feature").select("node", "feature", "j", "threshold", "label", "n", left.alias("left"))
+        per = splits.best(splits.gains(sides, criterion, by=("node", "feature")), ("node", "feature"))
+        order = Window.partitionBy("node").orderBy(F.desc("gain"), "feature")
+        for r in per.where(F.col("gain") > min_gain).withColumn("_n", F.row_number().over(order)).where("_n = 1").collect():
+            t, i = divmod(r["node"], span)
+            forest[t][i] |= {"feature": r["feature"], "threshold": r["threshold"], "gain": r["gain"]}
+    return [[nodes[i] for i in sorted(nodes)] for nodes in forest]
+
+
+def _bin_node(nodes: dict[int, dict], cuts: dict, i: int = 0) -> F.Column:
+    """node_of() over bins: a value is at most the j-th threshold if no more than j are below it."""
+    x = nodes.get(i)
+    if not x or x["feature"] is None:
+        return F.lit(i)
+    return F.when(F.col(x["feature"]) <= cuts[x["feature"]][x["threshold"]], _bin_node(nodes, cuts, 2 * i + 1)).otherwise(_bin_node(nodes, cuts, 2 * i + 2))
 
 
 def forest_predict(df: DataFrame, forest: list[list[dict]]) -> DataFrame:

@@ -307,6 +307,14 @@ c AS (SELECT l_linestatus, score, sum(label) AS p, count(*) - sum(label) AS n FR
 auc AS (SELECT l_linestatus, sum(n * (tp - p) + n * p / 2) / (max(ap) * max(an)) AS roc_auc FROM u GROUP BY l_linestatus)
 SELECT round(avg(f1), 9) AS mean_f1, round(avg(balanced_accuracy), 9) AS mean_balanced_accuracy, round(avg(roc_auc), 9) AS mean_auc, round(avg(0.6::DOUBLE * f1 + 0.3::DOUBLE * balanced_accuracy + 0.1::DOUBLE * roc_auc), 9) AS composite FROM o JOIN auc USING (l_linestatus)"""
 
+_Q57 = f"""WITH f(feature) AS (VALUES ('p_size'), ('p_retailprice'), ('promo anodized'), ('economy'), ('zz'), ('Part')), s(synonym, canonical) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in SYNONYMS)}),
+named AS (SELECT feature, coalesce(canonical, feature) AS name, canonical IS NOT NULL AS known FROM f LEFT JOIN s ON lower(feature) = lower(synonym)),
+n AS (SELECT DISTINCT lower(p_type) AS node FROM part),
+x AS (SELECT *, {_fuzzy_sql('name', 'node')} AS ratio FROM named, n),
+y AS (SELECT *, CASE WHEN lower(name) = lower(node) AND known THEN 1 WHEN lower(name) = lower(node) THEN 2 WHEN length(node) >= 3 AND (contains(lower(name), lower(node)) OR contains(lower(node), lower(name))) THEN 3 WHEN ratio >= 60 THEN 4 END AS stage FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY stage, ratio DESC, node) AS pos FROM y WHERE stage IS NOT NULL)
+SELECT feature, coalesce(node, 'Thing') AS node, coalesce(stage, 5) AS stage FROM f LEFT JOIN (SELECT * FROM z WHERE pos = 1) USING (feature)"""
+
 QUERIES = {
     "q30_inheritance_order": (q30, "SELECT * FROM (VALUES " + "(1, 0, 'N:0', 'R:0'), (2, 0, 'N:1', 'Thing')" + ") t(rule_id, position, node, next) WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 0 AND n_regionkey = 0) OR rule_id = 2"),
     "q31_closure": (lambda s, d: hierarchy.closure(parts(s, d)), f"{_CP} SELECT node, ancestor, dist, longest FROM c"),
@@ -333,7 +341,7 @@ QUERIES = {
     "q54_transition_prob": (q54, f"WITH {_EDGES}, w AS (SELECT src, dst, tau * pow((1.0 + length(dst) / 2) * CASE WHEN dst = 'R:2' THEN 0.5 ELSE 1.0 END, 2) AS w FROM e) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 9) AS probability FROM w"),
     "q55_jump_penalty": (q55, f"{_C}, p(src, dst) AS (VALUES ('Thing', 'C:1'), ('Thing', 'N:3'), ('R:0', 'N:0'), ('N:1', 'R:1'), ('Thing', 'Thing'), ('R:1', 'C:7'), ('x', 'y')) SELECT p.src, p.dst, round(CASE WHEN dist >= 2 THEN pow(0.8::DOUBLE, 1.5::DOUBLE * (dist - 1)) ELSE 1.0::DOUBLE END, 9) AS penalty FROM p LEFT JOIN c ON c.ancestor = p.src AND c.node = p.dst"),
     "q56_interpret": (q56, f"WITH {_EDGES}, s(path_id, src, dst, fitness) AS (VALUES " + ", ".join(f"({p[0]}, '{a}', '{b}', {p[2]}::DOUBLE)" for p in PATHS for a, b in zip(p[1], p[1][1:])) + ") SELECT path_id, round(max(fitness), 9) AS fitness, round(avg(coalesce(tau, 0.0)), 9) AS mean_pheromone, round(max(coalesce(tau, 0.0)), 9) AS max_pheromone FROM s LEFT JOIN e USING (src, dst) GROUP BY path_id ORDER BY 3 DESC, 2 DESC, 1 LIMIT 3"),
-    "q57_feature_bridge": (q57, None),
+    "q57_feature_bridge": (q57, _Q57),
     "q58_fuzzy_ratio": (q58, _Q58),
     "q59_gates_zone": (q59, f"WITH RECURSIVE {_TAX}, b AS (SELECT child AS x, parent AS y FROM h UNION SELECT parent, child FROM h), z(start, node, dist) AS (SELECT n, n, 0 FROM (VALUES ('R:0'), ('Thing')) v(n) UNION SELECT start, y, dist + 1 FROM z JOIN b ON b.x = z.node WHERE dist < 2), m AS (SELECT start, node, min(dist) AS dist FROM z GROUP BY ALL) SELECT start, CAST(dist AS BIGINT) AS dist, count(*) AS n, round(max(1 + 0.5 * ln(1 + dist)), 9) AS bonus FROM m GROUP BY start, dist"),
     "q60_bfs": (q60, f"WITH RECURSIVE {_TAX}, b AS (SELECT child AS x, parent AS y FROM h UNION SELECT parent, child FROM h), z(node, dist) AS (SELECT 'N:0', 0 UNION SELECT y, dist + 1 FROM z JOIN b ON b.x = z.node WHERE dist < 2) SELECT child AS src, parent AS dst FROM h WHERE child IN (SELECT node FROM z) AND parent IN (SELECT node FROM z)"),

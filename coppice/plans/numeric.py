@@ -98,7 +98,7 @@ gains AS (SELECT feature, j, threshold, nl AS n_left, n - nl AS n_right, round(C
 
 def q09(spark, d):
     df = lines(spark, d).withColumn("y", F.round("l_extendedprice"))
-    return _rounded(splits.best_variance_splits(splits.unpivot(df, ["l_quantity", "l_discount", "l_tax"], "y"), 64))
+    return _rounded(splits.best_variance_splits(splits.unpivot(df, ["l_quantity", "l_discount", "l_tax"], "y"), 64, digits=2))
 
 
 def q10(spark, d):

@@ -37,7 +37,7 @@ def binary_labels(df: DataFrame, column: str) -> DataFrame:
 
 
 #: Suffix -> how to read it.
-FORMATS = {"owl": "xml", "rdf": "xml", "xrdf": "xml", "xml": "xml", "nt": "nt", "ntriples": "nt", "json": "json", "parquet": "parquet", "csv": "csv"}
+FORMATS = {"owl": "xml", "rdf": "xml", "xrdf": "xml", "xml": "xml", "ttl": "turtle", "nt": "nt", "ntriples": "nt", "n3": "n3", "jsonld": "json-ld", "json": "json", "parquet": "parquet", "csv": "csv"}
 
 #: The predicates that make edges between classes.
 _PREDICATES = {
@@ -59,19 +59,37 @@ def guess_format(path: str) -> str:
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o, literal) of an N-Triples file, or of the classes of an RDF/XML file."""
-    if guess_format(path) == "nt":
+    """(s, p, o, literal) of an N-Triples file, of the classes and object properties of an RDF/XML file, or of a table in these columns (Parquet, JSON, CSV).
+
+    Turtle and N3 files are read as far as they are N-Triples, which is a part of both: a line that isn't is an error, and so is JSON-LD.
+    """
+    kind = guess_format(path)
+    if kind in ("parquet", "json", "csv"):
+        schema = "s string, p string, o string, literal boolean"
+        return spark.read.parquet(path).select("s", "p", "o", "literal") if kind == "parquet" else spark.read.json(path, schema=schema, mode="FAILFAST") if kind == "json" else read_csv(spark, path, schema)
+    if kind == "json-ld":
+        raise ValueError(f"JSON-LD isn't read; convert {path} to N-Triples")
+    if kind in ("nt", "turtle", "n3"):
         line = F.col("value")
         part = lambda i: F.regexp_extract(line, r'^\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"\S*|(_:\S+))\s*\.\s*$', i)
         either = lambda *i: F.coalesce(*(F.nullif(part(k), F.lit("")) for k in i))
-        rows = spark.read.text(path).select(either(1, 2).alias("s"), part(3).alias("p"), either(4, 6, 5).alias("o"), (part(5) != "").alias("literal"))
+        said = F.trim("value")
+        strict = F.lit(kind != "nt") & (said != "") & ~F.startswith(said, F.lit("#")) & (part(3) == "")
+        rows = spark.read.text(path).where(~F.when(strict, F.raise_error(F.concat(F.lit("not a triple on a line of its own: "), said)).cast("boolean")).otherwise(False)).select(either(1, 2).alias("s"), part(3).alias("p"), either(4, 6, 5).alias("o"), (part(5) != "").alias("literal"))
         return rows.where(F.col("p") != "")
-    schema = "`_rdf:about` string, `rdfs:label` array<struct<_VALUE: string>>, `rdfs:subClassOf` array<struct<`_rdf:resource`: string>>"
-    rows = spark.read.format("xml").option("rowTag", "owl:Class").schema(schema).load(path).where("`_rdf:about` is not null")
-    s = F.col("`_rdf:about`").alias("s")
-    up = rows.select(s, F.explode("`rdfs:subClassOf`").alias("x")).select("s", F.lit("http://www.w3.org/2000/01/rdf-schema#subClassOf").alias("p"), F.col("x.`_rdf:resource`").alias("o"), F.lit(False).alias("literal")).where("o is not null")
-    named = rows.select(s, F.explode("`rdfs:label`").alias("x")).select("s", F.lit(_LABEL).alias("p"), F.col("x._VALUE").alias("o"), F.lit(True).alias("literal")).where("o is not null")
-    return up.unionByName(named)
+    out = None
+    short = {uri: ("owl:" if "/owl#" in uri else "rdfs:") + name for uri, name in _PREDICATES.items()}
+    for tag, links in (("owl:Class", ("subClassOf", "equivalentClass", "disjointWith")), ("owl:ObjectProperty", ("domain", "range"))):
+        wanted = [(uri, short[uri]) for uri, name in _PREDICATES.items() if name in links]
+        schema = "`_rdf:about` string, `rdfs:label` array<struct<_VALUE: string>>, " + ", ".join(f"`{x}` array<struct<`_rdf:resource`: string>>" for _, x in wanted)
+        rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path).where("`_rdf:about` is not null")
+        s = F.col("`_rdf:about`").alias("s")
+        parts = [rows.select(s, F.explode(f"`{x}`").alias("x")).select("s", F.lit(uri).alias("p"), F.col("x.`_rdf:resource`").alias("o"), F.lit(False).alias("literal")) for uri, x in wanted]
+        parts.append(rows.select(s, F.explode("`rdfs:label`").alias("x")).select("s", F.lit(_LABEL).alias("p"), F.col("x._VALUE").alias("o"), F.lit(True).alias("literal")))
+        for one in parts:
+            one = one.where("o is not null")
+            out = one if out is None else out.unionByName(one)
+    return out
 
 
 def short_label(uri) -> F.Column:

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from coppice.functions import smiles, text
-from coppice.operators import colony, hierarchy, metrics, refinements, rules, sampling, splits, trees
-from coppice.sources import sinks, tables
+from coppice.operators import candidates, colony, colony_forest, hierarchy, metrics, refinements, rules, running, sampling, splits, trees
+from coppice.sources import ontology, sinks, tables
 from coppice.streaming import scoring
 
 
@@ -29,6 +29,41 @@ def test_gain_by_hand(spark):
     assert (r.n_left, r.n_right, r.gain) == (2, 2, 0.25)
 
 
+def test_variance_of_small_labels(spark):
+    rng = random.Random(2)
+    rows = [(x, 0.15 if x > 0.3 else 0.0) for x in (rng.random() for _ in range(500))]
+    r = splits.best_variance_splits(splits.unpivot(spark.createDataFrame(rows, "x double, y double"), ["x"], "y")).first()
+    assert abs(r.threshold - 0.3) < 0.03 and r.gain > 0.004
+    far = splits.best_variance_splits(splits.unpivot(spark.createDataFrame([(x, y + 1e6) for x, y in rows], "x double, y double"), ["x"], "y")).first()
+    assert far.threshold == r.threshold and abs(far.gain - r.gain) < 1e-6
+
+
+def test_running_sums(spark):
+    """Against a plain loop, with few and many ranges, null groups and one group."""
+    rng = random.Random(4)
+    data = [(g, float(v), rng.randrange(5)) for g in ("a", "b", None) for v in rng.sample(range(1000), 200)]
+    df = spark.createDataFrame(data, "g string, v double, n long")
+    for ranges in (2, 64):
+        got = {(r.g, r.v): (r.upto_n, r.total_n, r.next) for r in running.running_sums(df, ("g",), "v", ("n",), ranges).collect()}
+        assert len(got) == 600
+        for g in ("a", "b", None):
+            mine = sorted((v, n) for x, v, n in data if x == g)
+            for i, (v, _) in enumerate(mine):
+                assert got[g, v] == (sum(n for _, n in mine[: i + 1]), sum(n for _, n in mine), mine[i + 1][0] if i + 1 < len(mine) else None)
+    one = running.running_sums(df.where("g = 'a'"), (), "v", ("n",)).orderBy("v").collect()
+    assert [r.upto_n for r in one] == [sum(x.n for x in one[: i + 1]) for i in range(200)]
+    assert running.running_sums(df.where("false"), ("g",), "v", ("n",)).count() == 0
+
+
+def test_weighted_statistics(spark):
+    counts = spark.createDataFrame([("x", 0, 80), ("x", 1, 20), ("y", 0, 5), ("y", 1, 5)], "node string, label int, n long")
+    weights = spark.createDataFrame([(1, 5.0)], "label int, weight double")
+    assert sorted(map(tuple, splits.class_shares(counts, ["node"]).collect())) == [("x", 0, 0.8), ("y", 0, 0.5)]
+    got = {r.node: (r.majority, r.purity) for r in splits.class_shares(counts, ["node"], weights).collect()}
+    assert got["x"] == (1, 100 / 180) and got["y"][0] == 1
+    assert splits.node_conditions(counts, spark.createDataFrame([("a", "zz"), ("b", None)], "node string, feature string")).count() == 0
+
+
 def test_gain_corner_cases(spark):
     one = spark.createDataFrame([(1.0, 0), (2.0, 0), (3.0, 0)], "x double, y int")
     assert splits.best_splits(splits.unpivot(one, ["x"], "y")).first().gain == 0
@@ -119,6 +154,17 @@ def test_hierarchy(spark):
     hierarchy.check_acyclic(h)
     with pytest.raises(ValueError):
         hierarchy.check_acyclic(h.union(spark.createDataFrame([("r", "d")], "child string, parent string")))
+    for rows in ([("a", "b"), ("b", "a")], [("a", "a")], [("x", "a"), ("a", "b"), ("b", "c"), ("c", "a")]):
+        loop = spark.createDataFrame(rows, "child string, parent string")
+        for follow in (hierarchy.closure, hierarchy.depths, hierarchy.information_content):
+            with pytest.raises(Exception, match="has a cycle at"):
+                follow(loop).collect()
+    line = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)], "child string, parent string")
+    with pytest.raises(Exception, match="more than 60 levels"):
+        hierarchy.closure(line).collect()
+    assert hierarchy.closure(line.where("child < 'n4'")).count() > 0
+    zones = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), ("b", "4"), ("b", "4"), ("c", None)], "zone string, node string")
+    assert hierarchy.zone_entropy(zones).first()[0] == 1.0 and hierarchy.zone_entropy(zones.where("false")).first()[0] == 0.0
 
 
 def test_colony_graph(spark):
@@ -169,7 +215,14 @@ def test_text(spark):
     df = spark.createDataFrame([("Mol Weight", "mol weight"), ("weight", "mol weight"), ("a b", "b c"), ("", "x")], "a string, b string")
     assert [r[0] for r in df.select(F.round(text.fuzzy_ratio(F.col("a"), F.col("b")), 3)).collect()] == [100.0, 80.0, 33.333, 0.0]
     x = spark.createDataFrame([(80.0, 300.0, 4.0)], "tpsa double, molecular_weight double, logp double")
-    assert x.select(text.relation_features(x.columns)).first()[0] == ["crosses_barrier", "high_lipophilicity"]
+    assert text.relation_features(x, "bbbp").select("transporter_substrates", "physicochemical_risks").first() == ([], [])
+    y = spark.createDataFrame([(130.0, 650.0, 9, ["AlphaAminoAcid", "PeptideLike", "Amidine"], None)], "tpsa double, molecular_weight double, n_plus_o_count int, structural_alerts array<string>, functional_groups array<string>")
+    r = text.relation_features(y, "bbbp").first()
+    assert r.transporter_substrates == ["LAT1_Substrate_Mimic", "PgpSubstrate"] and r.physicochemical_risks == ["HighMW_Risk", "HighTPSA_Risk"]
+    r = text.relation_features(y, "bace").first()
+    assert r.interacts_residues == ["Asp228", "Asp32"] and r.selectivity_class == "Low_Selectivity_Inhibitor"
+    assert text.relation_features(y, "hiv").first().inhibits_steps == ["Maturity"] and text.relation_features(x, "hiv").first().targets_proteins == ["RT"]
+    assert text.relation_features(x, "sider").columns == x.columns
 
 
 def test_refinements(spark):
@@ -208,6 +261,82 @@ def test_sources(spark, tmp_path):
         tables.load_dataset(df, "nope")
 
 
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "x.ttl").write_text("# comment\n<http://o#B> <http://o#likes> <http://o#A> .\n\n")
+    assert [tuple(r) for r in tables.read_triples(spark, f"{tmp_path}/x.ttl").collect()] == [("http://o#B", "http://o#likes", "http://o#A", False)]
+    (tmp_path / "y.ttl").write_text("@prefix o: <http://o#> .\no:B o:likes o:A .\n")
+    with pytest.raises(Exception, match="not a triple"):
+        tables.read_triples(spark, f"{tmp_path}/y.ttl").collect()
+    with pytest.raises(ValueError, match="JSON-LD"):
+        tables.read_triples(spark, "x.jsonld")
+    rows = spark.createDataFrame([("a", "p", "b", False)], "s string, p string, o string, literal boolean")
+    for kind in ("parquet", "json", "csv"):
+        getattr(rows.write, kind)(f"{tmp_path}/t.{kind}", **({"header": True} if kind == "csv" else {}))
+        assert tables.read_triples(spark, f"{tmp_path}/t.{kind}").collect() == rows.collect()
+    (tmp_path / "z.owl").write_text('<rdf:RDF xmlns:rdf="r" xmlns:owl="o" xmlns:rdfs="s"><owl:Class rdf:about="http://o#B"><owl:disjointWith rdf:resource="http://o#C"/></owl:Class><owl:ObjectProperty rdf:about="http://o#eats"><rdfs:domain rdf:resource="http://o#B"/><rdfs:range rdf:resource="http://o#C"/></owl:ObjectProperty></rdf:RDF>')
+    _, edges = tables.graph_of(tables.read_triples(spark, f"{tmp_path}/z.owl"))
+    assert {(r.src, r.dst, r.predicate) for r in edges.collect()} == {("B", "C", "disjointWith"), ("eats", "B", "domain"), ("eats", "C", "range")}
+
+
+def test_individuals(spark, tmp_path):
+    df = spark.createDataFrame([("m1", 300.5, ["Amine", "Amine", None], ["Amine", "Epoxide"], 1), ("m2", None, None, [], 0), (None, 1.0, [], [], 0)], "id string, molecular_weight double, functional_groups array<string>, structural_alerts array<string>, y int")
+    got = {(r.s, r.p.split("#")[-1], r.o) for r in ontology.individuals(df, "id", "y").collect()}
+    assert got == {("m1", "type", "Molecule"), ("m1", "hasMolecularWeight", "300.5"), ("m1", "hasFunctionalGroupRel", "Amine"), ("m1", "hasFunctionalGroupRel", "Epoxide"), ("m1", "hasLabel", "1"), ("m2", "type", "Molecule"), ("m2", "hasLabel", "0")}
+    (tmp_path / "d.csv").write_text("id,logp\nx,1.5\n")
+    triples = ontology.csv_individuals(spark, f"{tmp_path}/d.csv", "id string, logp double", "id")
+    assert ontology.instances(triples, "Molecule").count() == 1 and {r.property for r in ontology.used_properties(triples).collect()} == {"hasLogP"}
+    assert ontology.schema_table(spark).where("property = 'hasLogP'").first().range == "float"
+    declared = triples.unionByName(spark.createDataFrame([("http://o#B", ontology._SUB, "http://o#A", False)], "s string, p string, o string, literal boolean"))
+    assert {r["class"] for r in ontology.classes(declared).collect()} == {"http://o#A", "http://o#B"}
+    refs = candidates.seed_rules(spark, "BBBP ").select("ref_type", "property", "operator", "value", "concept")
+    ontology.write_refinements(refs, f"{tmp_path}/refs", {"dataset": "bbbp"})
+    assert ontology.read_refinements(spark, f"{tmp_path}/refs").drop("of").exceptAll(refs).count() == 0
+    known = spark.createDataFrame([("AromaticMolecule",)], "concept string")
+    assert ontology.read_refinements(spark, f"{tmp_path}/refs", known).count() == 14
+    assert candidates.seed_rules(spark, "unknown").count() == 0 and all(len(candidates.seed_rows(x)) == 15 for x in candidates.SEEDS)
+
+
+def test_candidates(spark):
+    assert candidates.allowed_kinds("el") == candidates.allowed_kinds(None) == candidates.KINDS
+    assert candidates.of_profile(candidates.templates(spark), "ALC").count() == 0
+    stored = [{"type": "domain", "property": "x", "operator": ">", "value": v} for v in (0.0, 2.0, 9.0)]
+    rows = spark.createDataFrame([(1.0,), (3.0,), (5.0,)], "x double")
+    evaluate = lambda df, ps: df.select(*((F.col(p["property"]) > p["value"]).alias(f"p{i}") for i, p in enumerate(ps)))
+    assert candidates.still_valid(stored, rows, evaluate) == [stored[1]] and candidates.still_valid([], rows, evaluate) == []
+
+
+def test_colony_forest(spark):
+    df = toy(spark, 500)
+    forest = colony_forest.fit(df, "id", ["a", "b", "c"], "y", trees=2, generations=2, ants=4, steps=2, fixed=[(0, 0, [("a", ">", 0.9, 0.1), ("b", ">", 0.9, 0.1)], 1)])
+    assert {r[1] for r in forest.rules} <= {0, 1, 2} and [r for r in forest.rules if r[1] == 2][0][2][0][:3] == ("a", ">", 0.9)
+    assert forest.scores[2] == 1.0 and all(0 <= s <= 1 for s in forest.scores.values()) and len(forest.history) == 2
+    assert all(0.1 <= t <= 10 for t in forest.pheromones.values())
+    small = [colony_forest.fit(x, "id", ["a", "b"], "y", trees=1, generations=1, ants=3, steps=1) for x in (df, df.repartition(5))]
+    assert small[0].rules == small[1].rules and small[0].scores == small[1].scores
+    test = toy(spark, 400, seed=2).withColumnRenamed("y", "label")
+    out = forest.predict(test)
+    assert out.where("probability < 0 or probability > 1").count() == 0
+    assert metrics.roc_auc(out.withColumnRenamed("probability", "score")).first()[0] > 0.75
+    assert forest.predict(test, weighted=True).columns == out.columns
+
+
+def test_walks_and_draws():
+    edges = {("a", "b"): 1.0, ("b", "c"): 1.0, ("c", "d"): 1.0}
+    assert colony_forest.ant_walk(edges, "a", 9, (1,)) == ["a", "b", "c", "d"] and colony_forest.ant_walk(edges, "d", 1, (1,)) == ["d", "c"]
+    picks = [colony_forest.draw([1.0, 3.0, 0.0], "x", i) for i in range(2000)]
+    assert 0.2 < picks.count(0) / 2000 < 0.3 and not picks.count(2)
+    starts = [colony_forest.start_node(["Thing", "f", "n"], ["f"], 1.0, (i,)) for i in range(2000)]
+    assert 0.75 < starts.count("f") / 2000 < 0.9 and starts.count("Thing") > starts.count("n") > 0
+    assert colony_forest.best_candidate({0: 0.1, 1: 0.5}, {0: 1.0, 1: 1.0, 2: 1.0}) == (1, 0.5) and colony_forest.best_candidate({}, {0: 1.0}) == (None, -1.0)
+    assert colony_forest.sweep(lambda c: c["a"] * c["b"], {"a": 1, "b": 2}, {"a": [3], "b": [5]}) == [("a", 3, 6), ("b", 5, 5)]
+
+
+def test_probe(spark):
+    flags = toy(spark, 300).select("id", "y", (F.col("a") > 0.5).alias("p0"), (F.col("c") > 0.5).alias("p1"), (F.col("a") > 5).alias("p2"))
+    got = {r.predicate: r.heuristic for r in colony_forest.probe(flags, ["p0", "p1", "p2"], "y", "id").collect()}
+    assert got["p0"] > got["p1"] >= got["p2"] == 1e-9
+
+
 def test_stream(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("ts", "value")
     events.repartition(3).write.parquet(f"{tmp_path}/in")
