@@ -7,14 +7,13 @@ depend on the number of rows in an Arrow batch.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+from ..sources.shared import delete, settled, shared_dir  # noqa: F401  # used by the operators
+
 #: Bytes of text handled at once by one Python worker (one longer text is handled alone).
 SLICE_BYTES = 3_000_000
 
@@ -29,26 +28,6 @@ ALNUM = (((_ASCII >= 48) & (_ASCII <= 57)) | ((_ASCII >= 65) & (_ASCII <= 90)) |
 WORDPUNCT = np.where(WHITE == 0, 0, np.where(ALNUM == 1, 1, 2)).astype(np.uint8)
 
 
-def shared_dir(spark) -> str:
-    """Reads spark.checkpoint.dir from the session. Where none is set, a local master gets a temporary folder; a cluster has none that its machines share, so that is an error."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and sc.master != "local" and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not named:
-            named = tempfile.mkdtemp(prefix="coppice-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def delete(spark, path: str) -> None:
-    """Removes a folder in whatever store it lies."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def free_names(df, *wanted: str) -> list[str]:
     """Column names that df doesn't have, whatever their case, one for each wanted."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -60,12 +39,6 @@ def free_names(df, *wanted: str) -> list[str]:
     return out
 
 
-def settled(df):
-    """The rows of df, written to the shared checkpoint folder: lineage ends here."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows with at most limit bytes of text each (at least one row)."""
     for batch in batches:
