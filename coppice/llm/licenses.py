@@ -13,7 +13,9 @@ where a bigram comes in or drops out. Of windows that overlap, the one with most
 counts (then higher Dice, then name, then place). It is one more segment unless a line it
 touches matches as well or better, or a paragraph has given its name; it replaces lines it
 touches that match worse. A template is looked for only in texts that hold two thirds of its
-bigrams: a Dice of 0.8 is out of reach in all others.
+bigrams: a Dice of 0.8 is out of reach in all others. So a few words are enough to tell texts
+that no template can match: words that together touch more than a third of the bigrams of
+every template. A text without any of them is not taken apart at all.
 
 Null and empty texts have no segments. Of the templates that a segment matches, the best counts
 (on ties the first name). Repeated rows are scanned one by one. Other columns are ignored.
@@ -21,6 +23,7 @@ Null and empty texts have no segments. Of the templates that a segment matches,
 
 from __future__ import annotations
 
+import math
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -100,6 +103,39 @@ def _for_windows() -> list[tuple[str, list[str], int]]:
     return [(name, _plain(text), len(_words(text)) - 1) for name, text in (*TEMPLATES, *MORE, *full)]
 
 
+#: Frequent words, which tell little. They are taken for guards last.
+_FREQUENT = frozenset("the of and to a in is for with on that this by it from as be are an or at was not you your any all which may use".split())
+
+
+def guards(templates: list[tuple], least: float) -> list[str]:
+    """Words, one of which at least is in every text that holds `least` of a template's bigrams, whichever template it is: a greedy cover."""
+    touched: dict[str, dict[int, set]] = {}
+    for i, (_, grams, *_rest) in enumerate(templates):
+        for g in grams:
+            for w in g.split(" "):
+                touched.setdefault(w, {}).setdefault(i, set()).add(g)
+    need = [math.floor(len(grams) * (1 - least) + 1e-6) + 1 for _, grams, *_rest in templates]
+    left, chosen = [set(grams) for _, grams, *_rest in templates], []
+    while any(n > 0 for n in need):
+        gain = lambda w: sum(min(need[i], len(gs & left[i])) / len(templates[i][1]) for i, gs in touched[w].items() if need[i] > 0)
+        best = min(touched, key=lambda w: (-gain(w) * (0.02 if w in _FREQUENT else 1.0), w))
+        chosen.append(best)
+        for i, gs in touched.pop(best).items():
+            need[i] -= len(gs & left[i])
+            left[i] -= gs
+    return chosen
+
+
+def _possible(text, templates: list[tuple], least: float) -> F.Column:
+    """Whether the text has one of the guards as a word. The pattern tries words by their first letters, after an ASCII character that is no part of a word."""
+    starts: dict[str, list[str]] = {}
+    for w in sorted(guards(templates, least)):
+        starts.setdefault(w[0], []).append(w[1:])
+    words = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in starts.items())
+    edge = r"[\x00-/:-`{-\x7F]"
+    return F.rlike(F.lower(text), F.lit(rf"(?:^|{edge})(?:{words})(?:\z|{edge})"))
+
+
 def _windows(text, min_dice: float) -> F.Column:
     """Array of the windows that count: shared, minus (the Dice, negated), name, at, to (places of bigrams), line, last."""
     known = _for_windows()
@@ -157,14 +193,17 @@ def _windows(text, min_dice: float) -> F.Column:
     return chosen
 
 
-def scan(docs: DataFrame, min_dice: float = MIN_DICE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, min_dice: float = MIN_DICE, doc_id: str = "doc_id", text: str = "text", guarded: bool = True) -> DataFrame:
     """doc_id, n_lines, n_segments that match, licenses (names, sorted, comma-joined), best_license, best_dice and best_line (from 1; 0: a paragraph; of a window, where it begins)."""
     known = _templates()
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
     least = min(len(g) for _, g in known) * low
-    whole = F.coalesce(F.col(text), F.lit(""))
+    all_lines = F.length(F.coalesce(F.col(text), F.lit(""))) - F.length(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    some = F.when(_possible(F.col(text), _for_windows(), low - 1e-9), F.col(text)) if guarded else F.col(text)
+    given = docs.select(F.col(doc_id).alias("doc_id"), all_lines.cast("long").alias("n_lines"), some.alias("text"))  # null: nothing can match
+    whole = F.col("text")
     paragraphs = F.filter(F.split(whole, r"\n[\x09-\x0D\x20]*\n"), lambda x: F.contains(x, F.lit("\n")))
-    few = docs.select(F.col(doc_id).alias("doc_id"), F.split(whole, "\n").alias("lines"), paragraphs.alias("paragraphs"), _windows(F.col(text), min_dice).alias("windows"))
+    few = given.select("doc_id", "n_lines", F.split(whole, "\n").alias("lines"), paragraphs.alias("paragraphs"), F.when(whole.isNotNull(), _windows(whole, min_dice)).alias("windows"))
     numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x.alias("segment")))
     lines = F.concat(numbered, F.transform("paragraphs", lambda x: F.struct(F.lit(0).alias("line"), x.alias("segment"))))
     grams = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), normal_words(x["segment"]).alias("words")))
@@ -178,7 +217,7 @@ def scan(docs: DataFrame, min_dice: float = MIN_DICE, doc_id: str = "doc_id", te
         dice = F.transform(fitting, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(s["grams"], t["grams"])) / (size + t["n"])).alias("dice"), t["name"].alias("name"), s["line"].alias("line")))
         return F.array_min(F.transform(F.filter(dice, lambda d: d["dice"] >= min_dice), lambda d: F.struct((-d["dice"]).alias("minus"), d["name"].alias("name"), d["line"].alias("line"))))
 
-    found = few.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.transform(grams, compare).alias("by_segment"), "windows")
+    found = few.select("doc_id", "n_lines", F.transform(grams, compare).alias("by_segment"), "windows")
     found = found.withColumn("segments", F.filter("by_segment", lambda x: x.isNotNull()))
     touches = lambda h, w: (h["line"] >= w["line"]) & (h["line"] <= w["last"])
     same = lambda h, w: (h["line"] == 0) & (h["name"] == w["name"])
@@ -188,8 +227,8 @@ def scan(docs: DataFrame, min_dice: float = MIN_DICE, doc_id: str = "doc_id", te
     return found.withColumn("first", F.array_min("hits")).select(
         "doc_id",
         "n_lines",
-        F.size("hits").cast("long").alias("n_segments"),
-        F.array_join(F.sort_array(F.array_distinct(F.transform("hits", lambda d: d["name"]))), ",").alias("licenses"),
+        F.when(F.col("hits").isNull(), 0).otherwise(F.size("hits")).cast("long").alias("n_segments"),
+        F.coalesce(F.array_join(F.sort_array(F.array_distinct(F.transform("hits", lambda d: d["name"]))), ","), F.lit("")).alias("licenses"),
         F.col("first.name").alias("best_license"),
         F.round(-F.col("first.minus"), 6).alias("best_dice"),
         F.col("first.line").cast("long").alias("best_line"),
