@@ -9,8 +9,10 @@ logistic curve turns both into a score from 0 to 1. The curve is fitted on texts
 models that had not seen them (two folds).
 
 The models are fitted on a bounded sample of labelled rows: at most max_docs texts, half of
-either class, and at most max_chars characters, chosen by a hash of the id; one task fits them
-and a model of bounded size is broadcast. Labels of rows that `usable` excludes are never read.
+either class, and at most max_chars characters, half for either class, chosen by a hash of the id;
+texts of more than a hundredth of max_chars aren't used to fit, so that none crowds out the others. One
+task fits them and a model of bounded size is broadcast. No context crosses a word's border: expressions of
+several ordinary words are judged by their words (and by runs of words), not as expressions. Labels of rows that `usable` excludes are never read.
 Every text is scored whole. Null and empty texts score like a text without evidence. Several
 labels of a document count as their maximum. Without labels of both classes all scores are 0.
 Repeated rows are scored alike; other columns are ignored.
@@ -201,9 +203,9 @@ def sample(docs: DataFrame, labels: DataFrame, usable, max_docs: int, max_chars:
     # which texts to read is settled without them: at most max_docs ids are broadcast, and at most max_docs lengths gathered
     some = keyed.select("doc_id", "text_hash", F.length(F.coalesce("text", F.lit(""))).alias("n")).join(F.broadcast(chosen), "doc_id").distinct()
     place = (F.xxhash64("doc_id", F.lit(seed + 2)), F.col("doc_id"), F.col("text_hash"))
-    some = some.orderBy(*place).limit(max_docs)
-    upto = F.sum("n").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
-    some = tx.settled(some.withColumn("upto", upto).where(F.col("upto") <= max_chars).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "toxic", "weight"))
+    some = some.where(F.col("n") <= max_chars // 100).orderBy(*place).limit(max_docs)
+    upto = F.sum("n").over(Window.partitionBy("toxic").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+    some = tx.settled(some.withColumn("upto", upto).where(F.col("upto") <= max_chars // 2).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "toxic", "weight"))
     rows = keyed.join(F.broadcast(some), (F.col("doc_id") == F.col("id")) & (F.col("text_hash") == F.col("hash"))).dropDuplicates(["doc_id", "text_hash"])
     fold = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(2)).cast("int")
     return rows.select("text", "toxic", fold.alias("fold"), "weight", F.xxhash64("doc_id", F.lit(seed + 2)).alias("place"), "doc_id", "text_hash").coalesce(1).sortWithinPartitions("place", "doc_id", "text_hash").select("text", "toxic", "fold", "weight")

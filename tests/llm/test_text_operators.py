@@ -467,6 +467,14 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(none, labels).count() == 0
 
 
+def test_toxicity_sample_outlives_long_texts(spark):
+    """One very long labelled text neither ends the sample nor crowds a class out."""
+    df = spark.createDataFrame([(i, ("bad " if i % 2 else "fine ") * (30 if i else 100_000)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    kept = toxicity.sample(df, labels, None, 100, 60_000, 5, "doc_id", "text", "toxic").groupBy("toxic").count().collect()
+    assert {r.toxic: r["count"] for r in kept} == {0: 19, 1: 20}
+
+
 def test_kneser_ney_sums_to_one():
     some = [b"abc", b"abd", b"b", b"aab"]
     tables = toxicity.fit(some, np.array([[3.0, 1, 2, 0], [1, 1, 0, 4]]))
@@ -800,3 +808,25 @@ def test_pipeline(spark, tmp_path):
     assert left[3] == left[2] - {386, 387, 388}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in got} == left[3]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty and repeated rows, columns with clashing names, and empty tables go through the whole chain."""
+    rng = random.Random(17)
+    texts = [prose(rng, 80, 3000) for _ in range(40)]
+    data = [(i, t, "en", f"s{i % 3}", len(t), "a", 1, 2.0) for i, t in enumerate(texts)]
+    data += [(5, texts[5], "en", "s0", len(texts[5]), "a", 1, 2.0)] * 2 + [(100, None, None, None, None, None, None, None), (101, "", "en", "s1", 0, "b", 1, 1.0), (None, texts[7] + " x", "de", None, None, "c", 2, 3.0), (None, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans string, row_id int, found_n double"
+    for where, rows in (("some", data), ("none", [])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{where}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(20)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{where}/labels.parquet")
+        spark.createDataFrame([(1, None), (2, "")] if rows else [], "item_id long, text string").write.parquet(f"{tmp_path}/{where}/benchmark.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{where}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = textops.settled(stage(spark, docs, f"{tmp_path}/{where}"))
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+        kept = Counter((r.doc_id, r.spans) for r in docs.collect())
+        assert kept == (Counter({(i, "a"): 1 for i in range(40) if i != 7} | {(100, None): 1, (101, "b"): 1, (None, None): 1} | ({(7, "a"): 1} if (7, "a") in kept else {(None, "c"): 1})) if rows else Counter())
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{where}").collect()
+        assert Counter(r.doc_id for r in got) == Counter(i for i, _ in kept.elements())
+        assert all(r.taken == 0 for r in got if r.doc_id in (100, 101))
