@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,18 @@ from ..sources.shared import settled
 RANGES = 64
 
 
+def bucket_of(grid: str, value: str, most: int) -> tuple[F.Column, F.Column]:
+    """How many elements of a sorted array column of at most `most` lie below a value: by blocks first (column _block), then inside one.
+
+    Comparisons written out, so that they stay in generated code; higher-order functions are interpreted row by row.
+    """
+    width = math.isqrt(most - 1) + 1
+    below = lambda at: f"coalesce(cast(get({grid}, {at}) < {value} as int), 0)"
+    block = F.expr(" + ".join(below(i * width + width - 1) for i in range(width)))
+    inside = F.expr(" + ".join(below(f"_block * {width} + {k}") for k in range(width)))
+    return F.when(F.size(grid) > most, F.raise_error(F.lit("more thresholds than `most`")).cast("int")).otherwise(block), F.col("_block") * width + inside
+
+
 def running_sums(cells: DataFrame, by: tuple[str, ...], order: str, sums: tuple[str, ...], ranges: int = RANGES) -> DataFrame:
     """cells (by, order, sums; one row per value of the numeric order column) with upto_x and total_x of every sum, and `next`, the value after the row's.
 
@@ -19,7 +33,8 @@ def running_sums(cells: DataFrame, by: tuple[str, ...], order: str, sums: tuple[
     """
     cells, keys = settled(cells), list(by)
     borders = cells.groupBy(*keys).agg(F.percentile_approx(order, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), 1000).alias("_borders"))
-    placed = _joined(cells, borders, keys).withColumn("_range", F.size(F.filter("_borders", lambda b: b < F.col(order)))).drop("_borders")
+    block, bucket = bucket_of("_borders", order, ranges)
+    placed = _joined(cells, borders, keys).withColumn("_block", block).withColumn("_range", bucket).drop("_borders", "_block")
     parts = placed.groupBy(*keys, "_range").agg(*(F.sum(x).alias(f"_{x}") for x in sums), F.min(order).alias("_first"))
     per = Window.partitionBy(*(keys or [F.lit(0)]))
     before = per.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.impurity import EPSILON, entropy, gini, share
 from ..sources.shared import settled
-from .running import running_sums
+from .running import bucket_of, running_sums
 
 #: Thresholds of a feature, unless another number is asked for.
 MOST = 64
@@ -38,18 +36,6 @@ def _n(weight: str | None) -> F.Column:
     return (F.count("*") if weight is None else F.sum(F.col(weight).cast("long"))).alias("n")
 
 
-def bucket_of(grid: str, value: str, most: int) -> tuple[F.Column, F.Column]:
-    """How many elements of a sorted array column of at most `most` lie below a value: by blocks first (column _block), then inside one.
-
-    Comparisons written out, so that they stay in generated code; higher-order functions are interpreted row by row.
-    """
-    width = math.isqrt(most - 1) + 1
-    below = lambda at: f"coalesce(cast(get({grid}, {at}) < {value} as int), 0)"
-    block = F.expr(" + ".join(below(i * width + width - 1) for i in range(width)))
-    inside = F.expr(" + ".join(below(f"_block * {width} + {k}") for k in range(width)))
-    return F.when(F.size(grid) > most, F.raise_error(F.lit("more thresholds than `most`")).cast("int")).otherwise(block), F.col("_block") * width + inside
-
-
 def ranked_cells(long: DataFrame, by: tuple[str, ...], weight: str | None) -> DataFrame:
     """by, value, n, last (rows up to the value), next (the value after it) and total of a group's distinct values."""
     cells = long.groupBy(*by, "value").agg(_n(weight))  # equal values meet before they are sorted
