@@ -19,7 +19,7 @@ from ..sources.shared import settled
 from . import metrics, rules as R, splits
 from .colony import _unit
 from .sampling import multiplicity
-from .splits import class_shares, class_weights  # noqa: F401  # class_shares: see branch choice
+from .splits import class_weights
 
 #: Weight of an out-of-bag score that is lower.
 LEAST = 0.01

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import candidates, hierarchy, metrics, rules, sampling, splits
+from ..operators import candidates, hierarchy, metrics, sampling, splits
 from ..operators import colony_forest as cf
 from ..sources import ontology
 from ..sources.tables import table
