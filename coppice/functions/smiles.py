@@ -15,9 +15,9 @@ VALENCE = {"C": 4, "N": 3, "O": 2, "S": 2, "P": 3, "B": 3, "Si": 4}
 HALOGENS = ("F", "Cl", "Br", "I")
 DEFAULT_MASS = 12.0
 
-_ALLOWED = r"^[CNOSPFIHBcnospb\[\]()=#\-+/\\@%0123456789.lraeKLMgZTdifu]+$"
-_TOKEN = r"(\[[^\]]*\]|Cl|Br|Si|Se|Na|Li|Ca|Mg|Al|Zn|Cu|Fe|Mn|Co|Ni|Sn|[BCNOSPFI]|[cnospb])"
-_RING = r"(%\d\d|\d)"
+ALLOWED = r"^[CNOSPFIHBcnospb\[\]()=#\-+/\\@%0123456789.lraeKLMgZTdifu]+$"
+TOKEN = r"(\[[^\]]*\]|Cl|Br|Si|Se|Na|Li|Ca|Mg|Al|Zn|Cu|Fe|Mn|Co|Ni|Sn|[BCNOSPFI]|[cnospb])"
+RING = r"(%\d\d|\d)"
 
 
 def _lookup(table: dict, key, default: float) -> F.Column:
@@ -39,19 +39,19 @@ def _atoms(s) -> F.Column:
         estimated = F.when(symbol.isin(*HALOGENS), 0).otherwise(F.greatest(F.lit(0), valence - 2))
         return F.struct(symbol.alias("symbol"), aromatic.alias("aromatic"), F.when(bracket, written).otherwise(estimated).alias("h"))
 
-    return F.filter(F.transform(F.regexp_extract_all(s, F.lit(_TOKEN), F.lit(1)), one), lambda a: a["symbol"] != "")
+    return F.filter(F.transform(F.regexp_extract_all(s, F.lit(TOKEN), F.lit(1)), one), lambda a: a["symbol"] != "")
 
 
 def _ring_count(s) -> F.Column:
     """Pairs of equal ring numbers outside brackets."""
-    digits = F.transform(F.regexp_extract_all(F.regexp_replace(s, r"\[[^\]]*\]", ""), F.lit(_RING), F.lit(1)), lambda d: F.regexp_replace(d, "%", "").cast("int"))
+    digits = F.transform(F.regexp_extract_all(F.regexp_replace(s, r"\[[^\]]*\]", ""), F.lit(RING), F.lit(1)), lambda d: F.regexp_replace(d, "%", "").cast("int"))
     return F.aggregate(F.array_distinct(digits), F.lit(0), lambda n, d: n + F.floor(F.size(F.filter(digits, lambda x: x == d)) / 2).cast("int"))
 
 
 def describe(df: DataFrame, smiles: str = "smiles") -> DataFrame:
     """df with valid and the descriptors; a string that can't be read is not valid and has nulls."""
     s = F.trim(F.col(smiles))
-    ok = F.coalesce((F.length(s) >= 2) & F.rlike(s, F.lit(_ALLOWED)) & (F.regexp_count(s, F.lit(r"\[")) == F.regexp_count(s, F.lit(r"\[[^\]]*\]"))), F.lit(False))
+    ok = F.coalesce((F.length(s) >= 2) & F.rlike(s, F.lit(ALLOWED)) & (F.regexp_count(s, F.lit(r"\[")) == F.regexp_count(s, F.lit(r"\[[^\]]*\]"))), F.lit(False))
     parts = F.transform(F.split(s, r"\."), lambda x, i: F.struct((-F.length(x)).alias("minus"), i.alias("i"), x.alias("x")))
     out = df.withColumn("_s", F.when(ok, F.array_min(parts)["x"])).withColumn("_a", F.when(F.col("_s").isNotNull(), _atoms(F.col("_s"))))
     out = out.withColumn("valid", F.coalesce(F.size("_a") > 0, F.lit(False))).withColumn("_a", F.when(F.col("valid"), F.col("_a"))).withColumn("num_rings", F.when(F.col("valid"), _ring_count(F.col("_s"))))

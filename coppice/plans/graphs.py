@@ -315,6 +315,37 @@ y AS (SELECT *, CASE WHEN lower(name) = lower(node) AND known THEN 1 WHEN lower(
 z AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY stage, ratio DESC, node) AS pos FROM y WHERE stage IS NOT NULL)
 SELECT feature, coalesce(node, 'Thing') AS node, coalesce(stage, 5) AS stage FROM f LEFT JOIN (SELECT * FROM z WHERE pos = 1) USING (feature)"""
 
+
+def _case(table, key, default):
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in table.items()) + f" ELSE {default}::DOUBLE END"
+
+
+def _q65_sql():
+    """Strings are cut into atoms, one row each, and the descriptors are aggregates over them."""
+    t, halogens = smiles.TPSA, ", ".join(f"'{x}'" for x in smiles.HALOGENS)
+    logp = f"CASE WHEN symbol = 'C' AND aromatic THEN {smiles.LOGP_CARBON['aromatic']} WHEN symbol = 'C' THEN {smiles.LOGP_CARBON['other']} WHEN symbol = 'N' AND aromatic THEN {smiles.LOGP_AROMATIC_N} ELSE {_case(smiles.LOGP, 'symbol', 0)} END"
+    surface = f"""CASE symbol WHEN 'N' THEN CASE WHEN aromatic THEN {t['N_aromatic']} WHEN h >= 2 THEN {t['N_2']} WHEN h = 1 THEN {t['N_1']} ELSE {t['N_0']} END
+ WHEN 'O' THEN CASE WHEN h >= 1 THEN {t['O_1']} WHEN contains(s, '=') THEN ({t['O_carbonyl']}::DOUBLE + {t['O_ether']}) / 2 ELSE {t['O_ether']} END WHEN 'S' THEN {t['S']} ELSE 0 END"""
+    number = lambda what, name: f"CAST(count(*) FILTER ({what}) AS DOUBLE) AS {name}"
+    return rf"""WITH v(id, smiles) AS (VALUES {', '.join(f"({i}, '{x}')" for i, x in enumerate(SMILES))}),
+ok AS (SELECT id, string_split(trim(smiles), '.') AS parts FROM v WHERE length(trim(smiles)) >= 2 AND regexp_matches(trim(smiles), '{smiles.ALLOWED}') AND len(regexp_extract_all(trim(smiles), '\[')) = len(regexp_extract_all(trim(smiles), '\[[^\]]*\]'))),
+m AS (SELECT id, arg_max(x, length(x) - i / 1000.0) AS s FROM (SELECT id, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM ok) GROUP BY id),
+tokens AS (SELECT id, s, unnest(regexp_extract_all(s, '{smiles.TOKEN}')) AS token FROM m),
+named AS (SELECT id, s, token, token[1] = '[' AS bracket, CASE WHEN bracket THEN regexp_extract(token, '^\[\d*([A-Z][a-z]?|[a-z])', 1) ELSE token END AS raw, regexp_extract(token, '^\[\d*(?:[A-Z][a-z]?|[a-z])([^\]]*)\]$', 1) AS more FROM tokens),
+marked AS (SELECT *, raw = lower(raw) AS aromatic, CASE WHEN raw = lower(raw) THEN upper(raw) ELSE raw END AS symbol FROM named WHERE raw <> ''),
+atoms AS (SELECT *, CASE WHEN bracket AND contains(more, 'H') THEN CAST(coalesce(nullif(regexp_extract(more, 'H(\d*)', 1), ''), '1') AS INTEGER) WHEN bracket OR symbol IN ({halogens}) THEN 0 ELSE greatest(0, {_case(smiles.VALENCE, 'symbol', 0)} - CAST(aromatic AS INTEGER) - 2) END AS h FROM marked),
+digits AS (SELECT id, CAST(replace(unnest(regexp_extract_all(regexp_replace(s, '\[[^\]]*\]', '', 'g'), '{smiles.RING}')), '%', '') AS INTEGER) AS digit FROM m),
+rings AS (SELECT id, CAST(sum(n // 2) AS DOUBLE) AS rings FROM (SELECT id, digit, count(*) AS n FROM digits GROUP BY ALL) GROUP BY id),
+d AS (SELECT id, any_value(s) AS s, sum({_case(smiles.MASS, 'symbol', smiles.DEFAULT_MASS)} + h * {smiles.MASS['H']}::DOUBLE) AS molecular_weight, sum({logp} + h * {smiles.LOGP['H']}::DOUBLE) AS logp, sum(({surface})::DOUBLE) AS tpsa,
+ CAST(coalesce(sum(h) FILTER (symbol IN ('N', 'O')), 0) AS DOUBLE) AS num_hbd, {number("symbol IN ('N', 'O')", 'num_hba')}, count(*) FILTER (aromatic) AS aromatics, CAST(count(*) AS DOUBLE) AS num_atoms, {number("symbol <> 'H'", 'num_heavy_atoms')}, {number("symbol NOT IN ('C', 'H')", 'num_heteroatoms')},
+ {number("symbol = 'C'", 'num_carbons')}, {number("symbol = 'N'", 'num_nitrogens')}, {number("symbol = 'O'", 'num_oxygens')}, {number(f"symbol IN ({halogens})", 'num_halogens')}, count(*) FILTER (symbol = 'C' AND NOT aromatic) AS saturated FROM atoms GROUP BY id)
+SELECT id, smiles, d.id IS NOT NULL AS valid, CASE WHEN valid THEN coalesce(rings, 0) END AS num_rings, round(molecular_weight, 9) AS molecular_weight, round(logp, 9) AS logp, round(tpsa, 9) AS tpsa, num_hbd, num_hba,
+ CASE WHEN valid THEN CAST(greatest(0, length(regexp_replace(regexp_replace(s, '\[[^\]]*\]', 'X', 'g'), '[^A-Za-z]', '', 'g')) - 2 - coalesce(rings, 0) - len(regexp_extract_all(s, '[=#]'))) AS DOUBLE) END AS num_rotatable_bonds,
+ CASE WHEN valid THEN CAST(CASE WHEN aromatics > 0 THEN greatest(1, round(aromatics / 5.5)) ELSE 0 END AS DOUBLE) END AS num_aromatic_rings, num_atoms, num_heavy_atoms, num_heteroatoms, num_carbons, num_nitrogens, num_oxygens,
+ CASE WHEN valid THEN round(CASE WHEN num_carbons > 0 THEN saturated / num_carbons ELSE 0.0::DOUBLE END, 9) END AS fsp3, num_halogens
+FROM v LEFT JOIN d USING (id) LEFT JOIN rings USING (id)"""
+
+
 QUERIES = {
     "q30_inheritance_order": (q30, "SELECT * FROM (VALUES " + "(1, 0, 'N:0', 'R:0'), (2, 0, 'N:1', 'Thing')" + ") t(rule_id, position, node, next) WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 0 AND n_regionkey = 0) OR rule_id = 2"),
     "q31_closure": (lambda s, d: hierarchy.closure(parts(s, d)), f"{_CP} SELECT node, ancestor, dist, longest FROM c"),
@@ -349,7 +380,7 @@ QUERIES = {
     "q62_pocket": (q62, "WITH m AS (SELECT median(l_quantity) AS q, median(l_discount) AS di, median(l_tax) AS t, median(l_extendedprice) AS e FROM lineitem WHERE " + numeric._H("l_orderkey", "42") + " >= 1073741824), p AS (SELECT CAST((CAST(l_quantity >= q AS INTEGER) + CAST(l_discount >= di AS INTEGER)) / 2 >= 0.5 AS INTEGER) AS p1, CAST((CAST(l_tax >= t AS INTEGER) + CAST(l_extendedprice >= e AS INTEGER) + CAST(l_quantity >= q AS INTEGER)) / 3 >= 0.5 AS INTEGER) AS p2 FROM lineitem, m) SELECT p1, p2, count(*) AS n FROM p GROUP BY ALL"),
     "q63_categories": (lambda s, d: table(s, d, "part").groupBy(text.category(F.col("p_retailprice"), 1200, 1600, ("Low", "Medium", "High")).alias("category")).agg(F.count("*").alias("n")), "SELECT CASE WHEN p_retailprice < 1200 THEN 'Low' WHEN p_retailprice < 1600 THEN 'Medium' ELSE 'High' END AS category, count(*) AS n FROM part GROUP BY 1"),
     "q64_label_normalise": (q64, "SELECT CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderstatus = 'F' AS INTEGER) END AS label, count(*) AS n FROM orders GROUP BY 1"),
-    "q65_smiles_descriptors": (q65, None),
+    "q65_smiles_descriptors": (q65, _q65_sql()),
     "q66_concept_keywords": (q66, "WITH n AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS name FROM documents), t(topic, rx) AS (VALUES ('the', 'the '), ('caps', '!!'), ('junk', '\\*\\*\\*')), r AS (SELECT topic, name, row_number() OVER (PARTITION BY topic ORDER BY name) AS rank FROM n JOIN t ON regexp_matches(lower(name), rx)) SELECT topic, name, rank FROM r WHERE rank <= 20"),
     "q67_rotating_pick": (q67, "SELECT p_partkey, 'v' || (p_partkey % 7) || ',v' || ((p_partkey + 1) % 7) || ',v' || ((p_partkey + 2) % 7) AS picked FROM part"),
     "q68_colony_fit": (q68, None),
