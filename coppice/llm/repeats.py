@@ -27,7 +27,11 @@ group; what can matter of each is its context, the symbols from `length` - k bef
    pre-aggregation before the shuffle. Anchors with `hot` different contexts or more (counted,
    not estimated) aren't gathered in a task: the windows around them are hashed and counted.
 
-The union of these spans is exact. Null is empty; texts shorter than `length` are never changed.
+The union of these spans is exact. repeat_groups() gives the repeats themselves instead: all
+occurrences of each, from the nodes of both trees (right contexts, and in each of their intervals
+the left contexts).
+
+Null is empty; texts shorter than `length` are never changed.
 Repeated rows are copies of each other. An empty table gives an empty result. Other columns travel
 along, whatever their names, or are ignored (report).
 """
@@ -112,20 +116,26 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return tx.mix((total[to] - total[at]) * back[at]), np.searchsorted(at, offsets), at, to
 
 
+def anchors_of_windows(symbols: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of each window of at least `length` symbols, and the hashes of all k-grams."""
+    total, back = prefix_sums(symbols)
+    hashed = tx.mix((total[rule.gram :] - total[: -rule.gram]) * back[: len(symbols) - rule.gram + 1])
+    least = sliding_min((hashed & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashed), dtype=np.uint64), rule.length - rule.gram + 1)
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64), hashed
+
+
 def anchors(symbols: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of all texts, in order, and the hashes of their k-grams."""
-    length, gram = rule.length, rule.gram
+    length = rule.length
     if len(symbols) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    total, back = prefix_sums(symbols)
-    hashed = tx.mix((total[gram:] - total[:-gram]) * back[: len(symbols) - gram + 1])
-    least = sliding_min((hashed & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashed), dtype=np.uint64), length - gram + 1)
+    place, hashed = anchors_of_windows(symbols, rule)
     size = np.diff(offsets)
     edge = np.zeros(len(symbols) + 1, np.int8)
     full = size >= length
     np.add.at(edge, offsets[:-1][full], 1)
     np.add.at(edge, offsets[1:][full] - length + 1, -1)
-    place = (least[np.cumsum(edge[: len(least)]) > 0] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    place = place[np.cumsum(edge[: len(place)]) > 0]
     place = place[np.append(True, place[1:] != place[:-1])] if len(place) else place
     return place, hashed[place]
 
@@ -294,28 +304,29 @@ def repeats(left: list[bytes], right: list[bytes], rule: Rule) -> list[tuple[int
     return out
 
 
-def _contexts(texts: DataFrame, rules: Sequence[Rule], kid: str, kh: str, text: str, detail: str) -> DataFrame:
-    """The contexts of rows (kid, kh, text, detail: array of (a, pos)), whatever their other columns."""
+def _contexts(texts: DataFrame, rules: Sequence[Rule], kid: str, kh: str, text: str, detail: str, more: Sequence[str] = (), word_bytes: int = WORD_BYTES) -> DataFrame:
+    """The contexts of rows (kid, kh, text, detail: array of (a, pos) and, where named in more, further long fields), whatever their other columns."""
+    names = ["a", "kid", "kh", "pos", "left", "right", *more]
 
     def packed(symbols: np.ndarray) -> bytes:
-        return symbols.tobytes() if symbols.itemsize == 1 else np.ascontiguousarray(symbols).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+        return symbols.tobytes() if symbols.itemsize == 1 else np.ascontiguousarray(symbols).view(np.uint8).reshape(-1, 8)[:, :word_bytes].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in tx.slices(batches, text, 1_000_000):
             data, ends = tx.raw(part.column(text))
             views = [word_symbols(data, ends)[:2] if rule.words else (data, ends) for rule in rules]
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             for r, (i, h, at) in enumerate(zip(*(part.column(x).to_pylist() for x in (kid, kh, detail)), strict=True)):
                 whole = [symbols[offsets[r] : offsets[r + 1]] for symbols, offsets in views]
                 for x in at:
                     p, rule, symbols = x["pos"], rules[x["a"] & RULE_BITS], whole[x["a"] & RULE_BITS]
                     before = symbols[max(0, p - (rule.length - rule.gram)) : p][::-1]
-                    for column, value in zip(out, (x["a"], i, h, p, packed(before), packed(symbols[p : p + rule.length])), strict=True):
+                    for column, value in zip(out, (x["a"], i, h, p, packed(before), packed(symbols[p : p + rule.length]), *(x[m] for m in more)), strict=True):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["a", "kid", "kh", "pos", "left", "right"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), *(pa.int64() for _ in more))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
-    return texts.mapInArrow(run, "a long, kid long, kh long, pos int, left binary, right binary")
+    return texts.mapInArrow(run, ", ".join(["a long, kid long, kh long, pos int, left binary, right binary", *(f"{m} long" for m in more)]))
 
 
 def _spans_of_groups(contexts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -408,6 +419,119 @@ def repeated_spans(docs: DataFrame, rules: Sequence[Rule] = (STRINGS,), hot: int
     return keyed.join(spans, [kid, kh], "left").select(*docs.columns, found_at), found_at
 
 
+def maximal_repeats(left: list[bytes], right: list[bytes], times: list[int], rule: Rule, size: int) -> Iterator[tuple[list[int], int, int]]:
+    """(members, symbols to the left, symbols to the right) of every maximal repeat of at least `length` symbols around an anchor.
+
+    Contexts differ from each other; one that occurs several times is a repeat by itself. Left contexts are given reversed.
+    """
+    for i, n in enumerate(times):
+        if n > 1:
+            yield [i], len(left[i]) // size, len(right[i]) // size
+    if len(left) < 2:
+        return
+    order, prefix = neighbours(right, rule.length * size, size)
+    back, before = neighbours(left, (rule.length - rule.gram) * size, size)
+    rank, place = np.empty(len(left), np.int64), np.empty(len(left), np.int64)
+    rank[back], place[order] = np.arange(len(left)), np.arange(len(left))
+    to_left, to_right = RangeMin(before.astype(np.int64)), RangeMin(prefix.astype(np.int64))
+    for first, last, reach in intervals(prefix, rule.gram):
+        members = order[first : last + 1]
+        members = members[np.argsort(rank[members])]
+        shared = to_left(rank[members][:-1], rank[members][1:])
+        for x, y, ahead in intervals(shared, max(0, rule.length - reach)):
+            some = members[x : y + 1]
+            low, high = place[some].min(), place[some].max()
+            if to_right(np.array([low]), np.array([high]))[0] == reach:  # else they have more in common, and a smaller interval holds them
+                yield some.tolist(), ahead, reach
+
+
+def _groups_of_anchors(contexts: DataFrame, rule: Rule, size: int) -> DataFrame:
+    """(repeat_id, a, c, ahead, reach): the contexts that each repeat stands in, from contexts that lie together by anchor.
+
+    Only repeats of which the anchor is the anchor of some window inside them: these have it wherever they occur, so all occurrences are there.
+    """
+    kind = np.uint64 if rule.words else np.uint8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups():
+            anchor, some = None, []
+            for batch in batches:
+                for row in zip(*(batch.column(x).to_pylist() for x in ("a", "c", "n", "left", "right")), strict=True):
+                    if row[0] != anchor:
+                        yield anchor, some
+                        anchor, some = row[0], []
+                    some.append(row)
+            yield anchor, some
+
+        out: list[tuple] = []
+        for a, some in groups():
+            found = maximal_repeats([r[3] for r in some], [r[4] for r in some], [r[2] for r in some], rule, size) if some else ()
+            for members, ahead, reach in found:
+                before, after = (np.frombuffer(x, kind) for x in some[members[0]][3:])
+                symbols = np.concatenate([before[:ahead][::-1], after[:reach]])
+                if not (anchors_of_windows(symbols, rule)[0] == ahead).any():
+                    continue
+                name = xxhash.xxh3_128_hexdigest(symbols.tobytes())
+                for i in members:
+                    out.append((name, a, some[i][1], ahead, reach))
+                    if len(out) >= 20_000:
+                        yield _member_batch(out)
+                        out = []
+        if out:
+            yield _member_batch(out)
+
+    return contexts.repartition("a").sortWithinPartitions("a", "c").mapInArrow(run, "repeat_id string, a long, c long, ahead int, reach int")
+
+
+def _member_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["repeat_id", "a", "c", "ahead", "reach"])
+
+
+def _groups_of_hot(contexts: DataFrame, rule: Rule) -> DataFrame:
+    """The same for anchors with very many contexts: each repeated window of `length` symbols whose anchor it is, counted by hash."""
+    kind = np.uint64 if rule.words else np.uint8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, c, n, left, right in zip(*(batch.column(x).to_pylist() for x in ("a", "c", "n", "left", "right")), strict=True):
+                before, after = (np.frombuffer(x, kind) for x in (left, right))
+                symbols, at = np.concatenate([before[::-1], after]), len(before)
+                starts = np.flatnonzero(anchors_of_windows(symbols, rule)[0] == at).tolist()
+                names = [xxhash.xxh3_128_hexdigest(symbols[i : i + rule.length].tobytes()) for i in starts]
+                m = len(starts)
+                columns = [pa.array(names, pa.string()), *(pa.array([x] * m, pa.int64()) for x in (a, c)), pa.array([at - i for i in starts], pa.int32()), pa.array([i + rule.length - at for i in starts], pa.int32()), pa.array([n] * m, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["repeat_id", "a", "c", "ahead", "reach", "n"])
+
+    windows = contexts.mapInArrow(run, "repeat_id string, a long, c long, ahead int, reach int, n long")
+    twice = windows.groupBy("repeat_id").agg(F.sum("n").alias("n")).where("n > 1").select("repeat_id")
+    return windows.drop("n").join(twice, "repeat_id")
+
+
+def repeat_groups(docs: DataFrame, rule: Rule = STRINGS, hot: int = HOT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The maximal repeats of docs with all their occurrences: repeat_id (a hash of the repeat's symbols), the id, low and high (in symbols), a row for each occurrence.
+
+    A repeat is maximal if its occurrences differ (or a text ends) before and after it. Contexts bound what is seen of one:
+    a repeat that reaches further than `length` - k before or `length` after the start of an anchor is given as one
+    piece per anchor; of anchors with `hot` different contexts or more, the repeated windows of `length` symbols are given.
+    Either is given with all its occurrences. Occurrences of exact copies meet their group in a join whose large
+    partitions are left to adaptive execution; no group is gathered. Repeated rows are occurrences each.
+    """
+    size = 8 if rule.words else 1
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("kid"), F.xxhash64(text).alias("kh"), F.col(text).alias("text"))
+    found = tx.settled(find_anchors(keyed, (rule,)))
+    same = found.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("kid", "kh", "pos")).alias("one"))
+    by_anchor = tx.settled(same.groupBy("a").agg(F.count("*").alias("contexts"), F.sum("n").alias("all")).where("all > 1"))
+    chosen = same.join(by_anchor, "a").select("one.kid", "one.kh", F.struct("a", "one.pos", "c", "n", "contexts").alias("x"))
+    detail = chosen.groupBy("kid", "kh").agg(F.collect_list("x").alias("detail"))  # a text's own anchors: bounded by its length
+    contexts = tx.settled(_contexts(keyed.dropDuplicates(["kid", "kh"]).join(detail, ["kid", "kh"]).select("kid", "kh", "text", "detail"), (rule,), "kid", "kh", "text", "detail", ("c", "n", "contexts"), size))
+    groups = _groups_of_anchors(contexts.where(F.col("contexts") < hot), rule, size)
+    if by_anchor.where(F.col("contexts") >= hot).count():
+        groups = groups.unionByName(_groups_of_hot(contexts.where(F.col("contexts") >= hot), rule))
+    places = groups.join(found, ["a", "c"]).select("repeat_id", "kid", "kh", (F.col("pos") - F.col("ahead")).alias("low"), (F.col("pos") + F.col("reach")).alias("high")).distinct()
+    return places.join(keyed.select("doc_id", "kid", "kh"), ["kid", "kh"]).select("repeat_id", F.col("doc_id").alias(doc_id), "low", "high")
+
+
 def merged(low: np.ndarray, high: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Maximal runs covered by the spans inside 0..n."""
     out: list[tuple[int, int]] = []

@@ -695,6 +695,58 @@ def test_interval_tree():
     assert set(repeats.intervals(prefix, 1)) == {(1, 3, 5), (0, 3, 3), (4, 5, 2)}
 
 
+def groups_plainly(data, rule, split):
+    """Every string of `length` symbols or more that stands in two places, with its places; and those that are maximal and seen whole from an anchor of their own."""
+    texts = [split(t) for _, t in data]
+    places, maximal = defaultdict(list), set()
+    for k, x in enumerate(texts):
+        for i in range(len(x) - rule.length + 1):
+            for n in range(rule.length, min(len(x) - i, 2 * rule.length) + 1):
+                places[x[i : i + n]].append((k, i))
+    places = {s: at for s, at in places.items() if len(at) > 1}
+    for s, at in places.items():
+        ends = [{texts[k][i + o] if 0 <= i + o < len(texts[k]) else None for k, i in at} for o in (-1, len(s))]
+        if all(None in e or len(e) > 1 for e in ends):
+            symbols = repeats.word_symbols(*textops.raw(pa.array([" ".join(s)])))[0] if rule.words else np.frombuffer(s, np.uint8)
+            own = repeats.anchors_of_windows(symbols, rule)[0]
+            if ((own >= len(s) - rule.length) & (own <= rule.length - rule.gram)).any():
+                maximal.add(s)
+    return texts, places, maximal
+
+
+@pytest.mark.parametrize("rule", [repeats.Rule(12, 4), repeats.Rule(6, 2, words=True)])
+def test_repeat_groups(spark, none, rule):
+    """Every group is one string with all its places; every maximal repeat that fits the contexts is a group; every repeated window lies in one."""
+    rng = random.Random(12)
+    parts = ["".join(rng.choice("abc ") for _ in range(rng.choice([5, 14, 30]))) for _ in range(12)]
+    data = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 7)))) for i in range(50)]
+    data += [(60, data[3][1]), (60, data[3][1]), (61, None), (62, ""), (None, data[4][1]), (63, "ab" * 40), (64, "a b " * 30)]
+    split = (lambda t: tuple(words(t))) if rule.words else (lambda t: (t or "").encode())
+    texts, places, maximal = groups_plainly(data, rule, split)
+    assert len(maximal) > 20
+    frame, at_id = spark.createDataFrame(data, "doc_id long, text string").repartition(3), defaultdict(list)
+    for k, (i, _) in enumerate(data):
+        at_id[i].append(k)
+    for hot in (repeats.HOT, 3):
+        got, covered_by = defaultdict(list), defaultdict(set)
+        for r in repeats.repeat_groups(frame, rule, hot).collect():
+            got[r.repeat_id].append((r.doc_id, r.low, r.high))
+        strings = set()
+        for at in got.values():
+            content = {texts[at_id[i][0]][low:high] for i, low, high in at}
+            assert len(content) == 1
+            strings.add(s := content.pop())
+            assert Counter((i, low) for i, low, _ in at) == Counter((data[k][0], i) for k, x in enumerate(texts) for i in range(len(x) - len(s) + 1) if x[i : i + len(s)] == s)
+            for i, low, high in at:
+                covered_by[i] |= {(low + o) for o in range(high - low - rule.length + 1)}
+        assert len(strings) == len(got)
+        assert hot == 3 or maximal <= strings
+        for s, at in places.items():
+            if len(s) == rule.length:
+                assert all(i in covered_by[data[k][0]] for k, i in at)
+    assert repeats.repeat_groups(none, rule).count() == 0
+
+
 # -- near duplicates
 
 
