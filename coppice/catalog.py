@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graphs, knowledge, numeric
+from .plans import graphs, knowledge, numeric, structures
 
-_ALL = {**numeric.QUERIES, **graphs.QUERIES, **knowledge.QUERIES}
+_ALL = {**numeric.QUERIES, **graphs.QUERIES, **knowledge.QUERIES, **structures.QUERIES}
 
 
 def queries() -> dict:
