@@ -164,8 +164,8 @@ def find_anchors(keyed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def frequent_anchors(keyed: DataFrame, rules: Sequence[Rule], hot: int) -> DataFrame:
-    """The k-grams (a) that probably occur hot times or more: MOST_HOT rows at most."""
-    some = find_anchors(keyed.where(F.pmod("kid", F.lit(SAMPLE)) == 0) if hot > SAMPLE else keyed, rules)
+    """The k-grams (a) that probably occur hot times or more: MOST_HOT rows at most. Rows are drawn one by one, so that copies, or texts under one id, aren't all left out together."""
+    some = find_anchors(keyed.where(F.rand(7) < 1 / SAMPLE) if hot > SAMPLE else keyed, rules)
     least = hot // SAMPLE if hot > SAMPLE else hot
     return some.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "a").limit(MOST_HOT).select("a")
 

@@ -621,7 +621,7 @@ def repeats_plainly(rows, n=400, passage=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 2])
+@pytest.mark.parametrize("hot", [repeats.HOT, 20, 2])
 def test_repeats(spark, docs, rows, none, hot):
     short = [r for r in rows if r[0] != 99]
     got = repeats.report(docs.where("doc_id is null or doc_id != 99"), hot=hot).collect()
@@ -672,6 +672,14 @@ def test_sort_out_in_small_batches(spark):
     assert Counter((r[3], r[4:]) for r in detail) == Counter((a, c) for a, some in contexts.items() if len(some) > 1 for c in some)
 
 
+def test_frequent_anchors_under_one_id(spark):
+    """An anchor in many copies is seen as frequent, whatever the ids are."""
+    text = "".join(f"{i * i:x} " for i in range(120))
+    same = spark.createDataFrame([(text,)] * 3000, "text string").repartition(4).select(F.lit(1).cast("long").alias("kid"), F.lit(2).cast("long").alias("kh"), "text")
+    got = {r.a for r in repeats.frequent_anchors(same, (repeats.STRINGS,), 1600).collect()}
+    assert got == {r.a for r in repeats.find_anchors(same, (repeats.STRINGS,)).distinct().collect()} and got
+
+
 def test_remove_repeats(spark, docs, rows, none):
     got = repeats.remove_repeats(docs)
     assert got.columns == docs.columns and got.schema["n_chars"].dataType == docs.schema["n_chars"].dataType and got.count() == docs.count()
