@@ -35,7 +35,7 @@ def test_query(spark, con, name):
         assert all(p == q or isinstance(p, (int, float)) and isinstance(q, (int, float)) and abs(p - q) < 1e-6 * (1 + abs(p)) for p, q in zip(x, y)), (x, y)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - {"q68_colony_fit", "q69_bagged_forest", "q75_colony_forest"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, HOME).count() > 0
 
