@@ -1,8 +1,10 @@
 """Class hierarchies (child, parent): closure, depth, information content, similarity, search.
 
-Closures are recursive queries. A walk that comes back to its start is an error that names the
-node, raised while the query runs, and so is one of more than `levels` steps: every operator
-here that follows the hierarchy does so through walks(). check_acyclic() tests without a closure.
+Closures are recursive queries, read with LIMIT ALL: without it Spark stops them with an error at
+spark.sql.cteRecursionRowLimit rows (1,000,000). A walk that comes back to its start is an error
+that names the node, raised while the query runs, and so is one of more than `levels` steps: every
+operator here that follows the hierarchy does so through walks(). check_acyclic() tests without a
+closure.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def walks(h: DataFrame, levels: int = LEVELS, bound: int | None = None) -> DataF
                      WHEN w.dist >= {levels} THEN raise_error(concat('the hierarchy has more than {levels} levels above ', w.node))
                      ELSE x.parent END, w.dist + 1
               FROM w JOIN {view} x ON x.child = w.ancestor WHERE w.dist < {stop})
-            SELECT DISTINCT node, ancestor, dist FROM w"""
+            SELECT DISTINCT node, ancestor, dist FROM (SELECT * FROM w LIMIT ALL)"""
     )
 
 

@@ -167,6 +167,19 @@ def test_hierarchy(spark):
     assert hierarchy.zone_entropy(zones).first()[0] == 1.0 and hierarchy.zone_entropy(zones.where("false")).first()[0] == 0.0
 
 
+def test_hierarchy_larger_than_the_limit_on_recursive_rows(spark):
+    h = spark.createDataFrame([(f"n{i}", "r") for i in range(40)] + [("r", "top")], "child string, parent string")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")  # 1,000,000 by default
+    try:
+        assert hierarchy.closure(h).count() == 42 + 41 + 40
+        assert hierarchy.depths(h).where("depth = 3").count() == 40
+        assert {x.node: x.descendants for x in hierarchy.information_content(h).collect()}["top"] == 42
+        with pytest.raises(Exception, match="has a cycle at"):
+            hierarchy.closure(h.union(spark.createDataFrame([("top", "n1")], "child string, parent string"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 def test_colony_graph(spark):
     e = spark.createDataFrame([("a", "b", "x", 0.05, False), ("b", "a", "x", 20.0, False), ("b", "c", "x", 1.0, True)], "src string, dst string, predicate string, pheromone double, static boolean")
     paths = spark.createDataFrame([(0, ["a", "b", "c"], 3.0, 1.0, 0.5)], "path_id int, nodes array<string>, fitness double, prediction double, f1 double")
