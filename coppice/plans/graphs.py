@@ -79,7 +79,7 @@ def _gain_terms(spark, d):
     best = splits.best_splits(numeric.long(spark, d), "entropy")
     ati = hierarchy.average_information(_set_table(spark), hierarchy.taxonomic_information(dep, ic)).withColumnRenamed("set_id", "feature")
     sim = hierarchy.set_similarity(_set_table(spark), c, dep, ic).withColumnRenamed("set_id", "feature")
-    return best.join(ati, "feature").join(sim, "feature").withColumn("gain", F.round("gain", 8))
+    return best.join(ati, "feature").join(sim, "feature").withColumn("gain", numeric._eight("gain"))
 
 
 def _gain_sql(expr):

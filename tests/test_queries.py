@@ -35,6 +35,15 @@ def test_query(spark, con, name):
         assert all(p == q or isinstance(p, (int, float)) and isinstance(q, (int, float)) and abs(p - q) < 1e-6 * (1 + abs(p)) for p, q in zip(x, y)), (x, y)
 
 
+def test_gains_are_rounded_as_in_sql(spark, con):
+    from coppice.plans import numeric
+
+    gains = [i / 1e9 for i in range(500_005, 700_005, 10)]
+    df = spark.createDataFrame([("f", 0.5, 1, 1, g) for g in gains], "feature string, threshold double, n_left long, n_right long, gain double")
+    want = con.execute("SELECT list_transform(?::DOUBLE[], lambda x: round(x, 8))", [gains]).fetchone()[0]
+    assert [r.gain for r in numeric._rounded(df).collect()] == want
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, HOME).count() > 0
