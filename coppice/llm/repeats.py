@@ -393,7 +393,9 @@ def repeated_spans(docs: DataFrame, rules: Sequence[Rule] = (STRINGS,), hot: int
     found = find_anchors(short, rules)
     frequent = tx.settled(frequent_anchors(short, rules, hot))
     if frequent.count():
-        used = sort_out(found.join(F.broadcast(frequent), "a", "left_anti")).unionByName(sort_out_hot(found.join(F.broadcast(frequent), "a", "left_semi")))  # MOST_HOT rows at most
+        # MOST_HOT rows at most; what has these k-grams is used three times, so it is found once
+        counted = tx.settled(found.join(F.broadcast(frequent), "a", "left_semi"))
+        used = sort_out(found.join(F.broadcast(frequent), "a", "left_anti")).unionByName(sort_out_hot(counted))
     else:
         used = sort_out(found)
     # a text's own anchors, as a set: bounded by its length

@@ -629,6 +629,28 @@ def test_repeats(spark, docs, rows, none, hot):
     assert repeats.report(none).count() == 0
 
 
+def test_frequent_anchors_are_found_once(spark, monkeypatch):
+    line = " ".join(f"word{i}" for i in range(120))
+    docs = spark.createDataFrame([(i, f"{i} {line} {i}") for i in range(30)], "doc_id long, text string")
+    seen, plain = spark.sparkContext.accumulator(0), repeats.find_anchors
+
+    def counting(keyed, rules):
+        found = plain(keyed, rules)
+
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return found.mapInArrow(run, found.schema)
+
+    n = plain(docs.select(F.col("doc_id").alias("kid"), F.xxhash64("text").alias("kh"), "text"), [repeats.STRINGS]).count()
+    monkeypatch.setattr(repeats, "find_anchors", counting)
+    spans, name = repeats.repeated_spans(docs, hot=5)
+    assert spans.where(F.size(name) > 0).count() == 30
+    assert 0 < seen.value <= 3 * n  # to tell the frequent ones, for these, and for the others
+
+
 def test_repeats_random(spark):
     rng = random.Random(9)
     parts = ["".join(rng.choice("ab é") for _ in range(rng.choice([30, 150, 420]))) for _ in range(14)]
