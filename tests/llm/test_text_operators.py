@@ -629,6 +629,19 @@ def test_repeats(spark, docs, rows, none, hot):
     assert repeats.report(none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+def test_few_edges_need_no_rounds(spark, monkeypatch, kind):
+    rng = random.Random(5)
+    name = {"long": int, "string": lambda x: f"n\u00e9{x}", "binary": lambda x: bytes([x % 251, x // 251])}[kind]
+    edges = spark.createDataFrame([(name(rng.randrange(400)), name(rng.randrange(400))) for _ in range(180)] + [(None, name(1)), (name(2), name(2))], f"a {kind}, b {kind}")
+    marks, plain = [], components._mark
+    monkeypatch.setattr(components, "_mark", lambda e: marks.append(1) or plain(e))
+    few = sorted((r.node, r.root) for r in components.components(edges).collect())
+    assert len(marks) == 1  # no round
+    monkeypatch.setattr(components, "SMALL", 0)
+    assert few == sorted((r.node, r.root) for r in components.components(edges).collect()) and len(marks) > 2
+
+
 def test_frequent_anchors_are_found_once(spark, monkeypatch):
     line = " ".join(f"word{i}" for i in range(120))
     docs = spark.createDataFrame([(i, f"{i} {line} {i}") for i in range(30)], "doc_id long, text string")
