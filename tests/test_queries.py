@@ -44,6 +44,21 @@ def test_gains_are_rounded_as_in_sql(spark, con):
     assert [r.gain for r in numeric._rounded(df).collect()] == want
 
 
+#: Queries over closures of more than 1,000,000 rows once customer and part have some 500,000.
+CLOSURES = [
+    "q32_depth",
+]
+
+
+@pytest.mark.parametrize("name", CLOSURES)
+def test_query_past_the_limit_on_recursive_rows(spark, con, name):
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")  # 1,000,000 by default
+    try:
+        test_query(spark, con, name)
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, HOME).count() > 0
