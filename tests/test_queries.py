@@ -47,6 +47,7 @@ def test_gains_are_rounded_as_in_sql(spark, con):
 #: Queries over closures of more than 1,000,000 rows once customer and part have some 500,000.
 CLOSURES = [
     "q32_depth",
+    "q35_wu_palmer",
 ]
 
 
