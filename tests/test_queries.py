@@ -48,6 +48,7 @@ def test_gains_are_rounded_as_in_sql(spark, con):
 CLOSURES = [
     "q32_depth",
     "q35_wu_palmer",
+    "q38_set_similarity",
 ]
 
 
