@@ -49,6 +49,7 @@ CLOSURES = [
     "q32_depth",
     "q35_wu_palmer",
     "q38_set_similarity",
+    "q41_pig_semantic",
 ]
 
 
