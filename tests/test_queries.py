@@ -51,6 +51,7 @@ CLOSURES = [
     "q38_set_similarity",
     "q41_pig_semantic",
     "q48_refinement_eval",
+    "q78_dl_templates",
 ]
 
 
