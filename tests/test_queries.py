@@ -52,6 +52,7 @@ CLOSURES = [
     "q41_pig_semantic",
     "q48_refinement_eval",
     "q78_dl_templates",
+    "q30_inheritance_order",
 ]
 
 
