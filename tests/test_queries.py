@@ -53,6 +53,7 @@ CLOSURES = [
     "q48_refinement_eval",
     "q78_dl_templates",
     "q30_inheritance_order",
+    "q33_ic",
 ]
 
 
