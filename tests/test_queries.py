@@ -54,6 +54,7 @@ CLOSURES = [
     "q78_dl_templates",
     "q30_inheritance_order",
     "q33_ic",
+    "q36_lin",
 ]
 
 
