@@ -55,6 +55,7 @@ CLOSURES = [
     "q30_inheritance_order",
     "q33_ic",
     "q36_lin",
+    "q39_pig_gain",
 ]
 
 
