@@ -57,6 +57,7 @@ CLOSURES = [
     "q36_lin",
     "q39_pig_gain",
     "q45_qualification",
+    "q55_jump_penalty",
 ]
 
 
