@@ -58,6 +58,7 @@ CLOSURES = [
     "q39_pig_gain",
     "q45_qualification",
     "q55_jump_penalty",
+    "q79_applicable_properties",
 ]
 
 
