@@ -59,6 +59,7 @@ CLOSURES = [
     "q45_qualification",
     "q55_jump_penalty",
     "q79_applicable_properties",
+    "q31_closure",
 ]
 
 
