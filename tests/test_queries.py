@@ -60,6 +60,7 @@ CLOSURES = [
     "q55_jump_penalty",
     "q79_applicable_properties",
     "q31_closure",
+    "q34_lca",
 ]
 
 
