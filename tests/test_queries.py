@@ -61,6 +61,7 @@ CLOSURES = [
     "q79_applicable_properties",
     "q31_closure",
     "q34_lca",
+    "q37_ati",
 ]
 
 
