@@ -62,6 +62,7 @@ CLOSURES = [
     "q31_closure",
     "q34_lca",
     "q37_ati",
+    "q40_semantic_gain",
 ]
 
 
