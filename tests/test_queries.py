@@ -63,6 +63,7 @@ CLOSURES = [
     "q34_lca",
     "q37_ati",
     "q40_semantic_gain",
+    "q47_validity_filter",
 ]
 
 
