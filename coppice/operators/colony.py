@@ -113,13 +113,23 @@ def _unit(*parts) -> float:
     return (int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
 
 
+def _copies(df: DataFrame, features: list[str], label: str, sets: list) -> DataFrame:
+    """(features, label, node): a copy of a row for each set of conditions that it fulfils; node is the set's place."""
+    met = F.array(*(F.when(R.mask(features, [dict(feature=f, operator=o, threshold=t) for f, o, t in sorted(c)]), F.lit(i)) for i, c in enumerate(sets)))
+    return df.select(*features, label, F.explode(F.array_compact(met)).alias("node"))
+
+
 def colony_fit(df: DataFrame, features: list[str], label: str, generations: int = 2, ants: int = 3, steps: int = 3, alpha: float = 1.0, beta: float = 2.0, rate: float = 0.1, ratio: float = 0.3, low: float = 0.1, high: float = 10.0, min_gain: float = 1e-6, min_leaf: int = 5, seed: int = 42, tree_id: int = 0) -> tuple[list[tuple], dict]:
     """Rules (rule_id, tree_id, conditions, prediction) of the last generation, deduplicated, and the pheromones.
 
     All ants of a generation and step share two jobs: one finds the best split of every feature for every ant's rows, one counts the chosen sides.
+    Ants under equal conditions share their rows, and rows once rated or counted are not read again in later generations.
     """
     tau = {(a, b): 1.0 for a in ["start", *features] for b in features if a != b}
     found: list[dict] = []
+    splits_of: dict = {}  # conditions -> feature -> the best split of the rows that they leave
+    sides_of: dict = {}  # (conditions, feature) -> side of that split -> label -> n
+    under = lambda w: frozenset((f, o, t) for f, o, t, _ in w["conditions"])
     base = df.select(*features, label).where(F.col(label).isNotNull())
     for g in range(generations):
         walks = [{"ant": a, "at": "start", "conditions": [], "path": ["start"], "used": set()} for a in range(ants)]
@@ -127,10 +137,10 @@ def colony_fit(df: DataFrame, features: list[str], label: str, generations: int
         for step in range(steps):
             if not live:
                 break
-            rows = F.array_compact(F.array(*(F.when(R.mask(features, [dict(feature=f, operator=o, threshold=t) for f, o, t, _ in w["conditions"]]), F.lit(w["ant"])) for w in live)))
-            per = base.select(*features, label, F.explode(rows).alias("ant"))
-            best = splits.best_splits(splits.unpivot(per, features, label, ("ant",)), "entropy", by=("ant", "feature"), size=16).collect()
-            gain = {(r["ant"], r["feature"]): r for r in best}
+            if new := sorted({under(w) for w in live} - set(splits_of), key=sorted):
+                for r in splits.best_splits(splits.unpivot(_copies(base, features, label, new), features, label, ("node",)), "entropy", by=("node", "feature"), size=16).collect():
+                    splits_of.setdefault(new[r["node"]], {})[r["feature"]] = r
+            gain = {(w["ant"], f): r for w in live for f, r in splits_of.get(under(w), {}).items()}
             chosen = []
             for w in live:
                 options = [f for f in features if (w["at"], f) in tau and (w["ant"], f) in gain]
@@ -148,20 +158,21 @@ def colony_fit(df: DataFrame, features: list[str], label: str, generations: int
                     chosen.append((w, pick, s))
             if not chosen:
                 break
-            at = {w["ant"]: (f, s["threshold"]) for w, f, s in chosen}
-            side = F.coalesce(*(F.when(F.col("ant") == a, (F.col(f) <= t).cast("int")) for a, (f, t) in at.items()))
-            counts: dict = {}
-            for r in per.where(F.col("ant").isin(list(at))).groupBy("ant", side.alias("side"), F.col(label).alias("y")).agg(F.count("*").alias("n")).collect():
-                counts.setdefault((r["ant"], r["side"]), {})[r["y"]] = r["n"]
+            at = {(under(w), f): s["threshold"] for w, f, s in chosen if (under(w), f) not in sides_of}
+            if at:
+                side = F.coalesce(*(F.when(F.col("node") == i, (F.col(f) <= t).cast("int")) for i, ((_, f), t) in enumerate(at.items())))
+                for r in _copies(base, features, label, [c for c, _ in at]).groupBy("node", side.alias("side"), F.col(label).alias("y")).agg(F.count("*").alias("n")).collect():
+                    sides_of.setdefault(list(at)[r["node"]], {}).setdefault(r["side"], {})[r["y"]] = r["n"]
             live = []
             for w, f, s in chosen:
-                purity = lambda k, w=w: max(counts.get((w["ant"], k), {0: 0}).values()) / max(1, sum(counts.get((w["ant"], k), {}).values()))
+                counts = sides_of[under(w), f]
+                purity = lambda k, c=counts: max(c.get(k, {0: 0}).values()) / max(1, sum(c.get(k, {}).values()))
                 left = purity(1) >= purity(0)  # the purer side; the left one on ties
                 w["conditions"].append((f, "<=" if left else ">", s["threshold"], s["gain"]))
                 w["path"].append(f)
                 w["used"].add(f)
                 w["at"] = f
-                w["counts"] = counts[w["ant"], int(left)]
+                w["counts"] = counts[int(left)]
                 if len(w["counts"]) > 1:
                     live.append(w)
         done = [w for w in walks if w["conditions"]]

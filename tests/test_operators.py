@@ -180,6 +180,20 @@ def test_hierarchy_larger_than_the_limit_on_recursive_rows(spark):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
 
 
+def test_colony_rates_equal_rows_once(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 10), float(i % 7), int(i % 10 > 4)) for i in range(200)], "a double, b double, y int")
+    nodes, whole = [], colony.splits.best_splits
+
+    def counted(long, *args, **named):
+        nodes.append(long.select(named["by"][0]).distinct().count())
+        return whole(long, *args, **named)
+
+    monkeypatch.setattr(colony.splits, "best_splits", counted)
+    found, _ = colony.colony_fit(df, ["a", "b"], "y", ants=4, generations=3, steps=1)
+    assert nodes == [1]  # four ants and three generations, but one set of rows
+    assert ("a", "<=", 4.0) in [(f, o, t) for x in found for f, o, t, _ in x[2]]
+
+
 def test_colony_graph(spark):
     e = spark.createDataFrame([("a", "b", "x", 0.05, False), ("b", "a", "x", 20.0, False), ("b", "c", "x", 1.0, True)], "src string, dst string, predicate string, pheromone double, static boolean")
     paths = spark.createDataFrame([(0, ["a", "b", "c"], 3.0, 1.0, 0.5)], "path_id int, nodes array<string>, fitness double, prediction double, f1 double")
