@@ -87,7 +87,7 @@ def _gain_sql(expr):
 
 
 def _score(column):
-    return lambda s, d: _gain_terms(s, d).select("feature", F.round("threshold", 6).alias("threshold"), F.round(column(), 8).alias("score"))
+    return lambda s, d: _gain_terms(s, d).select("feature", F.round("threshold", 6).alias("threshold"), numeric._eight(column()).alias("score"))
 
 
 def _orders_sizes(spark, d):

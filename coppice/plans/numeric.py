@@ -81,7 +81,7 @@ gains AS (SELECT feature, j, threshold, n_left, nn - n_left AS n_right, CASE WHE
 
 def _eight(x):
     """Eight decimals of a value that has nine already, as DuckDB rounds: by the binary product, where Spark's round() takes the digits and always rounds a last 5 up."""
-    return F.round(F.col(x) * 1e8) / 1e8
+    return F.round((F.col(x) if isinstance(x, str) else x) * 1e8) / 1e8
 
 
 def _rounded(df):

@@ -44,6 +44,17 @@ def test_gains_are_rounded_as_in_sql(spark, con):
     assert [r.gain for r in numeric._rounded(df).collect()] == want
 
 
+def test_scores_are_rounded_as_in_sql(spark, con, monkeypatch):
+    from coppice.plans import graphs
+
+    gains = [i / 1e8 for i in range(5, 20_000, 10)]  # times 0.7: a 5 in the ninth place
+    df = spark.createDataFrame([("f", 0.5, g, 0.0, 1.0) for g in gains], "feature string, threshold double, gain double, ati double, similarity double")
+    monkeypatch.setattr(graphs, "_gain_terms", lambda s, d: df)
+    for name in ("q40_semantic_gain", "q41_pig_semantic"):
+        want = con.execute("SELECT list_transform(?::DOUBLE[], lambda g: round(0.7::DOUBLE * g + 0.3::DOUBLE * 1.0::DOUBLE * greatest(g, 0.001::DOUBLE), 8))", [gains]).fetchone()[0]
+        assert [r.score for r in catalog.queries()[name](spark, HOME).collect()] == want
+
+
 #: Queries over closures of more than 1,000,000 rows once customer and part have some 500,000.
 CLOSURES = [
     "q32_depth",
