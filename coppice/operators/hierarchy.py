@@ -37,20 +37,33 @@ def check_acyclic(h: DataFrame, levels: int = LEVELS) -> None:
 
 
 def walks(h: DataFrame, levels: int = LEVELS, bound: int | None = None) -> DataFrame:
-    """(node, ancestor, dist): every distance at which an ancestor is met, itself at 0; each once."""
-    view = _view(h, "h")
+    """(node, ancestor, dist): every distance at which an ancestor is met, itself at 0; each once.
+
+    Only nodes with children take part in the recursion; a node without children is one step below its
+    parents. So no step holds the leaves, and nothing that grows with them is broadcast.
+    """
     stop = levels + 1 if bound is None else bound
-    return h.sparkSession.sql(
+    parents = h.select(F.col("parent").alias("node")).distinct()
+    inner = settled(parents.join(h.select("child", "parent", F.lit(True).alias("edge")), F.col("node") == F.col("child"), "left").select("node", "parent", "edge"))
+    view = _view(inner, "h")
+    above = h.sparkSession.sql(
         f"""WITH RECURSIVE w(node, ancestor, dist) MAX RECURSION LEVEL {levels + 2} AS (
-              SELECT n, n, 0 FROM (SELECT child AS n FROM {view} UNION SELECT parent FROM {view})
+              SELECT n, n, 0 FROM (SELECT DISTINCT node AS n FROM {view})
               UNION ALL
               SELECT DISTINCT w.node,
                 CASE WHEN x.parent = w.node THEN raise_error(concat('the hierarchy has a cycle at ', w.node))
                      WHEN w.dist >= {levels} THEN raise_error(concat('the hierarchy has more than {levels} levels above ', w.node))
                      ELSE x.parent END, w.dist + 1
-              FROM w JOIN {view} x ON x.child = w.ancestor WHERE w.dist < {stop})
-            SELECT DISTINCT node, ancestor, dist FROM (SELECT * FROM w LIMIT ALL)"""
+              FROM w JOIN {view} x ON x.node = w.ancestor AND x.edge WHERE w.dist < {stop})
+            SELECT node AS met, ancestor, dist FROM (SELECT * FROM w LIMIT ALL)"""
     )
+    nodes = inner.select("node").distinct()
+    leaf = h.select("child", "parent").join(nodes, F.col("child").eqNullSafe(F.col("node")), "left_anti")
+    start = nodes.select("node", F.col("node").alias("at"), F.lit(0).alias("step")).unionByName(leaf.where("child is not null").select(F.col("child").alias("node"), F.col("parent").alias("at"), F.lit(1).alias("step")))
+    up = start.join(above.hint("merge"), F.col("at").eqNullSafe(F.col("met"))).where(F.col("dist") + F.col("step") <= stop)
+    deep = F.raise_error(F.concat(F.lit(f"the hierarchy has more than {levels} levels above "), "node")).cast("string")
+    every = up.select("node", F.when((F.col("step") == 1) & (F.col("dist") >= levels), deep).otherwise(F.col("ancestor")).alias("ancestor"), (F.col("dist") + F.col("step")).alias("dist"))
+    return every.unionByName(leaf.select(F.col("child").alias("node"), F.col("child").alias("ancestor"), F.lit(0).alias("dist"))).distinct()
 
 
 def closure(h: DataFrame) -> DataFrame:
@@ -84,7 +97,7 @@ def similarities(pairs: DataFrame, closed: DataFrame, depth: DataFrame, ic: Data
     """Pairs with lca, wu_palmer (2 d / (da + db)) and lin (2 ic / (ica + icb)); 1 for a pair of equals, 0 without common ground."""
     x = pair_lca(pairs, closed, depth)
     for side in ("a", "b"):
-        x = x.join(depth.toDF(side, f"depth_{side}"), side).join(ic.select(F.col("node").alias(side), F.col("ic").alias(f"ic_{side}")), side)
+        x = x.join(depth.toDF(side, f"depth_{side}").hint("merge"), side).join(ic.select(F.col("node").alias(side), F.col("ic").alias(f"ic_{side}")).hint("merge"), side)
     x = x.join(ic.select(F.col("node").alias("lca"), F.col("ic").alias("ic_lca")), "lca")
     part = lambda up, a, b: F.coalesce(F.try_divide(2.0 * up, (a + b).cast("double")), F.lit(0.0))
     same = F.col("a") == F.col("b")
@@ -94,12 +107,12 @@ def similarities(pairs: DataFrame, closed: DataFrame, depth: DataFrame, ic: Data
 def taxonomic_information(depth: DataFrame, ic: DataFrame) -> DataFrame:
     """(node, ti): information content times depth over the greatest depth."""
     top = depth.agg(F.max("depth").alias("top"))
-    return depth.join(ic, "node").crossJoin(F.broadcast(top)).select("node", F.coalesce(F.try_divide(F.col("ic") * F.col("depth"), F.col("top").cast("double")), F.lit(0.0)).alias("ti"))  # one row
+    return depth.join(ic.hint("merge"), "node").crossJoin(F.broadcast(top)).select("node", F.coalesce(F.try_divide(F.col("ic") * F.col("depth"), F.col("top").cast("double")), F.lit(0.0)).alias("ti"))  # one row
 
 
 def average_information(sets: DataFrame, ti: DataFrame) -> DataFrame:
     """(set_id, ati): mean information of a set's concepts; unknown ones count 0."""
-    return sets.join(ti, sets["concept"] == ti["node"], "left").groupBy("set_id").agg(F.avg(F.coalesce("ti", F.lit(0.0))).alias("ati"))
+    return sets.join(ti.hint("merge"), sets["concept"] == ti["node"], "left").groupBy("set_id").agg(F.avg(F.coalesce("ti", F.lit(0.0))).alias("ati"))
 
 
 def set_similarity(sets: DataFrame, closed: DataFrame, depth: DataFrame, ic: DataFrame) -> DataFrame:

@@ -194,6 +194,24 @@ def test_colony_rates_equal_rows_once(spark, monkeypatch):
     assert ("a", "<=", 4.0) in [(f, o, t) for x in found for f, o, t, _ in x[2]]
 
 
+def test_hierarchy_keeps_leaves_out_of_the_recursion(spark):
+    h = spark.createDataFrame([(f"n{i}", f"m{i % 3}") for i in range(500)] + [(f"m{i}", "top") for i in range(3)], "child string, parent string")
+    met = []
+
+    def walk(plan):
+        name = plan.getClass().getSimpleName()
+        if name == "UnionLoopExec":
+            met.append(plan.metrics().apply("numOutputRows").value())
+        below = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan() if name.endswith("QueryStageExec") else None
+        for x in [below] if below is not None else [plan.children().apply(i) for i in range(plan.children().size())]:
+            walk(x)
+
+    c = hierarchy.closure(h)
+    assert len(c.collect()) == 500 * 3 + 3 * 2 + 1
+    walk(c._jdf.queryExecution().executedPlan())
+    assert met == [7]  # m0, m1, m2 and top at 0, top above three
+
+
 def test_colony_graph(spark):
     e = spark.createDataFrame([("a", "b", "x", 0.05, False), ("b", "a", "x", 20.0, False), ("b", "c", "x", 1.0, True)], "src string, dst string, predicate string, pheromone double, static boolean")
     paths = spark.createDataFrame([(0, ["a", "b", "c"], 3.0, 1.0, 0.5)], "path_id int, nodes array<string>, fitness double, prediction double, f1 double")
