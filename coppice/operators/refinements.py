@@ -68,8 +68,9 @@ def satisfies(instances: DataFrame, values: DataFrame, closed: DataFrame, predic
         classes = closed.where(F.col("ancestor").isin([c for _, c in wanted])).groupBy(F.col("node").alias("value")).agg(F.collect_set("ancestor").alias("above"))
         flags = [F.max((F.col("property") == p) & F.array_contains("above", c)).alias(names[p, c]) for p, c in wanted]
         out = out.join(values.join(classes, "value").groupBy("id").agg(*flags), "id", "left")
-    kinds = closed.select(F.col("node").alias("type"), "ancestor").groupBy("type").agg(F.collect_set("ancestor").alias("_types"))
-    if any(p["type"] == "concept" for q in predicates for p in q.get("of", [q])):
+    concepts = sorted({p["concept"] for q in predicates for p in q.get("of", [q]) if p["type"] == "concept"})
+    if concepts:
+        kinds = closed.where(F.col("ancestor").isin(concepts)).groupBy(F.col("node").alias("type")).agg(F.collect_set("ancestor").alias("_types"))
         out = out.join(kinds, "type", "left")
     for i, q in enumerate(predicates):
         test = F.lit(True)
