@@ -44,7 +44,7 @@ def walks(h: DataFrame, levels: int = LEVELS, bound: int | None = None) -> DataF
     """
     stop = levels + 1 if bound is None else bound
     parents = h.select(F.col("parent").alias("node")).distinct()
-    inner = settled(parents.join(h.select("child", "parent", F.lit(True).alias("edge")), F.col("node") == F.col("child"), "left").select("node", "parent", "edge"))
+    inner = settled(parents.join(h.select("child", "parent", F.lit(True).alias("edge")).hint("merge"), F.col("node") == F.col("child"), "left").select("node", "parent", "edge"))
     view = _view(inner, "h")
     above = h.sparkSession.sql(
         f"""WITH RECURSIVE w(node, ancestor, dist) MAX RECURSION LEVEL {levels + 2} AS (
@@ -66,21 +66,21 @@ def walks(h: DataFrame, levels: int = LEVELS, bound: int | None = None) -> DataF
     return every.unionByName(leaf.select(F.col("child").alias("node"), F.col("child").alias("ancestor"), F.lit(0).alias("dist"))).distinct()
 
 
-def closure(h: DataFrame) -> DataFrame:
-    """(node, ancestor, dist, longest): every ancestor of every node, itself included, at its least and greatest distance."""
-    return walks(h).groupBy("node", "ancestor").agg(F.min("dist").alias("dist"), F.max("dist").alias("longest"))
+def closure(h: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(node, ancestor, dist, longest): every ancestor of every node, itself included, at its least and greatest distance. up: walks(h), if they are there."""
+    return (walks(h) if up is None else up).groupBy("node", "ancestor").agg(F.min("dist").alias("dist"), F.max("dist").alias("longest"))
 
 
-def depths(h: DataFrame) -> DataFrame:
-    """(node, depth): the longest path from a root; a root is 1, the universal root 0 (and its children 1)."""
-    up = walks(h).groupBy("node").agg(F.max("dist").alias("up"), F.max((F.col("ancestor") == ROOT).cast("int")).alias("under"))
+def depths(h: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(node, depth): the longest path from a root; a root is 1, the universal root 0 (and its children 1). up: walks(h), if they are there."""
+    up = (walks(h) if up is None else up).groupBy("node").agg(F.max("dist").alias("up"), F.max((F.col("ancestor") == ROOT).cast("int")).alias("under"))
     return up.select("node", (F.col("up") + F.when(F.col("under") == 1, 0).otherwise(1)).cast("int").alias("depth"))
 
 
-def information_content(h: DataFrame, closed: DataFrame | None = None) -> DataFrame:
-    """(node, descendants, ic): -log2 of the share of nodes below (itself included)."""
+def information_content(h: DataFrame, closed: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, descendants, ic): -log2 of the share of nodes below (itself included). nodes: a table with a row per node, if one is there."""
     c = closure(h) if closed is None else closed
-    n = c.select("node").distinct().agg(F.count("*").alias("total"))
+    n = (c.select("node").distinct() if nodes is None else nodes).agg(F.count("*").alias("total"))
     d = c.groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("descendants"))
     return d.crossJoin(F.broadcast(n)).select("node", "descendants", (-F.log2(F.col("descendants") / F.col("total"))).alias("ic"))  # one row
 

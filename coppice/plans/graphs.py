@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import impurity, smiles, text
 from ..operators import colony, hierarchy, metrics, refinements, rules, sampling, splits, trees
+from ..sources.shared import settled
 from ..sources.tables import binary_labels, graph_of, load_dataset, table
 from . import numeric
 
@@ -82,12 +83,22 @@ def _gain_terms(spark, d):
     return best.join(ati, "feature").join(sim, "feature").withColumn("gain", numeric._eight("gain"))
 
 
+def _gain_and_ati(spark, d):
+    """The terms without the similarity. Depths and sets' information are settled one after the other: the hierarchy is followed twice, not four times, and not while the splits are counted."""
+    t = taxonomy(spark, d)
+    up = hierarchy.walks(t)
+    dep = settled(hierarchy.depths(t, up))
+    ic = hierarchy.information_content(t, hierarchy.closure(t, up), dep)
+    ati = settled(hierarchy.average_information(_set_table(spark), hierarchy.taxonomic_information(dep, ic))).withColumnRenamed("set_id", "feature")
+    return splits.best_splits(numeric.long(spark, d), "entropy").join(ati, "feature").withColumn("gain", numeric._eight("gain"))
+
+
 def _gain_sql(expr):
     return f"{_C}, {_ATI}, {_SETSIM}, best AS ({numeric.split_sql(numeric._long_sql(), 'entropy')}) SELECT best.feature, threshold, round({expr}, 8) AS score FROM best JOIN ati ON ati.set_id = best.feature JOIN setsim ON setsim.set_id = best.feature"
 
 
-def _score(column):
-    return lambda s, d: _gain_terms(s, d).select("feature", F.round("threshold", 6).alias("threshold"), numeric._eight(column()).alias("score"))
+def _score(column, terms=None):
+    return lambda s, d: (terms or _gain_terms)(s, d).select("feature", F.round("threshold", 6).alias("threshold"), numeric._eight(column()).alias("score"))
 
 
 def _orders_sizes(spark, d):
@@ -356,7 +367,7 @@ QUERIES = {
     "q36_lin": (lambda s, d: _sims(s, d, "lin"), f"{_C}, {_SIMS} SELECT a, b, lca, round(lin, 9) + 0.0 AS lin FROM sims"),
     "q37_ati": (lambda s, d: numeric._nine(hierarchy.average_information(_set_table(s), hierarchy.taxonomic_information(*_kit(s, d)[2:]))), f"{_C}, {_ATI} SELECT set_id, round(ati, 9) AS ati FROM ati"),
     "q38_set_similarity": (lambda s, d: numeric._nine(hierarchy.set_similarity(_set_table(s), *_kit(s, d)[1:])), f"{_C}, {_SETS}, {_SETSIM} SELECT set_id, round(similarity, 9) AS similarity FROM setsim"),
-    "q39_pig_gain": (_score(lambda: impurity.pig(F.col("gain"), F.col("ati"))), _gain_sql("gain * (1 + ln(1 + ati))")),
+    "q39_pig_gain": (_score(lambda: impurity.pig(F.col("gain"), F.col("ati")), _gain_and_ati), _gain_sql("gain * (1 + ln(1 + ati))")),
     "q40_semantic_gain": (_score(lambda: impurity.semantic(F.col("gain"), F.col("similarity"), 0.3)), _gain_sql("0.7::DOUBLE * gain + 0.3::DOUBLE * similarity * greatest(gain, 0.001::DOUBLE)")),
     "q41_pig_semantic": (_score(lambda: impurity.pig_semantic(F.col("gain"), F.col("ati"), F.col("similarity"))), _gain_sql("0.7::DOUBLE * (gain * (1 + ln(1 + ati))) + 0.3::DOUBLE * similarity * greatest(gain * (1 + ln(1 + ati)), 0.001::DOUBLE)")),
     "q42_concept_candidates": (lambda s, d: refinements.concept_candidates(taxonomy(s, d), "R:2"), "SELECT 'N:' || n_nationkey AS concept FROM nation WHERE n_regionkey = 2"),

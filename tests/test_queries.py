@@ -87,6 +87,36 @@ def test_query_past_the_limit_on_recursive_rows(spark, con, name):
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
 
 
+def broadcasts(plan):
+    """The rows of every broadcast of an executed plan."""
+    name = plan.getClass().getSimpleName()
+    below = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan() if name.endswith("QueryStageExec") else None
+    mine = [plan.metrics().apply("numOutputRows").value()] if name == "BroadcastExchangeExec" else []
+    return mine + [n for x in ([below] if below is not None else [plan.children().apply(i) for i in range(plan.children().size())]) for n in broadcasts(x)]
+
+
+def test_pig_gain_broadcasts_nothing_that_grows_with_the_leaves(spark, tmp_path, monkeypatch):
+    from coppice.operators import hierarchy
+    from coppice.plans import graphs
+    from coppice.sources import shared
+
+    c, ran = duckdb.connect(), []
+    for t in ("region", "nation", "lineitem", "customer"):
+        more = "SELECT * REPLACE (c_custkey + 1000 * i AS c_custkey) FROM {}, range(20) r(i)" if t == "customer" else "FROM {}"
+        c.execute(f"COPY ({more.format(f"read_parquet('{HOME}/{t}.parquet')")}) TO '{tmp_path}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet')")
+
+    def settled(df):
+        ran.append(df)
+        return shared.settled(df)
+
+    monkeypatch.setattr(hierarchy, "settled", settled)
+    monkeypatch.setattr(graphs, "settled", settled, raising=False)
+    monkeypatch.setitem(globals(), "HOME", str(tmp_path))
+    test_query(spark, c, "q39_pig_gain")
+    assert ran and max([n for df in ran for n in broadcasts(df._jdf.queryExecution().executedPlan())], default=0) < 1_000  # of 3,000 customers
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, HOME).count() > 0
