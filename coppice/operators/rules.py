@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 MAX_INLINE = 400
 
 RULE = "rule_id int, tree_id int, conditions array<struct<feature: string, operator: string, threshold: double, info_gain: double>>, prediction double"
+COUNTS = "array<struct<rule_id: int, tree_id: int, prediction: double, coverage: bigint, tp: bigint, fn: bigint, tn: bigint>>"
 
 
 def rule_table(spark, rules: list[tuple]) -> DataFrame:
@@ -58,7 +59,7 @@ def matches(df: DataFrame, rules: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def statistics(df: DataFrame, rules: DataFrame, label: str) -> DataFrame:
-    """Per rule: coverage, hits, accuracy, f1 and balanced accuracy of predicting its class where it matches, class counts, fitness. One scan, no join."""
+    """Per rule: coverage, hits, accuracy, f1 and balanced accuracy of predicting its class where it matches, class counts, fitness; no rows without rules. One scan, no join."""
     y = F.col(label).cast("double")
     out = None
     for run in _listed(rules):
@@ -68,7 +69,7 @@ def statistics(df: DataFrame, rules: DataFrame, label: str) -> DataFrame:
             n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
             yes = y == p
             sums.append(F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["tree_id"]).alias("tree_id"), F.lit(p).alias("prediction"), n(m).alias("coverage"), n(m & yes).alias("tp"), n(y.isNotNull() & ~m & yes).alias("fn"), n(y.isNotNull() & ~m & ~yes).alias("tn")))
-        one = df.agg(F.array(*sums).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+        one = df.agg((F.array(*sums) if sums else F.array().cast(COUNTS)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
         out = one if out is None else out.unionByName(one)
     part = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     tp, fn, tn, n = map(F.col, ("tp", "fn", "tn", "coverage"))

@@ -194,6 +194,13 @@ def test_colony_rates_equal_rows_once(spark, monkeypatch):
     assert ("a", "<=", 4.0) in [(f, o, t) for x in found for f, o, t, _ in x[2]]
 
 
+def test_statistics_without_rules(spark):
+    df = spark.createDataFrame([(1.0, 0), (2.0, 1)], "a double, y int")
+    some = rules.statistics(df, rules.rule_table(spark, [(0, 0, [("a", ">", 1.5)], 1)]), "y")
+    none = rules.statistics(df, rules.rule_table(spark, []), "y")
+    assert none.dtypes == some.dtypes and none.collect() == [] and some.count() == 1
+
+
 def test_hierarchy_keeps_leaves_out_of_the_recursion(spark):
     h = spark.createDataFrame([(f"n{i}", f"m{i % 3}") for i in range(500)] + [(f"m{i}", "top") for i in range(3)], "child string, parent string")
     met = []

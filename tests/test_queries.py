@@ -122,6 +122,13 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, HOME).count() > 0
 
 
+def test_colony_fit_without_a_gain(spark, tmp_path):
+    """Both flags for every row: no split gains anything, as with many rows whose flag depends on nothing."""
+    duckdb.sql(f"COPY (SELECT l.* EXCLUDE (l_returnflag), f.l_returnflag FROM read_parquet('{HOME}/lineitem.parquet') l, (VALUES ('R'), ('A')) f(l_returnflag)) TO '{tmp_path}/lineitem.parquet'")
+    got, usual = (catalog.queries()["q68_colony_fit"](spark, d) for d in (str(tmp_path), HOME))
+    assert got.dtypes == usual.dtypes and got.collect() == []
+
+
 def test_entry(spark):
     import __spark_entry__
 
